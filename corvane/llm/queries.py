@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import forest, mixing, packing, pivots, secrets, simhash, sitetree, tokens, toxicity
+from corvane.llm import forest, mixing, packing, pivots, secrets, simhash, sitetree, surrogates, tokens, toxicity
 from corvane.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_hash_prefix_forest": op1_hash_prefix_forest,
     "op2_mix_sources": op2_mix_sources,
@@ -55,6 +59,7 @@ QUERIES = {
     "op7_pivot_dedup": op7_pivot_dedup,
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 ORACLES = {"op2_mix_sources": mixing.ORACLE}
