@@ -51,15 +51,27 @@ GENERIC_PHRASES = [
 
 
 def is_generic(w: Column, phrases: list[str] = GENERIC_PHRASES, share: float = GENERIC_SHARE) -> Column:
-    """Whether some phrase's words make up the share of w, repeats counted."""
-    sets = F.array(*[F.array(*[F.lit(x) for x in sorted(set(p.split()))]) for p in phrases])
-    return F.exists(sets, lambda p: F.size(F.filter(w, lambda x: F.array_contains(p, x))) / F.size(w) >= share)
+    """Whether some phrase's words make up the share of w, repeats counted.
+
+    The words of all phrases together are tried first, by one hash lookup a word; few sentences go further.
+    """
+    own = [sorted(set(p.split())) for p in phrases]
+    part = lambda words_: F.size(F.filter(w, lambda x: x.isin(*words_))) / F.size(w) >= share
+    some = part(sorted({x for p in own for x in p}))
+    for_any = part(own[0])
+    for p in own[1:]:
+        for_any = for_any | part(p)
+    return some & for_any
 
 
 def comparable(texts: DataFrame, keys: list[str], text: str = "text", phrases: list[str] = GENERIC_PHRASES) -> DataFrame:
-    """keys, sent_pos, sentence, w (words): sentences of six words or more that are not generic."""
-    s = texts.select(*keys, F.posexplode(sentences(F.col(text))).alias("sent_pos", "sentence"))
-    s = s.withColumn("w", words(F.col("sentence"))).where(F.size("w") >= LEAST_WORDS)
+    """keys, sent_pos, sentence, w (words): sentences of six words or more that are not generic.
+
+    Words are computed before the sentences are exploded, so that later references read a column.
+    """
+    pairs = F.transform(sentences(F.col(text)), lambda s: F.struct(s.alias("sentence"), words(s).alias("w")))
+    s = texts.select(*keys, F.posexplode(pairs).alias("sent_pos", "s")).select(*keys, "sent_pos", "s.sentence", "s.w")
+    s = s.where(F.size("w") >= LEAST_WORDS)
     return s.where(~is_generic(F.col("w"), phrases)) if phrases else s
 
 
