@@ -12,8 +12,9 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-RGBA = "struct<r:double,g:double,b:double,a:double>"
+RGBA = T.StructType([T.StructField(k, T.DoubleType()) for k in "rgba"])
 # Named colours, the OKLab matrices (sRGB to cone response, cone response to Lab and back).
 NAMED = {
     "black": "#000000", "white": "#ffffff", "red": "#ff0000", "green": "#008000", "blue": "#0000ff", "gray": "#808080",

@@ -8,6 +8,7 @@ from urllib.parse import urldefrag, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Named entities and what they read as.
 ENTITIES = {
@@ -30,7 +31,7 @@ def decode_one(s: str) -> str:
     return _ENTITY.sub(one, s)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_entities(s: pd.Series) -> pd.Series:
     """Named, decimal and hexadecimal entities in one pass; unknown ones stay."""
     return s.map(lambda x: x if x is None else decode_one(x))
@@ -90,7 +91,7 @@ def hrefs(html: Column) -> Column:
     return F.transform(found, lambda h: F.trim(F.regexp_replace(h, """^["']|["']$""", "")))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def links_of(html: pd.Series, base: pd.Series) -> pd.Series:
     """Distinct absolute link targets without fragment, in order; mail, phone, script and data links are left out."""
     href = re.compile(HREF)

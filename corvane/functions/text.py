@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = r"(?U)\s+"
 NOT_WORD = r"[^\p{L}\p{N}']+"
@@ -25,7 +26,7 @@ def squash(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(s, F.lit("")), SPACE, " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility normalisation, for text that is not plain ASCII (Spark has no such function)."""
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))

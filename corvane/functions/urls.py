@@ -7,6 +7,7 @@ from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TRACKING = "utm_[^=&]*|ref|source|fbclid|gclid"
 ASSETS = r"(?i)\.(png|jpe?g|gif|webp|avif|svg|ico|css|js|mjs|json|xml|pdf|zip|mp4|webm|mp3|woff2?|ttf)(\?|$)"
@@ -24,7 +25,7 @@ def normalize(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(u, "[?&]+$", ""), "/+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_exact(url: pd.Series) -> pd.Series:
     """normalize() through a URL parser: parameters are re-serialised."""
 

@@ -97,6 +97,7 @@ def crawl(start: DataFrame, links: DataFrame, ok: Column | None = None, most: in
     edges = links.select(normalize(F.col("src")).alias("src"), normalize(F.col("dst")).alias("dst")).distinct()
     if ok is not None:
         edges = edges.where(ok)
+    edges = edges.persist()
     frontier = start.select(normalize(F.col("url")).alias("url")).distinct().withColumn("level", F.lit(0)).limit(most)
     visited, n = frontier, frontier.count()
     for level in range(1, depth + 1):

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from corvane.functions.text import round_half_up
 
@@ -100,7 +101,7 @@ def structure_score(roles: DataFrame) -> DataFrame:
     return roles.groupBy("pair_id").agg(F.when(total > 0, round_half_up(F.sum(w * F.col("matched")) / total * 100)).otherwise(F.lit(100.0)).cast("long").alias("score"))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two arrays."""
 
