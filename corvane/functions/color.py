@@ -35,13 +35,16 @@ def rgba(r: Column, g: Column, b: Column, a: Column) -> Column:
 
 def parse_hex(s: Column) -> Column:
     """#rgb, #rgba, #rrggbb, #rrggbbaa or a named colour; null for anything else."""
-    t = F.lower(F.trim(s))
     names = F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv])
-    t = F.coalesce(F.try_element_at(names, t), t)
-    long = F.when(t.rlike("^#[0-9a-f]{3,4}$"), F.regexp_replace(t, "([0-9a-f])", "$1$1")).otherwise(t)
-    part = lambda i: F.conv(F.substring(long, i, 2), 16, 10).cast("double")
-    alpha = F.when(F.length(long) == 9, part(8) / 255).otherwise(F.lit(1.0))
-    return F.when(long.rlike("^#(?:[0-9a-f]{6}|[0-9a-f]{8})$"), rgba(part(2), part(4), part(6), alpha))
+    part = lambda v, i: F.conv(F.substring(v, i, 2), 16, 10).cast("double")
+
+    def of(v: Column) -> Column:
+        alpha = F.when(F.length(v) == 9, part(v, 8) / 255).otherwise(F.lit(1.0))
+        return F.when(v.rlike("^#(?:[0-9a-f]{6}|[0-9a-f]{8})$"), rgba(part(v, 2), part(v, 4), part(v, 6), alpha))
+
+    named = let(F.lower(F.trim(s)), lambda t: F.coalesce(F.try_element_at(names, t), t))
+    long = let(named, lambda t: F.when(t.rlike("^#[0-9a-f]{3,4}$"), F.regexp_replace(t, "([0-9a-f])", "$1$1")).otherwise(t))
+    return let(long, of)
 
 
 def _number(token: str, scale: float) -> float:
@@ -105,28 +108,39 @@ def parse_color(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_one(x) or (None,) * 4 for x in s], columns=list("rgba"), dtype="float64")
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x computed once: an expression used several times over would otherwise be repeated in the plan."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def linear(c: Column) -> Column:
-    v = c / 255
-    return F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
+    return let(c / 255, lambda v: F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4))))
 
 
 def _rows(matrix: tuple, values: list[Column]) -> list[Column]:
     return [sum((F.lit(float(m)) * v for m, v in zip(row[1:], values[1:], strict=True)), F.lit(float(row[0])) * values[0]) for row in matrix]
 
 
+def _triple(values: list[Column], names: tuple) -> Column:
+    return F.struct(*[v.alias(n) for v, n in zip(values, names, strict=True)])
+
+
 def oklab(c: Column) -> Column:
-    """struct L, A, B of a colour."""
-    cone = [F.cbrt(x) for x in _rows(TO_CONE, [linear(c[k]) for k in "rgb"])]
-    return F.struct(*[x.alias(n) for x, n in zip(_rows(TO_LAB, cone), ("l", "a", "b"), strict=True)])
+    """struct l, a, b of a colour."""
+    names = ("l", "a", "b")
+    fields = lambda x: [x[n] for n in names]
+    light = let(c, lambda v: _triple([linear(v[k]) for k in "rgb"], names))
+    cone = let(light, lambda v: _triple([F.cbrt(x) for x in _rows(TO_CONE, fields(v))], names))
+    return let(cone, lambda v: _triple(_rows(TO_LAB, fields(v)), names))
 
 
 def chroma(lab: Column) -> Column:
-    return F.hypot(lab["a"], lab["b"])
+    return let(lab, lambda v: F.hypot(v["a"], v["b"]))
 
 
 def hue(lab: Column) -> Column:
     """Degrees, 0 to 360."""
-    return F.pmod(F.degrees(F.atan2(lab["b"], lab["a"])) + 360, F.lit(360.0))
+    return let(lab, lambda v: F.pmod(F.degrees(F.atan2(v["b"], v["a"])) + 360, F.lit(360.0)))
 
 
 def hue_gap(h1: Column, h2: Column) -> Column:
@@ -135,32 +149,37 @@ def hue_gap(h1: Column, h2: Column) -> Column:
 
 def distance(x: Column, y: Column) -> Column:
     """Euclidean OKLab distance times 100."""
-    d = [x[k] - y[k] for k in ("l", "a", "b")]
-    return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) * 100
+
+    def of(v: Column) -> Column:
+        d = [v["x"][k] - v["y"][k] for k in ("l", "a", "b")]
+        return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) * 100
+
+    return let(F.struct(x.alias("x"), y.alias("y")), of)
 
 
 def over(fg: Column, bg: Column) -> Column:
     """fg laid over bg, opaque."""
-    return rgba(*[fg[k] * fg["a"] + bg[k] * (1 - fg["a"]) for k in "rgb"], F.lit(1.0))
+    both = F.struct(fg.alias("f"), bg.alias("g"))
+    return let(both, lambda v: rgba(*[v["f"][k] * v["f"]["a"] + v["g"][k] * (1 - v["f"]["a"]) for k in "rgb"], F.lit(1.0)))
 
 
 def luminance(c: Column) -> Column:
-    return _rows((LUMA,), [linear(c[k]) for k in "rgb"])[0]
+    return let(c, lambda v: _rows((LUMA,), [linear(v[k]) for k in "rgb"])[0])
 
 
 def contrast(fg: Column, bg: Column) -> Column:
     """WCAG contrast; a translucent ground lies over white, a translucent text over the ground."""
     white = rgba(*[F.lit(255.0)] * 3, F.lit(1.0))
-    ground = F.when(bg["a"] < 1, over(bg, white)).otherwise(bg)
-    text = F.when(fg["a"] < 1, over(fg, ground)).otherwise(fg)
-    a, b = luminance(text), luminance(ground)
-    return (F.greatest(a, b) + 0.05) / (F.least(a, b) + 0.05)
+    ground = let(bg, lambda g: F.when(g["a"] < 1, over(g, white)).otherwise(g))
+    text = lambda v: F.when(v["f"]["a"] < 1, over(v["f"], v["g"])).otherwise(v["f"])
+    light = let(F.struct(fg.alias("f"), ground.alias("g")), lambda v: F.struct(luminance(text(v)).alias("t"), luminance(v["g"]).alias("g")))
+    return let(light, lambda v: (F.greatest(v["t"], v["g"]) + 0.05) / (F.least(v["t"], v["g"]) + 0.05))
 
 
 def to_hex(c: Column) -> Column:
     """#rrggbb, with the alpha's two digits below 1."""
     two = lambda v: F.lower(F.lpad(F.hex(F.floor(v + 0.5).cast("long")), 2, "0"))
-    return F.concat(F.lit("#"), two(c["r"]), two(c["g"]), two(c["b"]), F.when(c["a"] < 1, two(c["a"] * 255)).otherwise(F.lit("")))
+    return let(c, lambda v: F.concat(F.lit("#"), two(v["r"]), two(v["g"]), two(v["b"]), F.when(v["a"] < 1, two(v["a"] * 255)).otherwise(F.lit(""))))
 
 
 def colors_in_text(s: Column) -> Column:

@@ -60,18 +60,15 @@ def best_matching(s: np.ndarray) -> list[tuple[int, int]]:
 def match_nodes(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """pair_id, role, a_pos, b_pos of matched nodes."""
     full = nodes.where(F.col("role").isin(*WEIGHTS)).join(pages, ["pair_id", "side"])
-    cols = ["pair_id", "role", "pos", "x", "y", "w", "name", "view_w", "page_h"]
-    a, b = (full.where(F.col("side") == s).select(*cols).groupBy("pair_id", "role") for s in "ab")
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=["pair_id", "role", "a_pos", "b_pos"]).astype({"a_pos": "int64", "b_pos": "int64"})
-        left, right = (d.sort_values(["y", "x", "pos"], kind="stable") for d in (left, right))
-        pairs = best_matching(similarities(left, right))
+
+    def run(both: pd.DataFrame) -> pd.DataFrame:
+        left, right = (both[both["side"] == s].sort_values(["y", "x", "pos"], kind="stable") for s in "ab")
+        pairs = best_matching(similarities(left, right)) if len(left) and len(right) else []
         at = lambda d, k: d["pos"].to_numpy()[[p[k] for p in pairs]] if pairs else np.zeros(0, np.int64)
-        return pd.DataFrame({"pair_id": left["pair_id"].iloc[0], "role": left["role"].iloc[0], "a_pos": at(left, 0), "b_pos": at(right, 1)})
+        return pd.DataFrame({"pair_id": both["pair_id"].iloc[0], "role": both["role"].iloc[0], "a_pos": at(left, 0), "b_pos": at(right, 1)})
 
-    return a.cogroup(b).applyInPandas(run, "pair_id string, role string, a_pos long, b_pos long")
+    rows = full.select("pair_id", "role", "side", "pos", "x", "y", "w", "name", "view_w", "page_h")
+    return rows.groupBy("pair_id", "role").applyInPandas(run, "pair_id string, role string, a_pos long, b_pos long")
 
 
 def position_label(x: Column, y: Column, w: Column, view_w: Column, view_h: Column, page_h: Column) -> Column:

@@ -74,9 +74,16 @@ def cluster_colors(usage: DataFrame, key: list[str]) -> DataFrame:
 
 def color_roles(colors: DataFrame, key: list[str], canvas: str = "canvas") -> DataFrame:
     """ink, ink_soft, surface, accent, on_accent, border, brand (six at most) of each key, by ordered rules."""
-    c = colors.withColumn("c", C.parse_hex(F.col("hex"))).withColumn("ground", F.coalesce(C.parse_hex(F.col(canvas)), C.parse_hex(F.lit("#ffffff"))))
-    c = c.withColumn("lab", C.oklab(F.col("c"))).withColumn("k", C.contrast(F.col("c"), F.col("ground"))).withColumn("chroma", C.chroma(F.col("lab")))
-    c = c.withColumn("off", C.distance(F.col("lab"), C.oklab(F.col("ground")))).withColumn("solid", F.col("c.a") >= 0.95)
+    white_ground = lambda x: F.coalesce(C.parse_hex(x), C.parse_hex(F.lit("#ffffff")))
+
+    def derived(v: Column) -> Column:
+        lab = C.oklab(v["c"])
+        off = C.distance(lab, C.oklab(v["ground"]))
+        return F.struct(v["c"].alias("c"), lab.alias("lab"), C.contrast(v["c"], v["ground"]).alias("k"), C.chroma(lab).alias("chroma"), off.alias("off"), (v["c"]["a"] >= 0.95).alias("solid"))
+
+    both = F.struct(C.parse_hex(F.col("hex")).alias("c"), white_ground(F.col(canvas)).alias("ground"))
+    # exploding an array of one makes the derived values columns, so that what follows does not compute them again
+    c = colors.withColumn("_d", F.explode(F.array(C.let(both, derived)))).select(*colors.columns, "_d.*")
     w = Window.partitionBy(*key)
     c = c.withColumn("all_text", F.greatest(F.lit(1), F.sum(F.when(F.col("solid"), F.col("text")).otherwise(0)).over(w)))
     c = c.withColumn("textual", F.col("solid") & (F.col("text") >= F.col("all_text") * 0.08))

@@ -222,8 +222,8 @@ QUERIES = {
 ORACLES = {
     "spacing_base": f"""SELECT page, CASE WHEN s8 >= 0.7 THEN 8 WHEN s4 >= 0.7 THEN 4 WHEN s2 >= 0.7 THEN 2 ELSE 1 END::BIGINT AS base, {sql_round('CASE WHEN s8 >= 0.7 THEN s8 WHEN s4 >= 0.7 THEN s4 WHEN s2 >= 0.7 THEN s2 ELSE 1.0 END', 6)} AS share
         FROM (SELECT page, count(*) FILTER (WHERE value % 8 = 0) / count(*) AS s8, count(*) FILTER (WHERE value % 4 = 0) / count(*) AS s4, count(*) FILTER (WHERE value % 2 = 0) / count(*) AS s2 FROM ({_SIZES}) WHERE value >= 4 GROUP BY 1)""",
-    "spacing_scale": f"""SELECT page, string_agg(value::VARCHAR, ',' ORDER BY value) AS scale FROM (SELECT page, value, count(*) / sum(count(*)) OVER (PARTITION BY page) AS part FROM ({_SIZES}) GROUP BY ALL) WHERE part >= 0.02 GROUP BY 1""",
-    "value_counts": f"SELECT page, value::BIGINT AS value, n::BIGINT AS count, rank::BIGINT AS rank FROM (SELECT page, value, count(*) AS n, row_number() OVER (PARTITION BY page ORDER BY count(*) DESC, value) AS rank FROM ({_SIZES}) GROUP BY ALL) WHERE rank <= 6",
+    "spacing_scale": f"""SELECT page, string_agg(value::VARCHAR, ',' ORDER BY value) AS scale FROM (SELECT page, value, n / sum(n) OVER (PARTITION BY page) AS part FROM (SELECT page, value, count(*) AS n FROM ({_SIZES}) GROUP BY page, value)) WHERE part >= 0.02 GROUP BY 1""",
+    "value_counts": f"SELECT page, value::BIGINT AS value, n::BIGINT AS count, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n DESC, value) AS rank FROM (SELECT page, value, count(*) AS n FROM ({_SIZES}) GROUP BY page, value)) WHERE rank <= 6",
     "font_shares": """SELECT page, family, chars, floor(chars / sum(chars) OVER (PARTITION BY page) * 100 * 10 + 0.5) / 10 AS share, weights FROM (
         SELECT substr(p_brand, 1, 7) AS page, p_type AS family, sum(p_size)::BIGINT AS chars, array_to_string(list_sort(list(DISTINCT p_brand)), '/') AS weights FROM part GROUP BY ALL)""",
     "type_scale": _SCALE,
