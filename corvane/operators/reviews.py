@@ -67,7 +67,7 @@ def theme_summary(rows: DataFrame, themes: DataFrame, now: dt.date, months: int
     """theme, kind, label, reviews, sources, weight, thin; heaviest first, themes without rows included."""
     source = F.lower(F.coalesce(blank("source"), host(F.col("url"))))
     w = weight(F.col("rating"), F.col("kind"), F.col("date"), months_back(F.lit(now), months))
-    agg = theme_rows(rows, themes).groupBy("theme").agg(F.count("*").alias("reviews"), F.array_sort(F.collect_set(source)).alias("sources"), F.sum(w).alias("w"))
+    agg = theme_rows(rows, themes).groupBy("theme").agg(F.count("*").alias("reviews"), F.array_sort(F.collect_set(source)).alias("sources"), F.sum(w.cast("decimal(18,4)")).cast("double").alias("w"))
     base = themes.select(F.col("id").alias("theme"), "kind", F.coalesce("label", "id").alias("label"), F.monotonically_increasing_id().alias("ord"))
     out = base.join(agg, "theme", "left").withColumn("reviews", F.coalesce("reviews", F.lit(0)))
     out = out.withColumn("sources", F.coalesce("sources", F.array().cast("array<string>"))).withColumn("weight", round_half_up(F.coalesce("w", F.lit(0.0)), 1))

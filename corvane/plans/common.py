@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.functions.text import DASHES, QUOTES
+from corvane.session import spread
+
+#: Tables whose rows cost much more to work on than to read, and their keys.
+TEXTS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, TEXTS[name]) if name in TEXTS else df
 
 
 def _q(s: str) -> str:

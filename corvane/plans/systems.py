@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import color as C
@@ -102,15 +102,20 @@ def domain_hits(spark: SparkSession, d: str) -> DataFrame:
     return sweep.domain_hits(rows, avoid).select(F.col("path").alias("doc_id"), F.col("line").cast("long").alias("line"), "detail")
 
 
+def _views_and_purchases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Views as new rows, purchases as the ledger, both keyed by user and day."""
+    e = table(spark, d, "events").withColumn("key", F.concat_ws("@", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")))
+    e = e.select("event_id", "key", "event_type")
+    return e.where("event_type = 'view'"), e.where("event_type = 'purchase'")
+
+
 def ledger_append(spark: SparkSession, d: str) -> DataFrame:
-    """Events of the second half whose user the first half lacks: the anti join of an append."""
-    e = table(spark, d, "events").select("event_id", "user_id", "event_type")
-    return ledger.append(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0 and user_id % 3 = 0"), "user_id")
+    """Views on days without a purchase: the anti join of an append."""
+    return ledger.append(*_views_and_purchases(spark, d), "key")
 
 
 def ledger_counts(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("event_id", "user_id", "event_type")
-    return ledger.appended(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0 and user_id % 3 = 0"), "user_id")
+    return ledger.appended(*_views_and_purchases(spark, d), "key")
 
 
 def ledger_union(spark: SparkSession, d: str) -> DataFrame:
@@ -156,14 +161,18 @@ def style_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def structure_self(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of line items against themselves less every ninth node: score, order score, missing nodes."""
-    li = table(spark, d, "lineitem").where("l_orderkey % 50 = 1")
+    """A page for each supplier, its lines as nodes, against itself less the returned lines: score, order, missing nodes."""
     names = F.array(*[F.lit(r) for r in ("header", "nav", "h1", "button", "link", "image", "footer")])
-    node = li.select(F.col("l_orderkey").cast("string").alias("pair_id"), F.element_at(names, F.col("l_linenumber")).alias("role"), F.lit(0).alias("x"), (F.col("l_linenumber") * 100).alias("y"), F.lit(200).alias("w"), F.lit(40).alias("h"), F.col("l_partkey").cast("string").alias("name"), F.col("l_linenumber").cast("long").alias("pos"), "l_partkey")
-    node = node.dropDuplicates(["pair_id", "pos"])
-    nodes = node.withColumn("side", F.lit("a")).unionByName(node.where("l_partkey % 9 <> 0").withColumn("side", F.lit("b"))).drop("l_partkey")
-    pages = nodes.select("pair_id").distinct().withColumn("side", F.explode(F.array(F.lit("a"), F.lit("b")))).selectExpr("*", "1440 AS view_w", "900 AS view_h", "3000 AS page_h")
-    matched = structure.match_nodes(nodes, pages)
+    place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"))
+    li = table(spark, d, "lineitem").withColumn("n", place.cast("long"))
+    node = li.select(
+        F.col("l_suppkey").cast("string").alias("pair_id"), F.element_at(names, F.col("l_linenumber")).alias("role"), F.lit(0).alias("x"), (F.col("n") * 20).alias("y"),
+        F.lit(200).alias("w"), F.lit(40).alias("h"), F.col("l_partkey").cast("string").alias("name"), F.col("n").alias("pos"), "l_returnflag",
+    )
+    nodes = node.withColumn("side", F.lit("a")).unionByName(node.where("l_returnflag <> 'R'").withColumn("side", F.lit("b"))).drop("l_returnflag")
+    size = nodes.groupBy("pair_id").agg((F.max("y") + 40).alias("page_h"))
+    pages = size.withColumn("side", F.explode(F.array(F.lit("a"), F.lit("b")))).selectExpr("*", "1440 AS view_w", "900 AS view_h")
+    matched = structure.match_nodes(nodes, pages).persist()
     roles = structure.by_role(nodes, matched)
     lost = structure.unmatched(nodes, matched, pages, "a").groupBy("pair_id").agg(F.count("*").alias("missing"))
     out = structure.structure_score(roles).join(structure.order_score(nodes), "pair_id").join(lost, "pair_id", "left")
@@ -208,8 +217,9 @@ _SCALE = f"""WITH t AS ({_TYPE}), g AS (SELECT page, px, count(*)::BIGINT AS cha
   SELECT page, px::BIGINT AS px, chars, lh AS "lineHeight", weight, family, body::BIGINT AS body, floor(part * 1000 + 0.5) / 10 AS share FROM s WHERE part >= 0.004"""
 _WORDS = r"list_filter(string_split_regex(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '([a-z\d])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([A-Za-z])(\d)', '\1 \2', 'g'), '(\d)([A-Za-z])', '\1 \2', 'g')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 _LINES = "SELECT doc_id, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
-_NEW = "SELECT * FROM events WHERE event_id % 2 = 1"
-_OLD = "SELECT user_id FROM events WHERE event_id % 2 = 0 AND user_id % 3 = 0"
+_KEYED = "SELECT event_id, user_id || '@' || strftime(ts, '%Y-%m-%d') AS key, event_type FROM events"
+_NEW = f"SELECT * FROM ({_KEYED}) WHERE event_type = 'view'"
+_OLD = f"SELECT key FROM ({_KEYED}) WHERE event_type = 'purchase'"
 
 QUERIES = {
     "spacing_base": spacing_base, "spacing_scale": spacing_scale, "value_counts": value_counts, "font_shares": font_shares, "type_scale": type_scale,
@@ -235,8 +245,8 @@ ORACLES = {
     "path_hashes": """SELECT o_orderkey, substr(sha1('M ' || regexp_replace(printf('%.1f', floor(o_totalprice::DECIMAL(18,2)::DOUBLE * 10 + 0.5) / 10), '\\.0$', '') || ' L ' || (o_orderkey % 100) || ' 0 z'), 1, 16) AS hash FROM orders""",
     "name_hits": f"""SELECT detail, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS files FROM (SELECT doc_id, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS w FROM ({_LINES}) WHERE length(line) <= 4000), (VALUES ('the and'), ('of the'), ('licensed under')) v(detail) WHERE contains(w, ' ' || detail || ' ') GROUP BY 1""",
     "domain_hits": f"SELECT doc_id, n::BIGINT AS line, detail FROM ({_LINES}), (VALUES ('mail1.example.com'), ('mail2.example.com')) v(detail) WHERE length(line) <= 4000 AND contains(lower(line), detail)",
-    "ledger_append": f"SELECT event_id, user_id, event_type FROM ({_NEW}) WHERE user_id NOT IN ({_OLD})",
-    "ledger_counts": f"SELECT count(*) FILTER (WHERE user_id NOT IN ({_OLD}))::BIGINT AS added, count(*) FILTER (WHERE user_id IN ({_OLD}))::BIGINT AS skipped FROM ({_NEW})",
+    "ledger_append": f"SELECT event_id, key, event_type FROM ({_NEW}) WHERE key NOT IN ({_OLD})",
+    "ledger_counts": f"SELECT count(*) FILTER (WHERE key NOT IN ({_OLD}))::BIGINT AS added, count(*) FILTER (WHERE key IN ({_OLD}))::BIGINT AS skipped FROM ({_NEW})",
     "ledger_union": """SELECT source, rating, count(*)::BIGINT AS n, sum(length(text))::BIGINT AS chars FROM (SELECT source, lang AS rating, '' AS text FROM documents UNION ALL SELECT role, '', text FROM conversations) GROUP BY ALL""",
     "event_windows": f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*)::BIGINT AS n, {sql_round('sum(value)', 2)} AS total FROM events GROUP BY 1, 2""",
     "event_sessions": """SELECT user_id, sum(fresh)::BIGINT AS sessions, count(*)::BIGINT AS events FROM (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events) GROUP BY 1""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(cores: int | str = "*", app: str = "corvane", memory: str = "12g", **conf: str) -> SparkSession:
@@ -23,3 +23,12 @@ def build(cores: int | str = "*", app: str = "corvane", memory: str = "12g", **c
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt out by key if its files give fewer partitions than there are cores: a small table in one file.
+
+    A table large enough to fill the cores is left as it is, so nothing large is ever shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
