@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.session import spread
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -16,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """The same, dealt out by key where a small table's files would leave cores idle."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on the executors where PYTHONPATH does not already do it."""
     sc = spark.sparkContext

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import forest, mixing, packing, pivots, secrets, simhash, sitetree, surrogates, tokens, toxicity
-from corvane.llm.common import table
+from corvane.llm.common import spread_table, table
 
 
 def op1_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,20 +17,20 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return secrets.find_secrets(spread_table(spark, sf_dir, "documents", "doc_id"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents", "doc_id")
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sitetree.extract(table(spark, sf_dir, "pages"))
+    return sitetree.extract(spread_table(spark, sf_dir, "pages", "page_id"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+    return tokens.count_tokens(spread_table(spark, sf_dir, "documents", "doc_id"))
 
 
 def op7_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,11 +42,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(spread_table(spark, sf_dir, "documents", "doc_id"))
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace_pii(table(spark, sf_dir, "documents"))
+    return surrogates.replace_pii(spread_table(spark, sf_dir, "documents", "doc_id"))
 
 
 QUERIES = {
