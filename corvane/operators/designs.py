@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import color as C
+from corvane.session import small
 
 # Role pairs with their contrast, and typefaces free to use.
 PAIRS = [
@@ -75,7 +76,7 @@ def too_close(r: DataFrame, theirs: DataFrame) -> DataFrame:
     """Colours near another brand's (theirs: color, lab): the accent by distance or family, others by distance alone."""
     mine = r.where("mode = 'light' and lab is not null").withColumn("chroma", C.chroma(F.col("lab"))).withColumn("hue", C.hue(F.col("lab")))
     t = theirs.select(F.col("color").alias("their"), F.col("lab").alias("t_lab")).withColumn("t_chroma", C.chroma(F.col("t_lab"))).withColumn("t_hue", C.hue(F.col("t_lab")))
-    j = mine.join(F.broadcast(t), F.lit(True))  # a brand has a handful of colours
+    j = mine.join(small(t), F.lit(True))  # a brand has a handful of colours
     j = j.withColumn("d", C.distance(F.col("lab"), F.col("t_lab")))
     family = (F.col("chroma") >= 0.06) & (F.col("t_chroma") >= 0.06) & (C.hue_gap(F.col("hue"), F.col("t_hue")) < 25)
     accent = (F.col("role") == "accent") & ((F.col("d") < 10) | ((F.col("d") < 20) & family))
@@ -161,7 +162,7 @@ def lint(designs: DataFrame, theirs: DataFrame | None = None, fonts: DataFrame |
 
 def nearest_brand(colors: DataFrame, brand: DataFrame, key: str = "color_id") -> DataFrame:
     """Each colour (key, lab) with the nearest of a small table of brand colours (color, lab) and the distance."""
-    j = colors.join(F.broadcast(brand.select(F.col("color").alias("their"), F.col("lab").alias("t_lab"))), F.lit(True))
+    j = colors.join(small(brand.select(F.col("color").alias("their"), F.col("lab").alias("t_lab"))), F.lit(True))
     d = C.distance(F.col("lab"), F.col("t_lab"))
     return j.groupBy(key).agg(F.min_by("their", F.struct(d.alias("d"), "their")).alias("nearest"), F.min(d).alias("distance"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import button_label, contains_run, fold, graphemes, has_emoji, ident_words, markdown_visible, squash
 from corvane.operators import copy_rules as R
+from corvane.session import small
 
 FINDING = "source_id string, pos long, level string, rule string, text string, detail string"
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
@@ -57,7 +58,7 @@ def matches(items: DataFrame, words=R.WORDS, patterns=R.PATTERNS) -> DataFrame:
 
 def matches_of_rules(items: DataFrame, rules: DataFrame) -> DataFrame:
     """The same for a table of rules (rule, pattern, tier, advice), by theta join; the rules are small by nature."""
-    return items.join(F.broadcast(rules), F.expr("low RLIKE pattern")).drop("pattern")
+    return items.join(small(rules), F.expr("low RLIKE pattern")).drop("pattern")
 
 
 def tally(m: DataFrame) -> DataFrame:

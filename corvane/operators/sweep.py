@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corvane.functions import color as C
 from corvane.functions.text import contains_run, ident_words
 from corvane.functions.urls import PATH_ATTRIBUTE, host, path_hash
+from corvane.session import small
 
 LONG_LINE, COLOR_DISTANCE, IMAGE_BYTES = 4000, 3.0, 20_000_000
 CODE = r"(?i)\.(css|scss|sass|less|tsx?|jsx?|mjs|cjs|json|html?|svg|vue|svelte|astro|mdx?|ya?ml|toml|txt)$"
@@ -51,19 +52,19 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def name_hits(rows: DataFrame, avoid: DataFrame) -> DataFrame:
-    hit = rows.withColumn("w", ident_words(F.col("text"))).join(F.broadcast(avoid), contains_run(F.col("w"), F.col("words")))
+    hit = rows.withColumn("w", ident_words(F.col("text"))).join(small(avoid), contains_run(F.col("w"), F.col("words")))
     return hit.select(F.lit("name").alias("kind"), "path", "line", "text", F.array_join("words", " ").alias("detail"))
 
 
 def domain_hits(rows: DataFrame, avoid: DataFrame) -> DataFrame:
-    hit = rows.join(F.broadcast(avoid), F.contains(F.lower("text"), F.col("domain")))
+    hit = rows.join(small(avoid), F.contains(F.lower("text"), F.col("domain")))
     return hit.select(F.lit("domain").alias("kind"), "path", "line", "text", F.col("domain").alias("detail"))
 
 
 def host_hits(hosts: DataFrame, avoid: DataFrame) -> DataFrame:
     """Requested hosts equal to or below an avoided domain."""
     h = F.regexp_replace(F.lower("host"), r"^www\.", "")
-    hit = hosts.join(F.broadcast(avoid), (h == F.col("domain")) | F.endswith(h, F.concat(F.lit("."), F.col("domain"))))
+    hit = hosts.join(small(avoid), (h == F.col("domain")) | F.endswith(h, F.concat(F.lit("."), F.col("domain"))))
     return hit.select(F.lit("runtime").alias("kind"), "path", F.lit(0).alias("line"), F.col("host").alias("text"), F.col("domain").alias("detail"))
 
 
@@ -71,7 +72,7 @@ def color_hits(rows: DataFrame, brand: DataFrame, distance: float = COLOR_DISTAN
     """Colours written in code files that are near a brand colour."""
     found = rows.where(F.col("path").rlike(CODE)).withColumn("raw", F.explode(C.colors_in_text(F.col("text"))))
     found = found.withColumn("c", C.parse_color(F.col("raw"))).where("c.r is not null").withColumn("lab_", C.oklab(F.col("c")))
-    hit = found.join(F.broadcast(brand), C.distance(F.col("lab_"), F.col("lab")) < distance)
+    hit = found.join(small(brand), C.distance(F.col("lab_"), F.col("lab")) < distance)
     return hit.select(F.lit("color").alias("kind"), "path", "line", "text", F.concat_ws(" ~ ", "raw", "color").alias("detail"))
 
 

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a dimension table may be broadcast.
+SMALL_ROWS = 10_000
 
 
 def build(cores: int | str = "*", app: str = "corvane", memory: str = "12g", **conf: str) -> SparkSession:
@@ -32,3 +36,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
