@@ -81,3 +81,17 @@ def test_streaming_append(spark, tmp_path):
     spark.createDataFrame([(2, "z"), (3, "c")], "id long, v string").write.parquet(str(src / "2"))
     streams.append_to(stream(), out, str(tmp_path / "c1"), "id").awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_paged_stream(spark, tmp_path):
+    recorded.register(spark)
+    for page in (1, 2):
+        recorded.record(str(tmp_path), f"http://f/{page}", 200, f"page {page}")
+    s = spark.readStream.format("recorded").option("folder", str(tmp_path)).option("template", "http://f/{page}").load()
+    q = s.writeStream.format("memory").queryName("paged").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        for _ in range(4):
+            q.processAllAvailable()
+        assert sorted(r["text"] for r in spark.table("paged").collect()) == ["page 1", "page 2"]
+    finally:
+        q.stop()
