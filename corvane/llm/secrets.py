@@ -15,7 +15,7 @@ import hashlib
 import math
 import random
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -34,35 +34,61 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 MIN_RUN, THRESHOLD = 20, 0.35
 
-# Words from which ordinary identifiers are made.
+# Words of all initial letters from which ordinary identifiers are made.
 WORDS = (
     "account action address admin alert amount angle apply array author backup balance batch before binary block "
     "border branch bridge buffer builder button cache call category center change channel check child class client "
     "cloud cluster code column command comment common config connect content context control convert copy count "
     "create cursor customer data database date debug default delete depth device dialog directory display document "
-    "domain download draft driver dynamic editor element email enable encode engine entity entry error event "
-    "example export factory feature field file filter find first folder footer format frame function general "
-    "global graph group handler header height history icon image import index input insert install item key "
-    "label language layout length level library limit line link list loader local location login manager map "
-    "master match member memory menu message method metric model module monitor name network node notice number "
-    "object option order output owner package page panel parent parser path pattern people person picture "
-    "project property query"
+    "domain download draft driver dynamic editor element email enable encode engine entity entry error event example "
+    "export factory feature field file filter find first folder footer format frame function general global graph "
+    "group handler header height history icon image import index input insert install item key label language layout "
+    "length level library limit line link list loader local location login manager map master match member memory "
+    "menu message method metric model module monitor name network node notice number object option order output owner "
+    "package page panel parent parser path pattern people person picture project property query queue quick quota "
+    "radio random range rate read reader ready record redirect reduce reference refresh region register relation "
+    "release reload remote remove render repeat replace reply report request require reset resize resolve resource "
+    "response result retry return review right role root route router row rule runtime safe sample save scale scan "
+    "schedule schema scope screen script scroll search second section select send sequence serial server service "
+    "session setting setup shadow shape share shift show sign simple single size skip sleep slice slot small socket "
+    "sort source space speed split stack stage start state static status step stock stop storage store stream string "
+    "style subject submit success suffix summary support switch symbol sync system table tag target task team "
+    "template term test text theme thread ticket time timeout title toggle tool top topic total trace track traffic "
+    "transfer transform tree trigger trim type unique unit unlock update upgrade upload usage user utility valid "
+    "value variable vector vendor verify version video view visible visit voice volume wait wallet warning watch "
+    "water weak web weight wheel white widget width window wire wizard word work worker world wrap write xaxis xml "
+    "yaml year yellow yield zero zip zone zoom ability absolute accept access active adapter after agent aggregate "
+    "archive argument assert asset assign async attach attribute audio audit average axis back bind body boolean "
+    "bound browser bucket bulk bundle byte calendar camera cancel capacity capture card cart catalog chain chart "
+    "chunk clear click clock clone close collect color compare compile complete compress compute condition confirm "
+    "constant container contract core country coverage crawl credit current decode deliver deploy detail detect diff "
+    "digest disable disk dispatch distance drop duplicate duration edge emit empty encrypt endpoint energy escape "
+    "evaluate exact except exchange execute exist exit expand expect expire explain expression extend external "
+    "extract fail fetch finish fix flag flat flow flush font force forward frequency front gateway generate grant "
+    "grid guard hash health hidden hook host hover identity ignore inner instance integer interface internal interval "
+    "invoice issue iterator job join journal json jump keyboard kernel kind large last latency launch layer lazy leaf "
+    "legacy letter life listen live lock log loop lower machine mail margin mask math matrix measure merge meta "
+    "middle migration minute mirror mobile mode money month mouse move multiple mutex native nested next normal null "
+    "offset online open operation optional origin overflow parallel parameter partition password patch payment "
+    "pending permission phone pixel plan platform play plugin point policy pool popup port position post power prefix "
+    "prepare preview price primary print priority private process product profile program progress promise protocol "
+    "provider proxy public publish pull purchase push"
 ).split()
 
 
-def labelled_samples(seed: int = 7, n: int = 4000) -> list[tuple[str, int]]:
-    """n made random strings (label 1) and n made identifiers (label 0); a caller may pass real ones instead."""
+def labelled_samples(seed: int = 7, n: int = 4000, words: Sequence[str] = WORDS) -> list[tuple[str, int]]:
+    """n made random strings (label 1) and n made identifiers (label 0) of `words`; a caller may pass real ones instead."""
     r, out = random.Random(seed), []
     sets = ["0123456789abcdef", ALPHABET[:62], ALPHABET[:62] + "+/", ALPHABET[:26] + "0123456789", ALPHABET[:26] + "234567", ALPHABET[:62] + "-_"]
     for i in range(n):
         s = sets[i % len(sets)]
         out.append(("".join(r.choice(s) for _ in range(r.randint(20, 64))), 1))
     for i in range(n):
-        parts = [r.choice(WORDS) for _ in range(r.randint(3, 7))]
+        parts = [r.choice(words) for _ in range(r.randint(2, 7))]
         if i % 3 == 0:
             parts.insert(r.randint(0, len(parts)), str(r.choice([r.randint(0, 99), r.randint(1990, 2035), r.randint(0, 99999)])))
         joined = ["_".join(parts), "-".join(parts), "/".join(parts), "".join(p.capitalize() for p in parts), "_".join(parts).upper(), "".join(parts)]
-        s = joined[i % len(joined)]
+        s = r.choice(joined)
         out.append((f"{s}-{r.randint(2000, 2035)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}" if i % 17 == 0 else s, 0))
     out += [("".join(r.choice("0123456789") for _ in range(r.randint(20, 30))), 0) for _ in range(n // 20)]
     out += [(r.choice("=-_+/") * r.randint(20, 60), 0) for _ in range(n // 20)]

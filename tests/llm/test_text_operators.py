@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -213,3 +214,17 @@ def test_surrogates_stay_distinct(spark):
 def test_surrogates_are_keyed(spark, key):
     one = surrogates.replace_pii(frame(spark, ["a@bcd.com"]), key).first()["text"]
     assert one != surrogates.replace_pii(frame(spark, ["a@bcd.com"]), key + "x").first()["text"]
+
+
+def test_markov_models_pass_identifiers_of_unlisted_words():
+    words = "rocket rotate scanner segment shader signal snapshot sprite strategy subtitle texture thumbnail tooltip tunnel umbrella upstream vertex viewport wildcard workflow yesterday zebra zenith".split()
+    assert not set(words) & set(secrets.WORDS) and {w[0] for w in secrets.WORDS} >= set("abcdefghijklmnopqrstuvwxyz") - set("xyz")
+    r, wrong, n, model = random.Random(3), 0, 0, secrets.default_model()
+    for i in range(3000):
+        parts = [r.choice(words) for _ in range(r.randint(3, 6))]
+        parts.insert(r.randint(1, len(parts)), str(r.randint(0, 9999)))
+        s = ["_".join(parts), "-".join(parts), "".join(p.capitalize() for p in parts), "_".join(parts).upper(), "".join(parts)][i % 5]
+        n, wrong = n + 1, wrong + (secrets.ratio(s, model) > secrets.THRESHOLD)
+    assert wrong <= n // 100
+    for s in ("TestTotalSystemSearchWindowTest49", "RecordSessionTimeRegion24RequestThread"):
+        assert secrets.scan(f"see {s} here")[1] == [] and secrets.redact(f"see {s} here") == f"see {s} here"
