@@ -3,7 +3,9 @@
 Each source gets a mean repetition rate so that its expected share of all characters equals its target weight.
 A document's number of copies is a Poisson variable with that mean, found by inverting the distribution at a
 uniform number hashed from seed and doc_id, so that the result does not depend on partitions or retries. Copies
-are exploded and shuffled globally by a second hash: partition by its high part, sorted within.
+are exploded and shuffled globally by a second hash: partition by its high part, sorted within. A mean above
+MOST_RATE is drawn as a sum of independent draws of equal means, so rates have no upper bound; copies are exploded
+in runs of RUN numbers, so that no row holds a long array.
 
 Only one row a source is aggregated (after partial sums in every partition). That table is broadcast while the
 number of sources is at most BROADCAST_SOURCES; beyond it is joined with salted keys, so that a source with a
@@ -20,9 +22,10 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import cut
 
-BROADCAST_SOURCES, SALTS, MOST_RATE = 10_000, 64, 500.0
+BROADCAST_SOURCES, SALTS, RUN = 10_000, 64, 10_000
+MOST_RATE = 500.0  # the largest mean of a single draw: exp(-mean) stays far from the least double
 SEED = "mix-1"
-ADDED = ("mix_source", "mix_salt", "mix_copies", "mix_rate", "mix_copy", "mix_key")
+ADDED = ("mix_source", "mix_salt", "mix_copies", "mix_rate", "mix_from", "mix_copy", "mix_key")
 
 
 def uniform(*parts: Column) -> Column:
@@ -43,6 +46,17 @@ def poisson_inverse(u: Column, mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["k"])
 
 
+def poisson(mean: Column, *parts: Column) -> Column:
+    """Poisson number of any mean from hashes of parts: one draw up to MOST_RATE, else the sum of several of equal means."""
+    pieces = F.greatest(F.ceil(mean / MOST_RATE), F.lit(1).cast("long"))
+
+    def add(n: Column, i: Column) -> Column:
+        u = F.when(i == 0, uniform(*parts)).otherwise(uniform(*parts, i.cast("string")))
+        return n + poisson_inverse(u, mean / pieces)
+
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), pieces - 1), F.lit(0).cast("long"), add)
+
+
 def rates(docs: DataFrame, weights: dict[str, float], other: float = 1.0, total: float | None = None) -> DataFrame:
     """(mix_source, mix_rate): mean repetitions that bring each source to its share of `total` (by default all) characters.
 
@@ -56,7 +70,7 @@ def rates(docs: DataFrame, weights: dict[str, float], other: float = 1.0, total:
     chars, weight = per.agg(F.sum("chars"), F.sum(F.when(F.col("chars") > 0, F.col("w")))).first()
     goal = float(total if total is not None else chars or 0)
     rate = F.when(F.col("chars") > 0, F.lit(goal) * F.col("w") / F.lit(float(weight or 1)) / F.col("chars")).otherwise(F.lit(1.0))
-    return per.select("mix_source", F.least(rate, F.lit(MOST_RATE)).alias("mix_rate"))
+    return per.select("mix_source", rate.alias("mix_rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float], other: float = 1.0, total: float | None = None, seed: str = SEED, partitions: int | None = None) -> DataFrame:
@@ -74,9 +88,10 @@ def mix(docs: DataFrame, weights: dict[str, float], other: float = 1.0, total: f
         salted = rate.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = keyed.withColumn("mix_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["mix_source", "mix_salt"]).drop("mix_salt")
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    copies = poisson_inverse(uniform(F.lit(seed), doc), F.col("mix_rate"))
+    copies = poisson(F.col("mix_rate"), F.lit(seed), doc)
     out = joined.withColumn("mix_copies", copies).where("mix_copies > 0")
-    out = out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    out = out.withColumn("mix_from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"), F.lit(RUN).cast("long"))))
+    out = out.withColumn("mix_copy", F.explode(F.sequence(F.col("mix_from").cast("int"), F.least(F.col("mix_from") + RUN - 1, "mix_copies").cast("int"))))
     out = out.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), doc, F.col("mix_copy").cast("string")).cast("binary")))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = out.repartition(n, F.substring("mix_key", 1, 8)).sortWithinPartitions("mix_key")

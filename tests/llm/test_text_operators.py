@@ -174,6 +174,15 @@ def test_poisson_inverse(spark):
         assert k == want
 
 
+def test_mixing_has_no_largest_rate(spark):
+    rows = [(i, "x" * 1000, "big") for i in range(500)] + [(500, "rare words", "tiny")]
+    out = mixing.mix(spark.createDataFrame(rows, DOCS), {}).where("source = 'tiny'").select("mix_copy", "mix_rate", "mix_key").collect()
+    assert out[0]["mix_rate"] == 25000.5 and abs(len(out) / 25000.5 - 1) < 0.02
+    assert sorted(r["mix_copy"] for r in out) == list(range(1, len(out) + 1)) and len({r["mix_key"] for r in out}) == len(out)
+    n = [r["n"] for r in spark.range(2000).select(mixing.poisson(F.lit(1234.0), F.lit("s"), F.col("id").cast("string")).alias("n")).collect()]
+    assert abs(np.mean(n) - 1234) < 4 and abs(np.var(n) / 1234 - 1) < 0.15
+
+
 def test_surrogates(spark):
     texts = [
         "Mail Foo.Bar92@mail2.example.com or foo.bar92@MAIL2.example.com, call +1 (830) 555-5433 or 830-555-5433, ip 154.127.37.204 ok.",
