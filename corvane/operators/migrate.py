@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import squash
 from corvane.functions.urls import canonical_path, normalize, path_and_query, robots_pattern
 
-MOST_HOPS, LOOP = 6, 310
+MOST_HOPS, LOOP, SETTLE = 6, 310, 8
 
 
 def compare_pages(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -89,10 +92,20 @@ def allowed(paths: DataFrame, rules: DataFrame, key: str = "host", path: str = "
     return j.withColumn("allowed", (F.col(path) == "/robots.txt") | F.coalesce(best["allow"], F.lit(True))).drop("rules")
 
 
-def crawl(start: DataFrame, links: DataFrame, ok: Column | None = None, most: int = 150, depth: int = 50) -> DataFrame:
+def _settled(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder of spark.checkpoint.dir; a temporary one only where unset."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-ckpt-"))
+    return df.checkpoint(eager=True)
+
+
+def crawl(start: DataFrame, links: DataFrame, ok: Column | None = None, most: int = 150, depth: int | None = None) -> DataFrame:
     """Breadth-first order over a table of recorded links (src, dst): url, level; each normalised URL once.
 
-    The driver keeps only the number of pages per level; frontier and visited set stay distributed.
+    It ends where no link leads to a new page, at `most` pages, or at `depth` levels where one is given.
+    The driver keeps only the number of pages per level; frontier and visited set stay distributed. Each
+    level is checkpointed, and the visited set every SETTLE levels, so that plans do not grow with the depth.
     """
     edges = links.select(normalize(F.col("src")).alias("src"), normalize(F.col("dst")).alias("dst")).distinct()
     if ok is not None:
@@ -100,16 +113,20 @@ def crawl(start: DataFrame, links: DataFrame, ok: Column | None = None, most: in
     edges = edges.persist()
     frontier = start.select(normalize(F.col("url")).alias("url")).distinct().withColumn("level", F.lit(0)).limit(most)
     visited, n = frontier, frontier.count()
-    for level in range(1, depth + 1):
-        if n >= most:
+    for level in count(1):
+        if n >= most or depth is not None and level > depth:
             break
         step = frontier.join(edges, frontier["url"] == edges["src"]).select(F.col("dst").alias("url")).distinct()
-        step = step.join(visited, "url", "left_anti").withColumn("level", F.lit(level)).orderBy("url").limit(most - n)
-        step = step.persist()
+        step = step.join(visited, "url", "left_anti").withColumn("level", F.lit(level))
+        step = _settled(step)
         got = step.count()
         if not got:
             break
+        if got > most - n:
+            step, got = _settled(step.orderBy("url").limit(most - n)), most - n
         visited, frontier, n = visited.unionByName(step), step, n + got
+        if level % SETTLE == 0:
+            visited = _settled(visited)
     return visited
 
 

@@ -197,3 +197,10 @@ def test_interactions(spark):
     df = spark.createDataFrame([(base, focused)], "a map<string,string>, b map<string,string>")
     r = df.select(M.focus_visible(F.col("a"), F.col("b")).alias("f"), M.focus_visible(F.col("a"), F.col("a")).alias("g"), M.style_change(F.col("a"), F.col("b")).alias("c")).first()
     assert (r["f"], r["g"], r["c"]) == (True, False, {"color": ["a", "b"]})
+
+
+def test_crawl_has_no_depth_limit(spark):
+    links = spark.createDataFrame([(f"http://x.example/{i}", f"http://x.example/{i + 1}") for i in range(55)], "src string, dst string")
+    start = spark.createDataFrame([("http://x.example/0",)], "url string")
+    assert {(r["url"], r["level"]) for r in migrate.crawl(start, links).collect()} == {(f"http://x.example/{i}", i) for i in range(56)}
+    assert migrate.crawl(start, links, depth=3).count() == 4 and migrate.crawl(start, links, most=3).count() == 3
