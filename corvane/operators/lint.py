@@ -129,7 +129,8 @@ SMALL = "a an and as at but by for in of on or the to with vs".split()
 
 def is_title_case(s: Column) -> Column:
     """Two significant words or more after the first, 0.7 of them capitalised."""
-    w = F.filter(F.slice(F.split(squash(s), " "), 2, 10_000), lambda x: ~F.lower(x).isin(*SMALL) & x.rlike(r"^\p{L}"))
+    words = F.split(squash(s), " ")
+    w = F.filter(F.slice(words, 2, F.size(words)), lambda x: ~F.lower(x).isin(*SMALL) & x.rlike(r"^\p{L}"))
     return (F.size(w) >= 2) & (F.size(F.filter(w, lambda x: x.rlike(r"^\p{Lu}"))) / F.size(w) >= 0.7)
 
 

@@ -204,3 +204,9 @@ def test_crawl_has_no_depth_limit(spark):
     start = spark.createDataFrame([("http://x.example/0",)], "url string")
     assert {(r["url"], r["level"]) for r in migrate.crawl(start, links).collect()} == {(f"http://x.example/{i}", i) for i in range(56)}
     assert migrate.crawl(start, links, depth=3).count() == 4 and migrate.crawl(start, links, most=3).count() == 3
+
+
+def test_title_case_reads_the_whole_heading(spark):
+    heads = [(1, "Start " + "Word " * 10_000 + "low " * 10_000), (2, "Start " + "Word " * 9 + "low")]
+    got = spark.createDataFrame(heads, "k int, t string").select("k", lint.is_title_case(F.col("t")).alias("title")).collect()
+    assert {r["k"]: r["title"] for r in got} == {1: False, 2: True}
