@@ -11,6 +11,8 @@ gender and script by a keyed step, also one-to-one; other names that would land
 until they do not, the collision check that keeps the union of both maps one-to-one. Numbers keep separators,
 country code, first digit class and, for cards, issuer digit and check digit; names keep title, gender, script,
 case and length. `collisions` checks a corpus for replacements that two entities share.
+A name after a first name takes initials, further names and hyphenated or several surnames. Its surnames are replaced
+wherever else they stand in the same text; such mentions are not counted in n_name.
 
 Defined results: null text gives null text and no entities, texts without entities stay as they are, every row gives
 one row; texts are handled whole.
@@ -40,6 +42,7 @@ FIRST_NAMES = {
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Sr Sra Господин Госпожа".split()
 
 _FIRST = "|".join(sorted((n for names in FIRST_NAMES.values() for n in names), key=len, reverse=True))
+_MORE = r"(?:(?:[ -]\p{Lu}\.)*[ -]\p{Lu}\p{L}+)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
@@ -47,11 +50,11 @@ PATTERNS = {
     "card": r"(?<!\d)[3-6](?:\d{3}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{12,18})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
-    "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{'|'.join(TITLES)})\.? \p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}}|(?:{_FIRST}) \p{{Lu}}\p{{L}}+)(?!\p{{L}})",
+    "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{'|'.join(TITLES)})\.?(?: \p{{Lu}}\.)* \p{{Lu}}\p{{L}}+{_MORE}*|(?:{_FIRST}){_MORE}+)(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap test that every text with an entity passes.
-HINT = rf"[0-9@]|(?:{'|'.join(TITLES)})\.? |(?:{_FIRST}) "
+HINT = rf"[0-9@]|(?:{'|'.join(TITLES)})\.? |(?:{_FIRST})[ -]"
 
 
 def _lit(s: str) -> str:
@@ -173,7 +176,8 @@ def _name(m: str, key: str) -> str:
     table = "map(" + ", ".join(f"{_lit(a)}, {_lit(b)}" for a, b in moved.items()) + ")"
     listed = "array(" + ", ".join(_lit(a) for a in moved) + ")"
     title = "array(" + ", ".join(_lit(t.lower()) for t in TITLES) + ")"
-    again = f"element_at(transform(array({_cipher('lower(w)', key, 'name')}), z -> IF(array_contains({listed}, z), {_cipher('z', key, 'name')}, z)), 1)"
+    walk = f"aggregate(sequence(1, {len(moved)}), z, (y, i) -> IF(array_contains({listed}, y), {_cipher('y', key, 'name')}, y))"
+    again = f"element_at(transform(array({_cipher('lower(w)', key, 'name')}), z -> IF(array_contains({listed}, z), {walk}, z)), 1)"
     first = f"IF(w = upper(w), upper({table}[lower(w)]), {table}[lower(w)])"
     word = f"IF(array_contains({title}, rtrim('.', lower(w))), w, coalesce({first}, {_recased('w', again)}))"
     # separators are single blanks or hyphens: words and separators alternate
@@ -201,6 +205,21 @@ def _found(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("pii_values", values).withColumn("pii_kinds", F.expr(f"transform(pii_values, m -> {_kind('m')})"))
 
 
+def _surnames() -> str:
+    """SQL: the words of the names in pii_values without titles, listed first names and initials."""
+    other = "array(" + ", ".join(_lit(w.lower()) for w in [*TITLES, *(n for names in FIRST_NAMES.values() for n in names)]) + ")"
+    names = "flatten(transform(filter(pii_values, (m, i) -> pii_kinds[i] = 'name'), m -> split(m, '[ -]')))"
+    return f"array_distinct(filter({names}, w -> w RLIKE '^\\\\p{{L}}{{2,}}$' AND NOT array_contains({other}, lower(w))))"
+
+
+def _mentions(g: str, key: str) -> str:
+    """SQL: g, a text between entities, with the surnames of pattern pii_bare replaced as in full names."""
+    return (
+        f"IF(pii_bare IS NULL OR NOT {g} RLIKE pii_bare, {g}, array_join(zip_with(split({g}, pii_bare, -1), regexp_extract_all({g}, pii_bare, 0), "
+        f"(t, s) -> concat(t, IF(s IS NULL, '', {_name('s', key)}))), ''))"
+    )
+
+
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with surrogates in text, and n_email, n_ip, n_card, n_ssn, n_phone, n_name, n_entities.
 
@@ -210,7 +229,10 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     own = [c for c in docs.columns if c not in (*counts, "n_entities") and not c.startswith("pii_")]
     rows = _found(docs.select(own))
     new = f"zip_with(pii_kinds, pii_values, (k, m) -> {surrogate('k', 'm', key)})"
-    gaps = F.split(F.col("text"), ANY, -1)
+    rows = rows.withColumn("pii_surnames", F.expr(f"IF(array_contains(pii_kinds, 'name'), {_surnames()}, array())"))
+    rows = rows.withColumn("pii_bare", F.expr("IF(size(pii_surnames) > 0, concat('(?<!\\\\p{L})(?:', array_join(pii_surnames, '|'), ')(?!\\\\p{L})'), NULL)"))
+    rows = rows.withColumn("pii_gaps", F.split(F.col("text"), ANY, -1))
+    gaps = F.expr(f"transform(pii_gaps, g -> {_mentions('g', key)})")
     text = F.when(F.size("pii_values") > 0, F.array_join(F.zip_with(gaps, F.expr(new), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")).otherwise(F.col("text"))
     n = [F.expr(f"size(filter(pii_kinds, x -> x = '{k}'))").cast("long").alias(f"n_{k}") for k in PATTERNS]
     return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in own], *n, F.size("pii_values").cast("long").alias("n_entities"))

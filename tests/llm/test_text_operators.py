@@ -237,3 +237,13 @@ def test_markov_models_pass_identifiers_of_unlisted_words():
     assert wrong <= n // 100
     for s in ("TestTotalSystemSearchWindowTest49", "RecordSessionTimeRegion24RequestThread"):
         assert secrets.scan(f"see {s} here")[1] == [] and secrets.redact(f"see {s} here") == f"see {s} here"
+
+
+def test_surrogates_take_whole_names_and_later_mentions(spark):
+    texts = ["Mary Jane Smith came.", "Mary Smith-Jones came.", "James T. Kirk came; Kirk left, Kirkland stayed.", "Juan Vega Robles came.", "Jean-Pierre Dupont came.", "Ask Mary Smith. Later Smith and the Smiths met.", "Dr. James T. Kirk came."]
+    out = [r["text"] for r in surrogates.replace_pii(frame(spark, texts)).orderBy("doc_id").collect()]
+    for t, left in zip(out, ("Mary Jane Smith", "Mary Smith Jones", "James T. Kirk", "Juan Vega Robles", "Jean Pierre Dupont", "Mary Smith", "James T. Kirk"), strict=True):
+        assert not [w for w in left.split() if re.search(rf"(?<!\w){re.escape(w)}(?!\w)", t)], t
+    kirk = re.fullmatch(r"\w+ \w\. (\w+) came; (\w+) left, Kirkland stayed\.", out[2])
+    smith = re.fullmatch(r"Ask \w+ (\w+)\. Later (\w+) and the Smiths met\.", out[5])
+    assert kirk[1] == kirk[2] and smith[1] == smith[2] and f" {smith[1]} came" in out[0]
