@@ -39,10 +39,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate results (spark.checkpoint.dir); a temporary one only where unset."""
+    """The cluster's shared folder for intermediate results, spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a temporary folder; on a cluster, whose machines share no such folder, that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corvane-ckpt-"))
     return sc.getCheckpointDir()
 
 

@@ -7,7 +7,8 @@ variant, so within two bits of each other: linking neighbours in the bucket's or
 keeps every component, and a bucket never holds more than 65 distinct fingerprints however many copies exist.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows stay as
-they are; rows without doc_id get a fingerprint and their group's component_id (null if the group has no id).
+they are; rows without doc_id get a fingerprint and their group's component_id (null if the group has no id). In
+`keep_first` a row is named by its doc_id and a hash of its text, so a doc_id with several texts is several documents.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import connected_components, cut
 
 SHINGLE, SEED, CHUNK = 3, 42, 65_536
+BROADCAST_ROWS = 1_000_000  # dropped rows, of two longs each, that may be sent to every executor
 
 
 def fingerprint(text: bytes | None, n: int = SHINGLE, seed: int = SEED) -> int:
@@ -45,15 +47,20 @@ def fingerprint(text: bytes | None, n: int = SHINGLE, seed: int = SEED) -> int:
 def _fingerprints(n: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [fingerprint(t, n, seed) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(got, pa.int64())], ["doc_id", "fp"])
+            got = [fingerprint(t, n, seed) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.int64())], ["doc_id", "text_key", "fp"])
 
     return run
 
 
+def _text_key() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def fingerprints(docs: DataFrame, n: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) of every row."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(n, seed), "doc_id long, fp long")
+    """(doc_id, text_key, fp) of every row; text_key is a hash of the text."""
+    rows = docs.select(F.col("doc_id").cast("long"), _text_key().alias("text_key"), F.col("text").cast("string"))
+    return rows.mapInArrow(_fingerprints(n, seed), "doc_id long, text_key long, fp long")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -70,12 +77,16 @@ def links(fps: DataFrame) -> DataFrame:
     )
 
 
+def _roots(fps: DataFrame) -> DataFrame:
+    """fps (with a distinct `fp`) and the root fingerprint of each one's component."""
+    roots = connected_components(links(fps.select("fp")))
+    return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def components(docs: DataFrame, n: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links) of every row."""
     rows = cut(fingerprints(docs, n, seed))
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = connected_components(links(fps.select("fp")))
-    grouped = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    grouped = _roots(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = grouped.join(least, "root").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
@@ -87,12 +98,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each component the document with the smallest doc_id stays, once.
+def keep_first(docs: DataFrame, n: int = SHINGLE, seed: int = SEED, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs without near copies: of each component the row with the smallest (doc_id, text_key) stays, once.
 
-    Only ids of dropped rows are shuffled against the texts. Rows that repeat a doc_id count as one document;
-    rows without doc_id cannot be named, and stay.
+    Rows that go are named by doc_id and text_key, never by doc_id alone, so another text of the same doc_id stays.
+    Of rows that repeat both, the one whose other columns hash lowest stays. Rows without doc_id cannot be named, and
+    stay. Up to `broadcast_rows` names are sent to the executors, so no text is shuffled but those of repeated rows;
+    with more names the last join shuffles the texts once.
     """
-    dropped = components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = cut(fingerprints(docs, n, seed).where("doc_id is not null").groupBy("doc_id", "text_key").agg(F.min("fp").alias("fp"), F.count("*").alias("times")))
+    grouped = _roots(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("own")))
+    of = grouped.join(grouped.groupBy("root").agg(F.min("own").alias("head")), "root").select("fp", "head")
+    goes = F.col("head") != F.struct("doc_id", "text_key")
+    named = rows.join(of, "fp").where(goes | (F.col("times") > 1))
+    named = cut(named.select(F.col("doc_id").alias("sim_id"), F.col("text_key").alias("sim_key"), goes.alias("sim_goes")))
+    few = named.limit(broadcast_rows + 1).count() <= broadcast_rows
+    row = (docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string")))
+
+    def only(names: DataFrame, how: str) -> DataFrame:
+        return docs.join(F.broadcast(names) if few else names, (row[0] == F.col("sim_id")) & (row[1] == F.col("sim_key")), how)
+
+    kept, repeated = only(named, "left_anti"), named.where("not sim_goes")
+    if repeated.isEmpty():
+        return kept
+    rank = F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t and "variant" not in t])
+    once = only(repeated, "left_semi").groupBy(F.col("doc_id").cast("long").alias("sim_id"), _text_key().alias("sim_key"))
+    return kept.unionByName(once.agg(F.min_by(F.struct("*"), rank).alias("sim_row")).select("sim_row.*"))

@@ -80,3 +80,14 @@ def test_keep_first_and_edge_cases(spark):
 def test_fingerprint(n):
     t = " ".join(f"W{i % 7}" for i in range(n))
     assert simhash.fingerprint(t.encode()) % 2**64 == brute(t)
+
+
+def test_keep_first_names_rows_by_text(spark):
+    a, b = "alpha beta gamma delta epsilon zeta", "quite another text stands in this row today"
+    rows = [(3, a), (5, a), (5, b), (7, None), (8, ""), (7, b + " and more words"), (5, b)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], DOCS + ", sim_goes int")
+    for few in (1000, 0):
+        kept = simhash.keep_first(docs, broadcast_rows=few)
+        assert kept.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(3, a), (5, b), (7, None), (7, b + " and more words")], key=str)
+    assert simhash.keep_first(spark.createDataFrame([], DOCS)).count() == 0

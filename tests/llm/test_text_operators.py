@@ -247,3 +247,25 @@ def test_surrogates_take_whole_names_and_later_mentions(spark):
     kirk = re.fullmatch(r"\w+ \w\. (\w+) came; (\w+) left, Kirkland stayed\.", out[2])
     smith = re.fullmatch(r"Ask \w+ (\w+)\. Later (\w+) and the Smiths met\.", out[5])
     assert kirk[1] == kirk[2] and smith[1] == smith[2] and f" {smith[1]} came" in out[0]
+
+
+def test_mixing_sql_has_no_largest_rate(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, "x" * 600, "en", "src9", 600) for i in range(20)] + [(20, "rare", "en", "src1", 4), (21, None, None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(tuple(r) for r in mixing.mix(docs, mixing.TARGET).where("source = 'src1'").collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
+    want = sorted(con.execute(f"SELECT * FROM ({mixing.ORACLE}) WHERE source = 'src1'").fetchall())
+    assert got == want and got[0][5] > 1500
+
+
+def test_mixing_stage_keeps_clashing_columns(spark):
+    import corpus_pipeline as P
+
+    docs = frame(spark, ["a b c", None, ""]).withColumn("mix_source", F.lit(1)).withColumn("mix_key", F.lit("k")).withColumn("doc", F.lit(2)).withColumn("mix_copies", F.lit(9))
+    out = P.mixing_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert {(r["mix_source"], r["mix_key"], r["doc"], r["mix_copies"]) for r in out.collect()} <= {(1, "k", 2, 9)}
