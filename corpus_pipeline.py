@@ -30,7 +30,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents to the target weights of their sources and shuffles them."""
-    return mixing.mix(docs, mixing.TARGET).select(docs.columns)
+    return mixing.mix_rows(docs, mixing.TARGET)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,15 +47,26 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-# Trained models, word hashes and token ids are beyond SQL; tests compare run() with brute-force versions.
+# Trained models, word hashes and token ids are beyond SQL; tests/llm compares every stage with a plain version of it.
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each but the last is written to the shared folder and read again."""
-    docs, base = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    """All stages on documents; each but the last is written to the shared folder and read again.
+
+    A stage's table is deleted once the next one is written; that of the last but one stays, as the result reads it.
+    """
+    docs, base, before = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}", None
     for i, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{base}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            _delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
