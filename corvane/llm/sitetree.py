@@ -1,14 +1,18 @@
 """Main-text extraction with a site style tree.
 
 The DOMs of a host's pages are merged: a tree node is a path of element styles (tag, id, classes). For every node
-the tree knows on how many pages it stands, how its child sequences vary (presentation) and how its own texts vary
-(content). With c_i pages showing variant i and m in all, a node's importance is
-1 - sum(c_i log c_i) / (m log m): 0 if all pages look alike there, 1 if all differ. Nodes of low importance in both
-respects, on enough pages, are the site's furniture and are removed from every page.
-
-Furniture whose content changes from page to page (rotating adverts, generated menus) has high entropy, so the
-tree alone would keep it; elements whose tag, role or class names declare them furniture have importance 0 by
-definition. Within an article, plain text elements (paragraphs, headings, list items) always stay.
+the tree knows on how many pages it stands, how its child sequences vary (presentation), how the texts below it
+vary (content), and how their numbers of blocks and words vary (shape). With c_i pages showing variant
+i and m in all, an importance is 1 - sum(c_i log c_i) / (m log m): 0 if all pages look alike there, 1 if all differ.
+Two sorts of nodes are furniture and are removed from every page as whole branches: static ones, unimportant in
+presentation and content; and, outside article and main elements, slots, whose text changes from page to page
+(rotating adverts, generated menus) but neither in presentation nor in shape, and which hold little of a page's text.
+
+A host's own tree decides for nodes on at least LEAST_PAGES of its pages; for others the tree of all hosts together
+does, so a host of few pages is treated by the same rule. Markup is the prior: elements whose tag or role declares
+them furniture, or whose class or id consists of furniture names alone, have importance 0 by definition, and plain
+text elements (paragraphs, headings, list items) count as part of what they stand in. If a page has a main element
+with text, that is where its text is; text outside an article stays where the tree does not remove it.
 
 Statistics are sums per (host, node, variant) and then per (host, node), combined before each shuffle; a host with
 a third of all pages is no larger than its distinct variants in any one task's partial sums.
@@ -23,6 +27,7 @@ import html as htmllib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -32,7 +37,10 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import cut
 
-LEAST_PAGES, LEAST_IMPORTANCE, SHIPPED_NODES = 10, 0.1, 200_000
+LEAST_PAGES, SHIPPED_NODES = 10, 200_000
+STATIC_IMPORTANCE = 0.1  # below it a node is static
+SLOT_IMPORTANCE, SLOT_SPREAD, SLOT_SHARE = 0.8, 2.5, 0.2  # below all three (the second an entropy in nats, of about 12 shapes) a node is a slot
+ALL_HOSTS = "*"  # stands for the tree of all hosts; no host name
 
 # HTML element classes and names that declare furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,6 +60,11 @@ NOISE_NAMES = frozenset(
     "subscribe subscription signup login comment comments respond reply replies disqus discussion pagination pager "
     "toolbar copyright".split()
 )
+# Words that say nothing by themselves in a class or id beside furniture names.
+NEUTRAL_NAMES = frozenset(
+    "area bar block box button buttons button container content form global group header icons inner item items left line link links list main "
+    "message outer page panel post posts right row section site slot small tools top bottom unit wrap wrapper".split()
+)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
@@ -82,6 +95,13 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def furniture_name(name: str, inside: int) -> bool:
+    """Whether a class or id names furniture: one of its words does, and no other word says anything else."""
+    words = [w for w in map(str.lower, NAME.findall(name)) if not w.isdigit()]
+    named = [w in NOISE_NAMES or w == "header" and not inside for w in words]
+    return any(named) and all(n or w in NEUTRAL_NAMES for n, w in zip(named, words, strict=True))
+
+
 def style_of(tag: str, attributes: str, inside: int) -> tuple[str, bool, bool]:
     """An element's style (tag, id, classes), whether it declares itself furniture, whether it is a main element."""
     if not attributes.strip():
@@ -93,22 +113,23 @@ def style_of(tag: str, attributes: str, inside: int) -> tuple[str, bool, bool]:
     noise = tag in NOISE_TAGS or tag == "header" and not inside or role in NOISE_ROLES
     noise |= "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     if tag not in ("html", "body", "article", "main"):
-        words = {w.lower() for w in NAME.findall(names)}
-        noise |= bool(words & NOISE_NAMES) or "header" in words and not inside
+        noise |= any(furniture_name(n, inside) for n in names.split())
     return style, noise, tag == "main" or role == "main"
 
 
 class Page:
     """One page's blocks, in order, and its elements for the tree.
 
-    blocks: (text, element keys from the root down that may be pruned, 0 outside, 1 in main, 2 in an article, noise).
-    nodes: per element key its child sequence; texts: per element key its own block texts.
+    blocks: (text, element keys from the root down that may be pruned, 1 in main + 2 in an article, noise).
+    nodes: per element key its child sequence; texts: per element key the block texts below it, and where it stands.
+    Without `prior` only what is hidden counts as noise, so that the tree alone decides.
     """
 
-    def __init__(self, html: str | None):
+    def __init__(self, html: str | None, prior: bool = True):
+        self.prior = prior
         self.blocks: list[tuple[str, tuple, int, bool]] = []
         self.nodes: list[tuple[int, str]] = []
-        self.texts: list[tuple[int, str]] = []
+        self.texts: list[tuple[int, str, int]] = []
         self.stack = [Element("", 0, False, 0, False, ())]
         self.buffer: list[str] = []
         self.parse(html or "")
@@ -147,7 +168,8 @@ class Page:
         style, noise, main = style_of(tag, attributes, top.inside)
         top.children.append(style)
         key = xxhash.xxh64_intdigest(style, top.key) >> 1
-        inside = 2 if tag == "article" else max(top.inside, 1 if main else 0)
+        inside = top.inside | (1 if main else 0) | (2 if tag == "article" else 0)
+        noise = noise if self.prior else tag == "head"
         plain = tag in TEXTUAL and style == tag or tag in ("html", "body", "article", "main") or tag not in BLOCKS
         self.stack.append(Element(tag, key, noise or top.noise, inside, plain, top.above if plain else (*top.above, key)))
 
@@ -176,11 +198,7 @@ class Page:
         e = self.stack[-1]
         if e.tag in BLOCKS:
             self.end_block()
-            seen: list[str] = []  # runs of one style count once
-            for c in e.children:
-                if not seen or seen[-1] != c:
-                    seen.append(c)
-            self.nodes.append((e.key, "\n".join(seen)))
+            self.nodes.append((e.key, "\n".join(e.children)))
         self.stack.pop()
 
     def end_block(self) -> None:
@@ -193,13 +211,13 @@ class Page:
             noise = e.noise or self.stack[-1].noise
             self.blocks.append((text, e.above, e.inside, noise))
             for key in e.above or (e.key,):
-                self.texts.append((key, text))
+                self.texts.append((key, text, e.inside))
 
     def main_text(self, low: set[int] | frozenset[int]) -> str:
-        """Blocks of the articles, else of the main element, else of the page, without furniture and low branches."""
+        """Blocks of the main element, if it has any, else of the page, without furniture and low branches."""
         kept = [b for b in self.blocks if not b[3]]
-        inside = max((b[2] for b in kept), default=0)
-        kept = [b for b in kept if b[2] == inside]
+        if any(b[2] & 1 for b in kept):
+            kept = [b for b in kept if b[2] & 1]
         pruned = [b for b in kept if low.isdisjoint(b[1])] if low else kept
         return "\n".join(b[0] for b in pruned or kept)
 
@@ -208,36 +226,91 @@ def _signed(text: str) -> int:
     return xxhash.xxh64_intdigest(text) >> 1
 
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        counts: Counter = Counter()
-        for url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            page, host = Page(html), host_of(url)
-            texts: dict[int, list[str]] = {}
-            for key, t in page.texts:
-                texts.setdefault(key, []).append(t)
-            counts.update({(host, k, 0, _signed(s)) for k, s in page.nodes})
-            counts.update({(host, k, 1, _signed("\n".join(t))) for k, t in texts.items()})
-        if counts:
-            cols = list(zip(*counts, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["host", "node", "kind", "variant", "c"])
-
-
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, presentation, content): importances of every merged node, null where it has none of a kind."""
-    rows = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_statistics, "host string, node long, kind int, variant long, c long")
+PRESENTATION, CONTENT, SHAPE, SHARE, INSIDE = range(5)  # kinds of statistics; the last two are sums and maxima, not variants
+
+
+def page_statistics(page: Page) -> dict[tuple[int, int, int], int]:
+    """(node, kind, variant) -> count of one page; shares in millionths of the page's characters."""
+    out = dict.fromkeys(((k, PRESENTATION, _signed(s)) for k, s in page.nodes), 1)
+    texts: dict[int, list[str]] = {}
+    within: dict[int, int] = {}
+    for key, t, inside in page.texts:
+        texts.setdefault(key, []).append(t)
+        within[key] = max(within.get(key, 0), int(inside > 0))
+    whole = sum(len(b[0]) for b in page.blocks) or 1
+    for k, t in texts.items():
+        out[k, CONTENT, _signed("\n".join(t))] = 1
+        out[k, SHAPE, _signed(" ".join(str(x.count(" ")) for x in t))] = 1
+        out[k, SHARE, 0] = 1_000_000 * sum(map(len, t)) // whole
+        out[k, INSIDE, 0] = within[k]
+    return out
+
+
+def _statistics(prior: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts: Counter = Counter()
+            for url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                host = host_of(url)
+                for (node, kind, variant), n in page_statistics(Page(html, prior)).items():
+                    counts[host, node, kind, variant] += n
+                    counts[ALL_HOSTS, node, kind, variant] += n
+            if counts:
+                cols = list(zip(*counts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["host", "node", "kind", "variant", "c"])
+
+    return run
+
+
+def style_tree(pages: DataFrame, prior: bool = True) -> DataFrame:
+    """(host, node, pages, presentation, content, shape, spread, share, inside) of every merged node: its importances, the
+    entropy of its shape, its mean share of a page's text, and whether it stands in an article or main element; null
+    where it has none of a kind."""
+    rows = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_statistics(prior), "host string, node long, kind int, variant long, c long")
     per = rows.groupBy("host", "node", "kind", "variant").agg(F.sum("c").alias("c"))
-    m, log = F.sum("c"), F.sum(F.col("c") * F.log(F.col("c").cast("double")))
+    m, log = F.sum("c"), F.sum(F.when(F.col("kind") < SHARE, F.col("c") * F.log(F.col("c").cast("double"))))
     kind = per.groupBy("host", "node", "kind").agg(m.alias("m"), log.alias("clogc"))
     imp = F.when(F.col("m") > 1, 1 - F.col("clogc") / (F.col("m") * F.log(F.col("m").cast("double")))).otherwise(F.lit(1.0))
-    pick = lambda k: F.max(F.when(F.col("kind") == k, imp))
-    return kind.groupBy("host", "node").agg(F.max("m").alias("pages"), pick(0).alias("presentation"), pick(1).alias("content"))
+    pick = lambda k, x=imp: F.max(F.when(F.col("kind") == k, x))
+    n = F.max(F.when(F.col("kind") < SHARE, F.col("m")))
+    share = pick(SHARE, F.col("m")) / pick(CONTENT, F.col("m")) / 1_000_000
+    spread = F.log(F.col("m").cast("double")) - F.col("clogc") / F.col("m")
+    return kind.groupBy("host", "node").agg(n.alias("pages"), pick(PRESENTATION).alias("presentation"), pick(CONTENT).alias("content"), pick(SHAPE).alias("shape"), pick(SHAPE, spread).alias("spread"), share.alias("share"), (pick(INSIDE, F.col("m")) > 0).alias("inside"))
+
 
+def judged_nodes(pages: DataFrame, least_pages: int = LEAST_PAGES, prior: bool = True) -> DataFrame:
+    """(host, node, low) of nodes with texts on enough pages: whether they are static or slots."""
+    look = F.coalesce("presentation", F.lit(0.0))
+    static = (look < STATIC_IMPORTANCE) & (F.col("content") < STATIC_IMPORTANCE)
+    slot = ~F.col("inside") & (F.greatest(look, "shape") < SLOT_IMPORTANCE) & (F.col("spread") < SLOT_SPREAD) & (F.col("share") < SLOT_SHARE)
+    tree = style_tree(pages, prior).where((F.col("pages") >= least_pages) & F.col("content").isNotNull())
+    return tree.select("host", "node", (static | slot).alias("low"))
 
-def low_nodes(pages: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """(host, node) of nodes on enough pages that are unimportant in presentation and in content."""
-    tree = style_tree(pages)
-    return tree.where((F.col("pages") >= least_pages) & (F.coalesce("presentation", F.lit(0.0)) < least) & (F.col("content") < least)).select("host", "node")
+
+def low_nodes(pages: DataFrame, least_pages: int = LEAST_PAGES, prior: bool = True) -> DataFrame:
+    """(host, node, low): the low nodes of every host and of ALL_HOSTS, and nodes low there that a host's own tree keeps."""
+    judged = judged_nodes(pages, least_pages, prior)
+    own, every = judged.where(F.col("host") != ALL_HOSTS), judged.where((F.col("host") == ALL_HOSTS) & F.col("low"))
+    spared = own.where(~F.col("low")).join(every.select("node"), "node", "left_semi").select("host", "node", "low")
+    return own.where("low").unionByName(every).unionByName(spared)
+
+
+class Low:
+    """Which nodes go from a host's pages."""
+
+    def __init__(self, rows: Iterator[tuple[str, int, bool]]):
+        self.low: dict[str, set[int]] = {}
+        self.spared: dict[str, set[int]] = {}
+        for host, node, low in rows:
+            (self.low if low else self.spared).setdefault(host, set()).add(node)
+        self.of = lru_cache(1000)(self._of)
+
+    def __reduce__(self):
+        return Low, ([(h, n, low) for low, of in ((True, self.low), (False, self.spared)) for h, s in of.items() for n in s],)
+
+    def _of(self, host: str) -> frozenset[int]:
+        every = self.low.get(ALL_HOSTS, set()) - self.spared.get(host, set())
+        return frozenset(every | self.low.get(host, set()))
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -247,39 +320,44 @@ def _batch(b: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def _extract_shipped(low: dict[str, frozenset[int]]):
+def _extract_shipped(low: Low, prior: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _batch(b, [Page(h).main_text(low.get(host_of(u), frozenset())) for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)])
+            yield _batch(b, [Page(h, prior).main_text(low.of(host_of(u))) for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)])
 
     return run
 
 
-def _extract_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield _batch(b, [Page(h).main_text(frozenset(n or ())) for h, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)])
+def _extract_joined(prior: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hosts, htmls, found = (b.column(i).to_pylist() for i in (1, 2, 3))
+            yield _batch(b, [Page(h, prior).main_text(Low((r["host"], r["node"], r["low"]) for r in n or ()).of(host_of(u))) for u, h, n in zip(hosts, htmls, found, strict=True)])
+
+    return run
 
 
-def _page_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = {(k, host_of(u), n) for k, u, h in zip(*(c.to_pylist() for c in b.columns), strict=True) for _, above, _, _ in Page(h).blocks for n in above}
-        cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["page_key", "host", "node"])
+def _page_nodes(prior: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = {(k, host, n) for k, u, h in zip(*(c.to_pylist() for c in b.columns), strict=True) for _, above, _, _ in Page(h, prior).blocks for n in above for host in (host_of(u), ALL_HOSTS)}
+            cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["page_key", "host", "node"])
+
+    return run
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE, shipped: int = SHIPPED_NODES) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, shipped: int = SHIPPED_NODES, prior: bool = True) -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
-    Up to `shipped` low nodes go to the tasks by value; more are joined to each page's own nodes instead.
+    Up to `shipped` judged nodes go to the tasks by value; more are joined to each page's own nodes instead. Without
+    `prior` no tag, role or name declares furniture, and the tree alone removes it.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    low = cut(low_nodes(pages, least_pages, least))
+    low = cut(low_nodes(pages, least_pages, prior))
     if low.limit(shipped + 1).count() <= shipped:
-        of: dict[str, set[int]] = {}
-        for r in low.collect():
-            of.setdefault(r["host"], set()).add(r["node"])
-        return rows.mapInArrow(_extract_shipped({h: frozenset(s) for h, s in of.items()}), SCHEMA)
+        return rows.mapInArrow(_extract_shipped(Low([tuple(r) for r in low.collect()]), prior), SCHEMA)
     keyed = rows.withColumn("page_key", F.xxhash64("url", "html"))
-    nodes = keyed.select("page_key", "url", "html").mapInArrow(_page_nodes, "page_key long, host string, node long").distinct()
-    own = nodes.join(low, ["host", "node"]).groupBy("page_key").agg(F.collect_set("node").alias("low"))  # at most a page's nodes
-    return keyed.join(own, "page_key", "left").select("page_id", "url", "html", "low").mapInArrow(_extract_joined, SCHEMA)
+    nodes = keyed.select("page_key", "url", "html").mapInArrow(_page_nodes(prior), "page_key long, host string, node long").distinct()
+    found = nodes.join(low, ["host", "node"]).groupBy("page_key").agg(F.collect_set(F.struct("host", "node", "low")).alias("low"))  # at most a page's nodes, twice
+    return keyed.join(found, "page_key", "left").select("page_id", "url", "html", "low").mapInArrow(_extract_joined(prior), SCHEMA)
