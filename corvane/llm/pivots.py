@@ -1,16 +1,21 @@
 """Embedding near-dedup with a pivot-permutation index.
 
-Every vector is described by the ordered list of its NEAREST nearest reference points (pivots). The inverted index
-holds a list of vectors for every pair of pivots; two vectors meet in a list if they share both pivots, so every
-pair with SHARED or more pivots in common is retrieved. A pair that meets in several lists is taken in one alone,
-that of its two smallest common pivots, which a count of common pivots up to the list's second one decides. What
-is retrieved is verified by cosine in double precision.
+Every vector is described by its nearest reference points (pivots), in order of nearness. The inverted index holds a
+list of vectors for every pivot, of those that have it in the first `prefix_of` places of their order; two vectors
+meet in a list if their prefixes share its pivot. A pair that meets in several lists is taken in the one whose
+number is the least of its common pivots: there the count of common pivots of smaller number is 0. What is retrieved
+is verified by cosine in double precision.
+
+The number of pivots grows with the square root of the number of vectors (`pivots_for`), so lists grow like the root
+as well, and the prefix with its logarithm. Measured on independent random directions of 64 dimensions, where pivots
+help least, two vectors of cosine exactly 0.9 share a pivot with probability 0.995 at 2,048 pivots and prefix 7, and
+0.996 at 4,096 and 8; closer ones more surely. There are at most MOST_PIVOTS, a bound on what the tasks are sent;
+beyond it lists grow in proportion.
 
 Equal vectors are one node with a weight. A list longer than BLOCK is split into blocks, and its pairs of blocks
 are separate tasks' work; tasks return per vector the weight linked and the smallest id of the local component,
-never pairs. Pivots come from a bounded sample, no two closer than PIVOT_COSINE, filled up with random directions;
-every vector is indexed. Two vectors of cosine exactly 0.9 share two of seven of 128 pivots with probability above
-0.99 in 64 dimensions, closer ones more surely.
+never pairs. Pivots are a sample of the vectors, no two closer than PIVOT_COSINE, filled up with random directions;
+every vector is indexed.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components
 link with nothing; rows of one vec_id are one vector of that name; rows without vec_id get no links and stay; an
@@ -19,6 +24,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +37,8 @@ from corvane.llm.common import connected_components, cut
 from corvane.llm.forest import of_common_length, usable
 
 COSINE = 0.9
-PIVOTS, NEAREST, SHARED, SAMPLE, PIVOT_COSINE, SEED = 128, 7, 2, 1024, 0.8, 5
-BLOCK = 2048
+LEAST_PIVOTS, MOST_PIVOTS, PIVOTS_PER_ROOT, PIVOT_COSINE, SEED = 128, 65_536, 8.0, 0.8, 5
+BLOCK, PAIRS = 2048, 200_000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -40,21 +46,34 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def choose_pivots(sample: np.ndarray, m: int = PIVOTS, dim: int = 0, seed: int = SEED) -> np.ndarray:
+def pivots_for(n: int) -> int:
+    """A power of two near PIVOTS_PER_ROOT times the root of n."""
+    return int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 2 ** math.ceil(math.log2(PIVOTS_PER_ROOT * math.sqrt(max(n, 1)))))))
+
+
+def prefix_of(m: int) -> int:
+    """Places of a vector's order of m pivots that are indexed."""
+    return max(6, math.ceil(math.log2(m)) - 4)
+
+
+def choose_pivots(sample: np.ndarray, m: int, dim: int = 0, seed: int = SEED) -> np.ndarray:
     """Up to m sample vectors no two of which are near, in the sample's order, then random directions."""
     chosen = np.zeros((0, sample.shape[1] if len(sample) else dim))
-    for v in unit(sample) if len(sample) else []:
-        if len(chosen) == m:
-            break
-        if not len(chosen) or (chosen @ v).max() <= PIVOT_COSINE:
-            chosen = np.vstack([chosen, v])
+    for a in range(0, len(sample), 512):
+        v = unit(sample[a : a + 512])
+        if len(chosen):
+            v = v[(v @ chosen.T).max(1) <= PIVOT_COSINE]
+        near, keep = v @ v.T > PIVOT_COSINE, np.ones(len(v), bool)
+        for i in range(len(v)):
+            keep[i] = not (near[i, :i] & keep[:i]).any()
+        chosen = np.vstack([chosen, v[keep]])[:m]
     more = np.random.default_rng(seed).standard_normal((m - len(chosen), chosen.shape[1]))
     return np.vstack([chosen, unit(more)]) if len(more) else chosen
 
 
-def nearest_pivots(x: np.ndarray, pivots: np.ndarray, s: int = NEAREST) -> np.ndarray:
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray, s: int) -> np.ndarray:
     """(rows, s) numbers of the nearest pivots, nearest first."""
-    sims = unit(x) @ pivots.T
+    sims = unit(x).astype(np.float32) @ pivots.T.astype(np.float32)
     part = np.argpartition(-sims, s - 1, axis=1)[:, :s]
     order = np.argsort(-np.take_along_axis(sims, part, 1), axis=1, kind="stable")
     return np.take_along_axis(part, order, 1)
@@ -65,7 +84,9 @@ def _describe(pivots: np.ndarray, s: int):
     def run(v: pd.Series) -> pd.Series:
         if not len(v):
             return pd.Series([], dtype=object)
-        return pd.Series(list(nearest_pivots(np.stack(v.to_numpy()).astype(np.float64), pivots, s).astype(np.int32)))
+        x = np.stack(v.to_numpy()).astype(np.float64)
+        rows = max(1, 4_000_000 // len(pivots))  # similarities held at once
+        return pd.Series(list(np.vstack([nearest_pivots(x[a : a + rows], pivots, s) for a in range(0, len(x), rows)]).astype(np.int32)))
 
     return run
 
@@ -85,22 +106,30 @@ def local_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def link_cell(ids: np.ndarray, weights: np.ndarray, x: np.ndarray, perms: np.ndarray, side: np.ndarray, p: int, q: int, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
-    """Linked weight and local component's smallest id of each row, for the pairs that belong to list (p, q).
+def first_common(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
+    """Whether rows of prefixes a and b have no pivot of smaller number than p in common."""
+    out = np.empty(len(a), bool)
+    for i in range(0, len(a), PAIRS):
+        x, y = a[i : i + PAIRS, :, None], b[i : i + PAIRS, None, :]
+        out[i : i + PAIRS] = ~((x == y) & (x < p)).any((1, 2))
+    return out
+
+
+def link_cell(ids: np.ndarray, weights: np.ndarray, x: np.ndarray, perms: np.ndarray, side: np.ndarray, p: int, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
+    """Linked weight and local component's smallest id of each row, for the pairs that belong to list p.
 
     side: block of each row; with two blocks only pairs across them count.
     """
     order = np.argsort(ids, kind="stable")
     ids, weights, x, perms, side = ids[order], weights[order], unit(x[order]), perms[order], side[order]
-    hot = np.zeros((len(ids), q + 1), np.float32)
-    r, c = np.nonzero(perms <= q)
-    hot[r, perms[r, c]] = 1
     a, b = (np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max()))
-    i, j = np.nonzero((hot[a] @ hot[b].T == 2) & (x[a] @ x[b].T >= cosine))
+    i, j = np.nonzero(x[a] @ x[b].T >= cosine)
     i, j = a[i], b[j]
     if side.min() == side.max():
         up = i < j
         i, j = i[up], j[up]
+    own = first_common(perms[i], perms[j], p)
+    i, j = i[own], j[own]
     linked = np.bincount(i, weights[j], len(ids)) + np.bincount(j, weights[i], len(ids))
     back = np.empty(len(ids), np.int64)
     back[order] = np.arange(len(ids))
@@ -112,13 +141,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _cells(cosine: float):
-    """Reads rows sorted by (p, q, lo, hi), one cell in memory at a time, and links each."""
+    """Reads rows sorted by (p, lo, hi), one cell in memory at a time, and links each."""
 
     def link(keys: np.ndarray, ids: np.ndarray, weights: np.ndarray, x: np.ndarray, near: np.ndarray, own: np.ndarray) -> tuple | None:
-        p, q, lo, hi = keys[0].tolist()
+        p, lo, hi = keys[0].tolist()
         if len(ids) < 2 or lo != hi and (own == own[0]).all():
             return None
-        linked, label = link_cell(ids, weights.astype(np.float64), x.astype(np.float64), near, own, p, q, cosine)
+        linked, label = link_cell(ids, weights.astype(np.float64), x.astype(np.float64), near, own, p, cosine)
         keep = linked > 0
         return ids[keep], linked[keep], label[keep]
 
@@ -129,7 +158,7 @@ def _cells(cosine: float):
         held: list[np.ndarray] | None = None
         for b in batches:
             col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            now = [np.column_stack([col[n].to_numpy() for n in ("p", "q", "lo", "hi")]), col["id"].to_numpy(), col["weight"].to_numpy(), _matrix(col["v"]), _matrix(col["near"]), col["own"].to_numpy()]
+            now = [np.column_stack([col[n].to_numpy() for n in ("p", "lo", "hi")]), col["id"].to_numpy(), col["weight"].to_numpy(), _matrix(col["v"]), _matrix(col["near"]), col["own"].to_numpy()]
             if held is not None:
                 now = [np.concatenate(z) for z in zip(held, now, strict=True)]
             edges = np.flatnonzero((now[0][1:] != now[0][:-1]).any(1)) + 1
@@ -147,30 +176,35 @@ def _cells(cosine: float):
     return run
 
 
-def links(nodes: DataFrame, pivots: np.ndarray, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """(id, linked, label) parts for nodes (id, v, weight); a node's linked weights sum up over its rows."""
-    near = nodes.withColumn("near", _describe(pivots, min(NEAREST, len(pivots)))("v"))
-    pairs = F.expr("flatten(transform(array_sort(near), (a, i) -> transform(slice(array_sort(near), i + 2, size(near)), b -> struct(a AS p, b AS q))))")
-    posted = near.withColumn("pair", F.explode(pairs)).select("id", "v", "weight", "near", "pair.p", "pair.q")
-    # at most PIVOTS * (PIVOTS - 1) / 2 lists exist, so the long ones are few enough to send to every task
-    long = near.select(F.explode(pairs).alias("pair")).groupBy("pair.p", "pair.q").count().where(F.col("count") > block)
-    long = cut(long.select("p", "q", F.ceil(F.col("count") / block).cast("int").alias("n")))
-    posted = posted.join(F.broadcast(long), ["p", "q"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+def links(nodes: DataFrame, pivots: np.ndarray, cosine: float = COSINE, block: int = BLOCK, narrow: bool = False) -> DataFrame:
+    """(id, linked, label) parts for nodes (id, v, weight); a node's linked weights sum up over its rows.
+
+    narrow: the vectors were single-precision numbers, and travel as such.
+    """
+    near = nodes.withColumn("near", _describe(pivots, min(prefix_of(len(pivots)), len(pivots)))("v"))
+    near = near.withColumn("v", F.col("v").cast("array<float>")) if narrow else near
+    # there are as many lists as pivots, so the long ones, at most MOST_PIVOTS, are few enough to send to every task
+    long = near.select(F.explode("near").alias("p")).groupBy("p").count().where(F.col("count") > block)
+    long = cut(long.select("p", F.ceil(F.col("count") / block).cast("int").alias("n")))
+    posted = near.select("id", "v", "weight", "near", F.explode("near").alias("p"))
+    posted = posted.join(F.broadcast(long), "p", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     own = F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("n")).cast("int")
     posted = posted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    cells = posted.select("p", "q", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "weight", "v", "near", "own")
-    cell = ["p", "q", "lo", "hi"]
+    cell = ["p", "lo", "hi"]
+    cells = posted.select("p", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "weight", "v", "near", "own")
     return cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_cells(cosine), "id long, linked long, label long")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     rows = of_common_length(usable(vectors))
     classes = cut(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
-    sample = [r["v"] for r in classes.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(SAMPLE).collect()]
+    m = pivots or pivots_for(classes.count())
+    sample = [r["v"] for r in classes.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(m).collect()]  # at most MOST_PIVOTS
+    narrow = dict(vectors.dtypes)["embedding"] == "array<float>"
     members = rows.join(classes.select("v", F.col("id").alias("first")), "v").select("id", "first")
     if sample:
-        found = cut(links(classes, choose_pivots(np.array(sample, float), pivots), cosine, block))
+        found = cut(links(classes, choose_pivots(np.array(sample, float), m), cosine, block, narrow))
         linked = found.groupBy("id").agg(F.sum("linked").alias("linked"))
         # one name in several classes (rows of one vec_id with other vectors) ties them together
         tied = members.where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))

@@ -139,3 +139,34 @@ def test_pipeline_stages(spark):
             assert now.count() == before.count() and not now.where("text rlike 'token = \"[0-9a-f]{40}'").count()
     pieces = P.run(spark, SF)
     assert pieces.count() > 0 and {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == ids
+
+
+@pytest.mark.parametrize("dim", [32, 64, 256])
+def test_pivots_find_pairs_just_above_the_threshold(spark, dim):
+    r = np.random.default_rng(dim)
+    n = 1500
+    a = r.standard_normal((n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    g = r.standard_normal((n, dim))
+    g -= (g * a).sum(1, keepdims=True) * a
+    g /= np.linalg.norm(g, axis=1, keepdims=True)
+    c = r.uniform(0.9001, 0.92, (n, 1))
+    x = np.vstack([a, c * a + np.sqrt(1 - c * c) * g])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas().set_index("vec_id")
+    true = links_of(x)[0]
+    found = got.loc[range(len(x)), "n_links"].to_numpy()
+    assert (found <= true).all() and found.sum() >= 0.97 * true.sum()
+
+
+def test_pivots_tie_rows_of_one_vec_id(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 1.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [0.0, 0.0, 1.0])]
+    got = pivots.near_duplicates(spark.createDataFrame(rows, VEC).withColumn("root", F.lit(0)).withColumn("v", F.lit("x"))).collect()
+    assert sorted((r["vec_id"], r["component_id"]) for r in got) == [(1, 1), (2, 1), (2, 1), (3, 1), (3, 1), (4, 4)]
+
+
+def test_pivots_grow_with_the_table():
+    m = [pivots.pivots_for(n) for n in (0, 100, 10_000, 1_000_000, 10**8, 10**12)]
+    assert m == sorted(m) and m[0] == pivots.LEAST_PIVOTS and m[-1] == pivots.MOST_PIVOTS
+    p = pivots.choose_pivots(np.vstack([np.eye(4)] * 3), 6, seed=1)
+    assert p.shape == (6, 4) and (p[:4] == np.eye(4)).all()
