@@ -170,3 +170,44 @@ def test_pivots_grow_with_the_table():
     assert m == sorted(m) and m[0] == pivots.LEAST_PIVOTS and m[-1] == pivots.MOST_PIVOTS
     p = pivots.choose_pivots(np.vstack([np.eye(4)] * 3), 6, seed=1)
     assert p.shape == (6, 4) and (p[:4] == np.eye(4)).all()
+
+
+def recall(x, got, k, queries):
+    e, hit = x.astype(np.float64), 0
+    for q in queries:
+        s = e @ e[q]
+        s[q] = -9
+        hit += len(set(np.argsort(-s)[:k]) & set(got[got.query_id == q].vec_id))
+    return hit / (k * len(queries))
+
+
+@pytest.mark.parametrize("kind", ["random", "clustered"])
+def test_forest_recall_over_several_shards(spark, kind):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((3000, 64))
+    if kind == "clustered":
+        x = x[r.integers(0, 60, 3000)] + 0.3 * x
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    v = forest.usable(spark.createDataFrame([(i, z.tolist()) for i, z in enumerate(x)], VEC))
+    got = forest.search(v, v.where("id % 30 = 0"), 20, shard_rows=800, block_rows=40).toPandas()
+    assert recall(x, got, 20, range(0, 3000, 30)) >= 0.9
+
+
+def test_forest_ascends_only_as_far_as_the_neighbours_ask():
+    r = np.random.default_rng(1)
+    x = np.repeat(r.standard_normal((100, 32)), 60, axis=0) + 0.05 * r.standard_normal((6000, 32))
+    f = forest.Forest(x)
+    h = forest.hashes(np.column_stack([x[:50], np.zeros(50)]), forest.TREES, forest.SEED)
+    depth = f.ascend(h, 400)
+    assert max(len(c) for d in np.unique(depth) for c in f.within(h[:, depth == d], int(d))) < len(x) / 5
+    for i, d in enumerate(depth.tolist()):  # against a plain comparison of prefixes
+        same = ((f.sorted >> np.uint64(64 - d)) == (h[:, i : i + 1] >> np.uint64(64 - d))).sum() if d else f.sorted.size
+        assert same >= 400
+    assert forest.depth_for(1.0, 48) == 64 and forest.depth_for(-1.0, 48) == 0 and forest.depth_for(0.4, 48) < forest.depth_for(0.9, 48)
+
+
+def test_forest_repeated_ids_and_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, VEC).selectExpr("*", "1 AS id", "'x' AS v", "2 AS shard", "3 AS block")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in forest.nearest(df).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 1, 0.5), (0, 3, 2, 0.0)]
