@@ -106,7 +106,7 @@ def scales(designs: DataFrame) -> DataFrame:
     body = F.filter(F.map_entries("typography"), lambda e: e["key"].rlike("(?i)body|text|base|p$"))
     radii = F.array_distinct(F.filter(values("rounded"), lambda x: ~x.rlike("9999|50%|full")))
     space = F.filter(F.transform(values("spacing"), number), lambda n: n > 0)
-    multiples = lambda b: F.size(F.filter(space, lambda s: s % b == 0)) / F.size(space) >= 0.8
+    multiples = lambda b: F.size(F.filter(space, lambda s: s % b == 0)) >= F.size(space) * 0.8
     d = designs.select("design_id", F.coalesce("name", F.lit("")).alias("name"), sizes.alias("sizes"), family.alias("families"), number(F.get(body, F.lit(0))["value"]["fontSize"]).alias("body"), radii.alias("radii"), space.alias("space"), F.coalesce(multiples(8) | multiples(4) | multiples(2), F.lit(False)).alias("rhythm"))
     say = lambda when, rule, detail: F.when(when, F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail")))
     found = F.array(

@@ -31,12 +31,16 @@ def _sql_pick(values: list[str | None], k: str = "k") -> str:
     return "([" + ", ".join("NULL" if v is None else _q(v) for v in values) + f"])[({k} % {len(values)}) + 1]"
 
 
-K = F.col("k")
+
+def key() -> Column:
+    return F.col("k")
+
+
 _K = "SELECT o_orderkey AS k, 'p' || (o_orderkey % 40) AS page FROM orders"
 
 
 def visible_elements(spark: SparkSession, d: str) -> DataFrame:
-    v = measure.visible(K % 3, K % 5, K % 2000 - 300, F.lit(1440), _pick(["block", "none", "flex", "grid", "inline"], K), _pick(["visible"] * 6 + ["hidden"], K), K % 13)
+    v = measure.visible(key() % 3, key() % 5, key() % 2000 - 300, F.lit(1440), _pick(["block", "none", "flex", "grid", "inline"], key()), _pick(["visible"] * 6 + ["hidden"], key()), key() % 13)
     return _keys(spark, d).withColumn("v", v).groupBy("page").agg(F.count_if("v").alias("visible"), F.count("*").alias("n"))
 
 
@@ -46,23 +50,23 @@ TYPES = [None, "submit", "text", "IMAGE", "checkbox"]
 
 
 def node_roles(spark: SparkSession, d: str) -> DataFrame:
-    r = measure.role(_pick(TAGS, K), _pick(ARIA, K), _pick(TYPES, K), K % 2 == 0)
-    return _keys(spark, d).select(_pick(TAGS, K).alias("tag"), F.coalesce(r, F.lit("")).alias("role")).groupBy("tag", "role").agg(F.count("*").alias("n"))
+    r = measure.role(_pick(TAGS, key()), _pick(ARIA, key()), _pick(TYPES, key()), key() % 2 == 0)
+    return _keys(spark, d).select(_pick(TAGS, key()).alias("tag"), F.coalesce(r, F.lit("")).alias("role")).groupBy("tag", "role").agg(F.count("*").alias("n"))
 
 
 KINDS = ["h1", "h4", "button", "link", "list"]
 
 
 def text_kinds(spark: SparkSession, d: str) -> DataFrame:
-    kind = measure.text_kind(_pick(KINDS, K), K % 3 == 0, K % 4 == 0)
-    return _keys(spark, d).groupBy(_pick(KINDS, K).alias("role"), kind.alias("kind")).agg(F.count("*").alias("n"))
+    kind = measure.text_kind(_pick(KINDS, key()), key() % 3 == 0, key() % 4 == 0)
+    return _keys(spark, d).groupBy(_pick(KINDS, key()).alias("role"), kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 NAMES = {"aria_label": ["", "Close  it", ""], "labelled_by": [None, "", "Label"], "alt": [None, None, "", "Picture of\na hill"], "title": ["", "Title", None, "", ""], "placeholder": [None], "text": ["own   text "]}
 
 
 def accessible_names(spark: SparkSession, d: str) -> DataFrame:
-    e = _keys(spark, d).select("k", *[_pick(v, K).alias(c) for c, v in NAMES.items()])
+    e = _keys(spark, d).select("k", *[_pick(v, key()).alias(c) for c, v in NAMES.items()])
     return e.groupBy(measure.accessible_name(e).alias("name")).agg(F.count("*").alias("n"))
 
 
@@ -71,41 +75,41 @@ IMAGES = [None, "linear-gradient(90deg, rgb(1, 2, 3) 0%, #ffffff 90%)", "url(x.p
 
 
 def fill_colors(spark: SparkSession, d: str) -> DataFrame:
-    f = measure.fill_color(_pick(BACKS, K), _pick(IMAGES, F.floor(K / 5)))
+    f = measure.fill_color(_pick(BACKS, key()), _pick(IMAGES, F.floor(key() / 5)))
     return _keys(spark, d).groupBy(F.coalesce(f, F.lit("none")).alias("fill")).agg(F.count("*").alias("n"))
 
 
 def _tint(m: int) -> Column:
-    return F.when(K % m == 0, F.concat(F.lit("#00000"), (K % 9).cast("string")))
+    return F.when(key() % m == 0, F.concat(F.lit("#00000"), (key() % 9).cast("string")))
 
 
 def page_colors(spark: SparkSession, d: str) -> DataFrame:
-    e = _keys(spark, d).select("page", F.concat(F.lit("#00000"), (K % 7).cast("string")).alias("color"), (K % 50).alias("chars"), _tint(2).alias("fill"), (K % 100).alias("w"), (K % 60).alias("h"), _tint(3).alias("border_color"), _tint(5).alias("icon_color"), _tint(7).alias("action_color"), _tint(11).alias("label_color"))
+    e = _keys(spark, d).select("page", F.concat(F.lit("#00000"), (key() % 7).cast("string")).alias("color"), (key() % 50).alias("chars"), _tint(2).alias("fill"), (key() % 100).alias("w"), (key() % 60).alias("h"), _tint(3).alias("border_color"), _tint(5).alias("icon_color"), _tint(7).alias("action_color"), _tint(11).alias("label_color"))
     return measure.page_colors(e)
 
 
 def page_type(spark: SparkSession, d: str) -> DataFrame:
-    e = _keys(spark, d).select("page", (K % 5).alias("chars"), _pick(["12px", "16px", "24px"], K).alias("size"), _pick(["1.5", "normal"], K).alias("line_height"), F.lit("400").alias("weight"), _pick(["Inter", "Serif"], F.floor(K / 3)).alias("family"), F.lit("0").alias("letter_spacing"))
+    e = _keys(spark, d).select("page", (key() % 5).alias("chars"), _pick(["12px", "16px", "24px"], key()).alias("size"), _pick(["1.5", "normal"], key()).alias("line_height"), F.lit("400").alias("weight"), _pick(["Inter", "Serif"], F.floor(key() / 3)).alias("family"), F.lit("0").alias("letter_spacing"))
     return measure.page_type(e)
 
 
 def page_histogram(spark: SparkSession, d: str) -> DataFrame:
-    e = _keys(spark, d).select("page", (K % 37 / 2.0).alias("radius"), (K % 90 - 10).cast("double").alias("gap"))
+    e = _keys(spark, d).select("page", (key() % 37 / 2.0).alias("radius"), (key() % 90 - 10).cast("double").alias("gap"))
     return measure.page_histogram(e, {"radius": 16, "gap": 64})
 
 
 def block_texts(spark: SparkSession, d: str) -> DataFrame:
-    n = _keys(spark, d).select("page", F.floor(K / 120).alias("block"), K.alias("pos"), F.concat(F.lit(" w"), (K % 3).cast("string")).alias("text"))
+    n = _keys(spark, d).select("page", F.floor(key() / 120).alias("block"), key().alias("pos"), F.concat(F.lit(" w"), (key() % 3).cast("string")).alias("text"))
     return measure.block_text(n, most=9).select("page", "block", "pos", F.col("t").alias("text"))
 
 
 def accessibility(spark: SparkSession, d: str) -> DataFrame:
-    e = _keys(spark, d).select("page", K.alias("pos"), _pick(["h1", "img", "h2", "p", "h4", "button", "input"], F.floor(K / 40)).alias("tag"), _pick([None, "", "x"], F.floor(K / 40)).alias("alt"), _pick(["", None, "button", "input"], F.floor(K / 40)).alias("role"), _pick(["", None, "name"], F.floor(K / 160)).alias("name"))
+    e = _keys(spark, d).select("page", key().alias("pos"), _pick(["h1", "img", "h2", "p", "h4", "button", "input"], F.floor(key() / 40)).alias("tag"), _pick([None, "", "x"], F.floor(key() / 40)).alias("alt"), _pick(["", None, "button", "input"], F.floor(key() / 40)).alias("role"), _pick(["", None, "name"], F.floor(key() / 160)).alias("name"))
     return measure.accessibility(e)
 
 
 def link_sets(spark: SparkSession, d: str) -> DataFrame:
-    e = _keys(spark, d).select("page", F.lit("h0.example").alias("host"), F.concat(F.lit("h"), (F.floor(K / 40) % 9).cast("string"), F.lit(".example")).alias("link_host"), F.concat(F.lit("/"), K.cast("string")).alias("path"))
+    e = _keys(spark, d).select("page", F.lit("h0.example").alias("host"), F.concat(F.lit("h"), (F.floor(key() / 40) % 9).cast("string"), F.lit(".example")).alias("link_host"), F.concat(F.lit("/"), key().cast("string")).alias("path"))
     s = measure.link_sets(e, most_internal=5, most_hosts=4)
     return s.select("page", F.array_join("internal", ",").alias("internal"), F.array_join("external", ",").alias("external"))
 
@@ -113,12 +117,12 @@ def link_sets(spark: SparkSession, d: str) -> DataFrame:
 def focus_shown(spark: SparkSession, d: str) -> DataFrame:
     style = lambda c, o, w: F.create_map(F.lit("color"), c, F.lit("outlineStyle"), o, F.lit("outlineWidth"), w)
     base = style(F.lit("red"), F.lit("none"), F.lit("0px"))
-    v = measure.focus_visible(base, style(_pick(["red", "red", "blue"], K), _pick(["none", "solid"], K), _pick(["0px", "2px", "1px", "thick"], K)))
+    v = measure.focus_visible(base, style(_pick(["red", "red", "blue"], key()), _pick(["none", "solid"], key()), _pick(["0px", "2px", "1px", "thick"], key())))
     return _keys(spark, d).groupBy("page").agg(F.count_if(v).alias("visible"))
 
 
 def reveals(spark: SparkSession, d: str) -> DataFrame:
-    e = _keys(spark, d).select("page", "k", (K % 10 / 10.0).alias("opacity_before"), (K % 7 / 6.0).alias("opacity_after"), (K % 3 == 0).alias("shifted_before"), (K % 4 == 0).alias("shifted_after"))
+    e = _keys(spark, d).select("page", "k", (key() % 10 / 10.0).alias("opacity_before"), (key() % 7 / 6.0).alias("opacity_after"), (key() % 3 == 0).alias("shifted_before"), (key() % 4 == 0).alias("shifted_after"))
     return measure.reveals(e).groupBy("page").agg(F.count("*").alias("n"))
 
 
@@ -126,8 +130,8 @@ def _targets(spark: SparkSession, d: str) -> DataFrame:
     change = F.array(F.lit("a"), F.lit("b"))
     two = F.create_map(F.lit("color"), change, F.lit("inner opacity"), change)
     one = F.create_map(F.lit("inner color"), change)
-    changes = F.when(K % 3 == 0, two).when(K % 3 == 1, one).otherwise(F.create_map().cast("map<string,array<string>>"))
-    return _keys(spark, d).select("page", "k", changes.alias("changes"), F.concat((K % 4 * 100).cast("string"), F.lit("ms, 0.1s")).alias("duration"))
+    changes = F.when(key() % 3 == 0, two).when(key() % 3 == 1, one).otherwise(F.create_map().cast("map<string,array<string>>"))
+    return _keys(spark, d).select("page", "k", changes.alias("changes"), F.concat((key() % 4 * 100).cast("string"), F.lit("ms, 0.1s")).alias("duration"))
 
 
 def hover_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -143,8 +147,8 @@ def hover_durations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stops(spark: SparkSession, d: str, m: int) -> DataFrame:
-    label = F.when(K < 40, _pick(["Skip to content", "Home"], K)).otherwise(F.concat(F.lit("stop "), K.cast("string")))
-    return _keys(spark, d).select("page", K.alias("pos"), label.alias("label"), (F.floor(K / 40) % m != 0).alias("visible"))
+    label = F.when(key() < 40, _pick(["Skip to content", "Home"], key())).otherwise(F.concat(F.lit("stop "), key().cast("string")))
+    return _keys(spark, d).select("page", key().alias("pos"), label.alias("label"), (F.floor(key() / 40) % m != 0).alias("visible"))
 
 
 def focus_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -159,58 +163,58 @@ def focus_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 def hover_targets(spark: SparkSession, d: str) -> DataFrame:
     """The first five targets of each page (a top-k choice)."""
-    n = _keys(spark, d).select("page", K.alias("pos"), _pick(["link", "image", "link", "button"], F.floor(K / 40)).alias("role"), (F.floor(K / 40) % 70).alias("h"))
+    n = _keys(spark, d).select("page", key().alias("pos"), _pick(["link", "image", "link", "button"], F.floor(key() / 40)).alias("role"), (F.floor(key() / 40) % 70).alias("h"))
     return measure.hover_targets(n, 5).select("page", "pos", "role")
 
 
 def first_changes(spark: SparkSession, d: str) -> DataFrame:
-    changes = F.create_map(_pick(["color", "width"], F.floor(K / 40)), F.concat(F.lit("c"), K.cast("string")))
-    c = _keys(spark, d).where("k % 3 <> 0").select(F.col("page").alias("target"), K.alias("child"), changes.alias("changes"))
+    changes = F.create_map(_pick(["color", "width"], F.floor(key() / 40)), F.concat(F.lit("c"), key().cast("string")))
+    c = _keys(spark, d).where("k % 3 <> 0").select(F.col("page").alias("target"), key().alias("child"), changes.alias("changes"))
     return measure.first_changes(c)
 
 
 def frame_times(spark: SparkSession, d: str) -> DataFrame:
     k = _keys(spark, d)
-    f = k.select(K.alias("pos"), F.concat(F.lit("f"), K.cast("string"), F.lit(".png")).alias("file"))
-    t = k.where("k % 4 <> 0").select(K.alias("pos"), (K * 7 / 2.0).alias("seconds"))
+    f = k.select(key().alias("pos"), F.concat(F.lit("f"), key().cast("string"), F.lit(".png")).alias("file"))
+    t = k.where("k % 4 <> 0").select(key().alias("pos"), (key() * 7 / 2.0).alias("seconds"))
     return measure.frame_times(f, t)
 
 
 def canvas_votes(spark: SparkSession, d: str) -> DataFrame:
-    p = _keys(spark, d).select("page", K.alias("pos"), F.when(F.col("page") != "p3", _pick(["#ffffff", None, "#fafafa", "#000000"], F.floor(K / 40) % 7)).alias("canvas"))
+    p = _keys(spark, d).select("page", key().alias("pos"), F.when(F.col("page") != "p3", _pick(["#ffffff", None, "#fafafa", "#000000"], F.floor(key() / 40) % 7)).alias("canvas"))
     return tokens.canvas_vote(p, ["page"])
 
 
 def color_usage(spark: SparkSession, d: str) -> DataFrame:
     """Opaque and half-transparent blues over white and black canvases."""
-    hexed = F.when(K % 2 == 0, F.concat(F.lit("#0000"), F.lpad(F.lower(F.hex(K % 200)), 2, "0"))).otherwise(F.lit("#0000ff80"))
-    c = _keys(spark, d).select("page", hexed.alias("hex"), F.when(K % 40 < 20, "#ffffff").otherwise("#000000").alias("canvas"), *[(K % (i + 3)).alias(n) for i, n in enumerate(tokens.COUNTERS)])
+    hexed = F.when(key() % 2 == 0, F.concat(F.lit("#0000"), F.lpad(F.lower(F.hex(key() % 200)), 2, "0"))).otherwise(F.lit("#0000ff80"))
+    c = _keys(spark, d).select("page", hexed.alias("hex"), F.when(key() % 40 < 20, "#ffffff").otherwise("#000000").alias("canvas"), *[(key() % (i + 3)).alias(n) for i, n in enumerate(tokens.COUNTERS)])
     return tokens.color_usage(c, ["page"])
 
 
 def used_for(spark: SparkSession, d: str) -> DataFrame:
-    t = _keys(spark, d).select("page", F.concat((K % 3 + 12).cast("string"), F.lit("px")).alias("size"), F.create_map(_pick(["p", "a", "li", "td", "b"], F.floor(K / 40) % 11), F.lit(1), F.lit("q"), (K % 2).cast("int")).alias("tags"))
+    t = _keys(spark, d).select("page", F.concat((key() % 3 + 12).cast("string"), F.lit("px")).alias("size"), F.create_map(_pick(["p", "a", "li", "td", "b"], F.floor(key() / 40) % 11), F.lit(1), F.lit("q"), (key() % 2).cast("int")).alias("tags"))
     return tokens.used_for(t, ["page"]).select("page", F.col("px").cast("long").alias("px"), F.array_join("used_for", ",").alias("used_for"))
 
 
 def page_totals(spark: SparkSession, d: str) -> DataFrame:
-    p = _keys(spark, d).select("page", K.alias("pos"), F.when(K % 3 == 0, F.array(F.concat(F.lit("g"), (F.floor(K / 40) % 5).cast("string")))).alias("gradients"), F.when(K % 2 == 0, K % 4).alias("animations"), F.when(K >= 100, F.concat(F.lit("logo"), K.cast("string"))).alias("logo"))
+    p = _keys(spark, d).select("page", key().alias("pos"), F.when(key() % 3 == 0, F.array(F.concat(F.lit("g"), (F.floor(key() / 40) % 5).cast("string")))).alias("gradients"), F.when(key() % 2 == 0, key() % 4).alias("animations"), F.when(key() >= 100, F.concat(F.lit("logo"), key().cast("string"))).alias("logo"))
     return tokens.page_totals(p, ["page"]).select("page", F.array_join("gradients", ",").alias("gradients"), "animations", "logo")
 
 
 def widest_pages(spark: SparkSession, d: str) -> DataFrame:
-    p = _keys(spark, d).select("page", "k", _pick(["390", "1440", "768"], F.floor(K / 40)).cast("int").alias("width"))
+    p = _keys(spark, d).select("page", "k", _pick(["390", "1440", "768"], F.floor(key() / 40)).cast("int").alias("width"))
     return tokens.widest(p, ["page"]).groupBy("page", "width").agg(F.count("*").alias("n"))
 
 
 def review_ids(spark: SparkSession, d: str) -> DataFrame:
     """Reviews of which every third lacks an id and every fifth a text."""
-    r = _keys(spark, d).select(F.when(K % 3 == 0, "").otherwise(K.cast("string")).alias("id"), F.lit("u").alias("url"), F.when(K % 5 == 0, "").otherwise("t").alias("text"), K.alias("pos"))
+    r = _keys(spark, d).select(F.when(key() % 3 == 0, "").otherwise(key().cast("string")).alias("id"), F.lit("u").alias("url"), F.when(key() % 5 == 0, "").otherwise("t").alias("text"), key().alias("pos"))
     return reviews.usable(r).select("id", "pos")
 
 
 def ledger_records(spark: SparkSession, d: str) -> DataFrame:
-    raw = _keys(spark, d).select(F.concat(F.lit(" "), K.cast("string"), F.lit("  ")).alias(" Id "), F.when(K % 2 == 0, F.lit(" x ")).alias("NAME"), K.cast("int").alias("at"))
+    raw = _keys(spark, d).select(F.concat(F.lit(" "), key().cast("string"), F.lit("  ")).alias(" Id "), F.when(key() % 2 == 0, F.lit(" x ")).alias("NAME"), key().cast("int").alias("at"))
     return ledger.records(raw, "at").select("id", "name", F.col("__line").cast("long").alias("line"))
 
 
@@ -218,13 +222,13 @@ CELLS = ["plain", "a,b", 'say "x"', "", "two\nlines"]
 
 
 def csv_lines(spark: SparkSession, d: str) -> DataFrame:
-    r = _keys(spark, d).select("k", _pick(CELLS, K).alias("a"), _pick([*CELLS, None], F.floor(K / 5)).alias("b"))
+    r = _keys(spark, d).select("k", _pick(CELLS, key()).alias("a"), _pick([*CELLS, None], F.floor(key() / 5)).alias("b"))
     return r.select("k", files.csv_line(["k", "a", "b"]).alias("line"))
 
 
 def csv_records(spark: SparkSession, d: str) -> DataFrame:
     """Every page's rows as one CSV text, read back."""
-    r = _keys(spark, d).where("k < 400").select("k", "page", _pick(CELLS, F.floor(K / 40)).alias("a"))
+    r = _keys(spark, d).where("k < 400").select("k", "page", _pick(CELLS, F.floor(key() / 40)).alias("a"))
     line = F.struct("k", files.csv_line(["k", "a"]).alias("line"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\r\n")
     t = r.groupBy("page").agg(text.alias("t"))
@@ -234,15 +238,15 @@ def csv_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_leaves(spark: SparkSession, d: str) -> DataFrame:
-    doc = F.to_json(F.struct(F.concat(F.lit("n"), K.cast("string")).alias("name"), F.array(F.lit("x"), K.cast("string")).alias("tags"), F.struct(K.alias("count"), F.lit("deep").alias("note")).alias("more")))
+    doc = F.to_json(F.struct(F.concat(F.lit("n"), key().cast("string")).alias("name"), F.array(F.lit("x"), key().cast("string")).alias("tags"), F.struct(key().alias("count"), F.lit("deep").alias("note")).alias("more")))
     _keys(spark, d).select("k", doc.alias("t")).createOrReplaceTempView("corvane_json_texts")
     spark.udtf.register("corvane_json_leaves", files.JsonLeaves)
     return spark.sql("SELECT k, key, value FROM corvane_json_texts, LATERAL corvane_json_leaves(t)")
 
 
 def json_ld_types(spark: SparkSession, d: str) -> DataFrame:
-    one = F.concat(F.lit('{"@graph": [{"@type": "A'), (K % 5).cast("string"), F.lit('", "author": {"@type": ["Person", "A0"]}}]}'))
-    _keys(spark, d).select("k", F.when(K % 4 == 0, F.lit("{broken")).otherwise(one).alias("t")).createOrReplaceTempView("corvane_ld_texts")
+    one = F.concat(F.lit('{"@graph": [{"@type": "A'), (key() % 5).cast("string"), F.lit('", "author": {"@type": ["Person", "A0"]}}]}'))
+    _keys(spark, d).select("k", F.when(key() % 4 == 0, F.lit("{broken")).otherwise(one).alias("t")).createOrReplaceTempView("corvane_ld_texts")
     spark.udtf.register("corvane_ld_types", files.JsonLdTypes)
     return spark.sql("SELECT type, count(*) AS n FROM corvane_ld_texts, LATERAL corvane_ld_types(t) GROUP BY type")
 
@@ -250,12 +254,12 @@ def json_ld_types(spark: SparkSession, d: str) -> DataFrame:
 def image_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Measurements of even keys and images of keys divisible by three, joined by stem."""
     k = _keys(spark, d)
-    path = lambda ext: F.concat(F.lit("/m/"), K.cast("string"), F.lit(ext))
+    path = lambda ext: F.concat(F.lit("/m/"), key().cast("string"), F.lit(ext))
     return files.with_images(k.where("k % 2 = 0").select(path(".json").alias("path")).union(k.where("k % 3 = 0").select(path(".png").alias("path"))))
 
 
 def binary_texts(spark: SparkSession, d: str) -> DataFrame:
-    c = F.when(K % 3 == 0, F.encode(F.concat(F.lit("a"), F.decode(F.unhex(F.lit("00")), "UTF-8")), "UTF-8")).otherwise(F.encode(K.cast("string"), "UTF-8"))
+    c = F.when(key() % 3 == 0, F.encode(F.concat(F.lit("a"), F.decode(F.unhex(F.lit("00")), "UTF-8")), "UTF-8")).otherwise(F.encode(key().cast("string"), "UTF-8"))
     return _keys(spark, d).groupBy("page").agg(F.count_if(files.is_binary(c)).alias("binary"))
 
 
@@ -299,9 +303,9 @@ SERVICES = [(["com", "net"], ["https://one.example/"]), (["org"], ["https://two.
 def domain_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Names of customers as domains: the registry of the top level, and what its recorded answers say."""
     boot = spark.createDataFrame([([list(t), list(b)],) for t, b in SERVICES], "services array<array<string>>").groupBy().agg(F.collect_list("services").alias("services"))
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.col("c_name"), F.lit(".Co.UK ")).alias("s")).withColumn("label", U.domain_label(F.col("s"))).withColumn("tld", _pick(["com", "org", "dev", "zz"], K))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.col("c_name"), F.lit(".Co.UK ")).alias("s")).withColumn("label", U.domain_label(F.col("s"))).withColumn("tld", _pick(["com", "org", "dev", "zz"], key()))
     j = c.join(F.broadcast(feeds.registry_bases(boot)), "tld", "left")  # a few registries
-    status = U.domain_status(_pick(["404", "200", "429", None], F.floor(K / 4)).cast("int"), _pick(["3", "0", "2", "1", None], F.floor(K / 16)).cast("int"), K % 2)
+    status = U.domain_status(_pick(["404", "200", "429", None], F.floor(key() / 4)).cast("int"), _pick(["3", "0", "2", "1", None], F.floor(key() / 16)).cast("int"), key() % 2)
     return j.select("k", "label", "tld", F.coalesce("base", F.lit("")).alias("base"), status.alias("status"))
 
 
@@ -311,12 +315,12 @@ def product_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def app_ids(spark: SparkSession, d: str) -> DataFrame:
-    s = F.when(K % 3 == 0, F.concat(F.lit(" "), (K + 100_000).cast("string"))).when(K % 3 == 1, F.concat(F.lit("https://apps.example/app/x/id"), K.cast("string"), F.lit("?l=en"))).otherwise(K.cast("string"))
+    s = F.when(key() % 3 == 0, F.concat(F.lit(" "), (key() + 100_000).cast("string"))).when(key() % 3 == 1, F.concat(F.lit("https://apps.example/app/x/id"), key().cast("string"), F.lit("?l=en"))).otherwise(key().cast("string"))
     return _keys(spark, d).select("k", F.coalesce(U.app_id(s), F.lit("")).alias("app"))
 
 
 def entities_decoded(spark: SparkSession, d: str) -> DataFrame:
-    s = F.concat(F.lit("&#"), (K % 500 + 200).cast("string"), F.lit(";&#x"), F.lower(F.hex(K % 500 + 200)), F.lit("; &amp;lt; &nope; &COPY; &#1114112;"))
+    s = F.concat(F.lit("&#"), (key() % 500 + 200).cast("string"), F.lit(";&#x"), F.lower(F.hex(key() % 500 + 200)), F.lit("; &amp;lt; &nope; &COPY; &#1114112;"))
     return _keys(spark, d).select("k", H.decode_entities(s).alias("text"))
 
 
@@ -327,7 +331,7 @@ def texts_shortened(spark: SparkSession, d: str) -> DataFrame:
 
 
 def half_up(spark: SparkSession, d: str) -> DataFrame:
-    x = (K - 5000) / 8.0
+    x = (key() - 5000) / 8.0
     return _keys(spark, d).select("k", T.round_half_up(x).alias("whole"), T.round_half_up(x, 2).alias("cents"))
 
 

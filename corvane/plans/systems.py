@@ -226,7 +226,7 @@ QUERIES = {
     "type_ratio": type_ratio, "color_metrics": color_metrics, "nearest_brand": nearest_brand, "color_clusters": color_clusters, "color_roles": color_roles,
     "path_hashes": path_hashes, "name_hits": name_hits, "domain_hits": domain_hits, "ledger_append": ledger_append, "ledger_counts": ledger_counts,
     "ledger_union": ledger_union, "event_windows": event_windows, "event_sessions": event_sessions, "duration_lists": duration_lists, "breakpoints": breakpoints,
-    "heading_skips": heading_skips, "style_changes": style_changes, "structure_self": structure_self, "crawl_totals": crawl_totals, "position_labels": position_labels,
+    "heading_skips": heading_skips, "style_changes": style_changes, "crawl_totals": crawl_totals, "position_labels": position_labels,
 }
 
 ORACLES = {

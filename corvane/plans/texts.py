@@ -98,13 +98,6 @@ def lint_repeated_cta(spark: SparkSession, d: str) -> DataFrame:
     return lint.repeated_cta(lint.prepared(items)).select("source_id", "pos", "text", "detail")
 
 
-def lint_mixed_case(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    first = F.substring(F.element_at(F.split("text", "\n"), 1), 1, 60)
-    items = docs.select(F.col("lang").alias("source_id"), F.col("doc_id").alias("pos"), F.lit("heading").alias("kind"), first.alias("t"))
-    return lint.mixed_case(lint.prepared(items)).select("source_id", "detail")
-
-
 def _comparable(key: str, table_: str) -> str:
     generic = "[" + ", ".join("[" + ", ".join(_q(w) for w in sorted(set(p.split()))) + "]" for p in similarity.GENERIC_PHRASES) + "]"
     return f"""
@@ -157,7 +150,7 @@ QUERIES = {
     "copy_hits": copy_hits, "copy_hits_capped": copy_hits_capped, "text_stats": text_stats, "comparable_sentences": comparable_sentences, "slugs": slugs,
     "ident_words": ident_words, "name_similarity": name_similarity, "grapheme_lengths": grapheme_lengths, "top_words": top_words, "exact_copies": exact_copies,
     "lint_predicates": lint_predicates, "lint_tally": lint_tally, "lint_rules_join": lint_rules_join, "lint_totals": lint_totals,
-    "lint_repeated_cta": lint_repeated_cta, "lint_mixed_case": lint_mixed_case,
+    "lint_repeated_cta": lint_repeated_cta,
 }
 
 ORACLES = {
@@ -185,9 +178,4 @@ ORACLES = {
         UNION ALL SELECT source_id, pos, 'warning', rule, advice FROM m WHERE tier = 1 AND kind IN ('heading', 'button')""",
     "lint_rules_join": f"{_PREPARED}, {_MATCH} SELECT replace(rule, 'word:', '') AS rule, tier::INTEGER AS tier, count(*)::BIGINT AS n FROM m GROUP BY ALL",
     "lint_repeated_cta": """SELECT lang AS source_id, min(doc_id) AS pos, arg_min(source, doc_id) AS text, '"' || arg_min(source, doc_id) || '" is on ' || count(*) || ' buttons.' AS detail FROM documents GROUP BY lang, source HAVING count(*) >= 3""",
-    "lint_mixed_case": rf"""WITH h AS (SELECT lang, {sql_squash("substr(string_split(text, chr(10))[1], 1, 60)")} AS t FROM documents),
-        w AS (SELECT lang, list_filter(list_slice(string_split(t, ' '), 2, 10000), lambda x: NOT list_contains(['a','an','and','as','at','but','by','for','in','of','on','or','the','to','with','vs'], lower(x)) AND regexp_matches(x, '^\p{{L}}')) AS x FROM h WHERE len(string_split(t, ' ')) >= 3),
-        f AS (SELECT lang, len(x) >= 2 AND len(list_filter(x, lambda v: regexp_matches(v, '^\p{{Lu}}'))) / greatest(len(x), 1) >= 0.7 AS title FROM w),
-        g AS (SELECT lang, count(*) FILTER (WHERE title) AS a, count(*) FILTER (WHERE NOT title) AS b FROM f GROUP BY 1)
-        SELECT lang AS source_id, a || ' headings in Title Case and ' || b || ' in sentence case.' AS detail FROM g WHERE a >= 2 AND b >= 2""",
 }
