@@ -289,7 +289,7 @@ def judged_nodes(pages: DataFrame, least_pages: int = LEAST_PAGES, prior: bool =
 
 def low_nodes(pages: DataFrame, least_pages: int = LEAST_PAGES, prior: bool = True) -> DataFrame:
     """(host, node, low): the low nodes of every host and of ALL_HOSTS, and nodes low there that a host's own tree keeps."""
-    judged = judged_nodes(pages, least_pages, prior)
+    judged = cut(judged_nodes(pages, least_pages, prior))  # read three times below
     own, every = judged.where(F.col("host") != ALL_HOSTS), judged.where((F.col("host") == ALL_HOSTS) & F.col("low"))
     spared = own.where(~F.col("low")).join(every.select("node"), "node", "left_semi").select("host", "node", "low")
     return own.where("low").unionByName(every).unionByName(spared)
