@@ -17,6 +17,7 @@ ENTITIES = {
     "bull": "•", "laquo": "«", "raquo": "»", "times": "×", "rarr": "→", "larr": "←", "check": "✓",
 }
 _ENTITY = re.compile(r"&(#x[0-9a-f]+|#\d+|[a-z]+);", re.I)
+# Elements after which a blank line stands.
 CLOSERS = "p|div|section|article|ul|ol|table|tr|blockquote|pre|figure|details|summary|dl|dt|dd"
 
 

@@ -12,7 +12,7 @@ CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
 
 def decode(data: bytes) -> np.ndarray:
-    """(height, width, 4) bytes of an 8- or 16-bit PNG; interlaced ones are refused."""
+    """(height, width, 4) bytes of a PNG of 8 or 16 bits, or of 1, 2 or 4 in grey or with a palette; interlaced ones are refused."""
     if data[:8] != SIGNATURE:
         raise ValueError("not a PNG")
     at, packed, palette, alpha, head = 8, [], None, b"", None
@@ -30,12 +30,18 @@ def decode(data: bytes) -> np.ndarray:
         elif kind == b"IEND":
             break
         at += 12 + size
-    if head is None or head[6] or head[2] not in (8, 16) or head[3] not in CHANNELS:
+    if head is None or head[6] or head[3] not in CHANNELS or head[2] not in ((8, 16) if head[3] not in (0, 3) else (1, 2, 4, 8, 16)):
         raise ValueError("unsupported PNG")
     width, height, depth, color = head[:4]
-    step = CHANNELS[color] * depth // 8
-    rows = _unfilter(np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * step), step)
-    px = rows.reshape(height, width, step)[:, :, :: depth // 8]
+    step, line = max(1, CHANNELS[color] * depth // 8), -(-width * CHANNELS[color] * depth // 8)
+    rows = _unfilter(np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + line), step)
+    if depth < 8:  # several pixels a byte, the first in the highest bits
+        shifts = np.arange(8 - depth, -1, -depth, dtype=np.uint8)
+        px = ((rows[:, :, None] >> shifts) & (2**depth - 1)).reshape(height, -1)[:, :width, None]
+        if color == 0:
+            px = (px.astype(np.uint16) * 255 // (2**depth - 1)).astype(np.uint8)
+    else:
+        px = rows.reshape(height, width, step)[:, :, :: depth // 8]
     out = np.full((height, width, 4), 255, np.uint8)
     if color == 3:
         out[..., :3] = palette[px[..., 0]]

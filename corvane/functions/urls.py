@@ -53,7 +53,7 @@ def path_and_query(url: Column) -> Column:
     return F.concat(path, F.coalesce(F.concat(F.lit("?"), query), F.lit("")))
 
 
-def in_section(url: Column, host_: str, prefix: str) -> Column:
+def in_section(url: Column, host_: str | Column, prefix: str) -> Column:
     """Same host, path equal to the prefix or below it, and no asset."""
     path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
     p = prefix.rstrip("/")

@@ -49,11 +49,12 @@ def research(facts: DataFrame, mode: str) -> DataFrame:
 
 
 def design(facts: DataFrame, mode: str) -> DataFrame:
-    """facts: measured_system, lint_errors, design_md."""
+    """facts: measured_system, lint_errors, design_md, and host_design: whether a feature keeps its host's own design."""
     c, n = F.col, "design"
+    host = F.coalesce(c("host_design"), F.lit(False)) & F.lit(mode == "feature") if "host_design" in facts.columns else F.lit(False)
     return union([
         check(facts, n, mode, 1, "measured system", c("measured_system"), c("measured_system"), "Summarise the measurements."),
-        check(facts, n, mode, 2, "lint", c("lint_errors") == 0, c("lint_errors"), "Fix the design."),
+        check(facts, n, mode, 2, "lint", host | (c("lint_errors") == 0), c("lint_errors"), "Fix the design."),
         check(facts, n, mode, 3, "document", c("design_md"), c("design_md"), "Write the design document."),
     ])
 
@@ -93,6 +94,26 @@ def passes(checks: DataFrame) -> DataFrame:
     return checks.groupBy("stage", "mode").agg((~F.bool_or(failed)).alias("passed"), F.min_by("fix", F.when(failed, F.col("ord"))).alias("next_action"))
 
 
+STATE = "stage string, mode string, gates map<string,struct<passed:boolean,at:string>>"
+
+
+def new_state(spark: SparkSession, mode: str) -> DataFrame:
+    """The state of a project that starts."""
+    return spark.createDataFrame([(STAGES[0], mode, {})], STATE)
+
+
+def save_state(state: DataFrame, path: str) -> None:
+    """A one-row state as a JSON file."""
+    state.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame:
+    """A saved state; a stage that does not exist reads as the first one."""
+    s = spark.read.schema(STATE).json(path)
+    known = F.coalesce(F.col("stage").isin(*STAGES), F.lit(False))
+    return s.select(F.when(known, F.col("stage")).otherwise(STAGES[0]).alias("stage"), "mode", F.coalesce("gates", F.create_map().cast("map<string,struct<passed:boolean,at:string>>")).alias("gates"))
+
+
 def advance(state: DataFrame, result: DataFrame, now: Column) -> DataFrame:
     """A state row (stage, gates map) after a gate: the result is recorded, a passed stage moves on."""
     order = F.array(*[F.lit(s) for s in STAGES])

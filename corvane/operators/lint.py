@@ -6,12 +6,14 @@ projection behind a cheap combined test; rule tables given as DataFrames become
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.html import html_to_text
 from corvane.functions.text import button_label, contains_run, fold, graphemes, has_emoji, ident_words, markdown_visible, squash
 from corvane.operators import copy_rules as R
 from corvane.session import small
+from corvane.sources.files import JsonLeaves
 
 FINDING = "source_id string, pos long, level string, rule string, text string, detail string"
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
@@ -40,6 +42,33 @@ def items_of_markdown(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return rows.where("t <> '' and not startswith(t, '<!--') and not startswith(t, '```')")
 
 
+HEADING_KEY = "(?i)name|title|subtitle|heading"
+MEASURED = "text array<struct<kind:string,t:string>>, scroll string, hover string, focus string"
+
+
+def items_of_files(rows: DataFrame) -> DataFrame:
+    """source_id, pos, kind, t, where of files (path, content), by what each file is.
+
+    JSON with a list of texts is a measurement and gives its items; JSON with scroll, hover and focus is an interaction
+    sweep and gives none; other JSON gives its string leaves, headings where the key says so. HTML is read as text, and
+    it and all else as lines of markdown. Broken JSON gives nothing.
+    """
+    base = F.regexp_extract("path", r"([^/]*)$", 1)
+    of_json, of_html = F.lower("path").endswith(".json"), F.col("path").rlike(r"(?i)\.html?$")
+    f = rows.select(F.col("path").alias("source_id"), base.alias("base"), "content", of_json.alias("json"), of_html.alias("html"))
+    j = f.where("json").withColumn("m", F.from_json("content", MEASURED)).where("m.scroll is null or m.hover is null or m.focus is null")
+    listed = j.where("m.text is not null").select("source_id", "base", F.posexplode("m.text").alias("pos", "x"))
+    listed = listed.select("source_id", F.col("pos").cast("long").alias("pos"), F.coalesce("x.kind", F.lit("text")).alias("kind"), F.col("x.t").alias("t"), F.col("base").alias("where"))
+    leaves = j.where("m.text is null").select("source_id", "base", "content").lateralJoin(JsonLeaves(F.col("content").outer()))
+    at = F.row_number().over(Window.partitionBy("source_id").orderBy("key")) - 1
+    leaves = leaves.select("source_id", at.cast("long").alias("pos"), F.when(F.col("key").rlike(HEADING_KEY), "heading").otherwise("text").alias("kind"), F.col("value").alias("t"), F.concat_ws(" ", "base", "key").alias("where"))
+    text = F.when(F.col("html"), html_to_text(F.col("content"))).otherwise(F.col("content"))
+    lines = f.where("not json").withColumn("content", text)
+    marked = items_of_markdown(lines, "source_id", "content").join(lines.select("source_id", "base"), "source_id")
+    marked = marked.select("source_id", "pos", "kind", "t", F.concat_ws(":", "base", (F.col("pos") + 1).cast("string")).alias("where"))
+    return listed.unionByName(leaves).unionByName(marked)
+
+
 def prepared(items: DataFrame) -> DataFrame:
     out = items.withColumn("t", squash(F.col("t"))).where("t <> ''")
     return out.withColumn("low", F.lower(fold(F.col("t")))).withColumn("control", F.col("kind").isin("heading", "button", "nav"))

@@ -8,10 +8,11 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.html import sitemap_urls
 from corvane.functions.text import squash
 from corvane.functions.urls import canonical_path, normalize, path_and_query, robots_pattern
 
-MOST_HOPS, LOOP, SETTLE = 6, 310, 8
+MOST_HOPS, LOOP, SETTLE, MOST_SLOWDOWNS = 6, 310, 8, 3
 
 
 def compare_pages(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -100,29 +101,30 @@ def _settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def crawl(start: DataFrame, links: DataFrame, ok: Column | None = None, most: int = 150, depth: int | None = None) -> DataFrame:
-    """Breadth-first order over a table of recorded links (src, dst): url, level; each normalised URL once.
+def crawl(start: DataFrame, links: DataFrame, ok: Column | None = None, most: int | None = None, depth: int | None = None) -> DataFrame:
+    """Breadth-first levels over a table of recorded links (src, dst): url, level; each normalised URL once.
 
-    It ends where no link leads to a new page, at `most` pages, or at `depth` levels where one is given.
-    The driver keeps only the number of pages per level; frontier and visited set stay distributed. Each
-    level is checkpointed, and the visited set every SETTLE levels, so that plans do not grow with the depth.
+    It ends where no link leads to a new page, or at `most` pages or `depth` levels where these are given; pages beyond
+    `most` go by URL. The driver keeps only the number of pages per level; frontier and visited set stay distributed.
+    Each level is checkpointed, and the visited set every SETTLE levels, so that plans do not grow with the depth.
     """
     edges = links.select(normalize(F.col("src")).alias("src"), normalize(F.col("dst")).alias("dst")).distinct()
     if ok is not None:
         edges = edges.where(ok)
-    edges = edges.persist()
-    frontier = start.select(normalize(F.col("url")).alias("url")).distinct().withColumn("level", F.lit(0)).limit(most)
+    edges = _settled(edges)
+    frontier = _settled(start.select(normalize(F.col("url")).alias("url")).distinct().withColumn("level", F.lit(0)))
+    if most is not None:
+        frontier = frontier.orderBy("url").limit(most)
     visited, n = frontier, frontier.count()
     for level in count(1):
-        if n >= most or depth is not None and level > depth:
+        if most is not None and n >= most or depth is not None and level > depth:
             break
         step = frontier.join(edges, frontier["url"] == edges["src"]).select(F.col("dst").alias("url")).distinct()
-        step = step.join(visited, "url", "left_anti").withColumn("level", F.lit(level))
-        step = _settled(step)
+        step = _settled(step.join(visited, "url", "left_anti").withColumn("level", F.lit(level)))
         got = step.count()
         if not got:
             break
-        if got > most - n:
+        if most is not None and got > most - n:
             step, got = _settled(step.orderBy("url").limit(most - n)), most - n
         visited, frontier, n = visited.unionByName(step), step, n + got
         if level % SETTLE == 0:
@@ -130,6 +132,81 @@ def crawl(start: DataFrame, links: DataFrame, ok: Column | None = None, most: in
     return visited
 
 
+def crawl_queue(start: DataFrame, links: DataFrame, answers: DataFrame, most: int = 150, slowdowns: int = MOST_SLOWDOWNS) -> DataFrame:
+    """url, level, place, state of a crawl that takes pages first in, first out, over recorded links and answers.
+
+    start: url, pos; links: src, dst, pos; answers: url, allowed, status, slow (how often 429 came before the status).
+    A page that robots rules forbid is blocked, one without status 200 failed; both lead nowhere. The crawl stops after
+    `most` pages read, or at the page where more than `slowdowns` answers in all asked to slow down. What was found and
+    not taken from the queue is left. place is the way of link positions to a page: a level in the order of places is
+    the order of the queue, so no global numbering is needed. The driver keeps counts and the place of the stop only.
+    """
+    edges = _settled(links.select(normalize(F.col("src")).alias("src"), normalize(F.col("dst")).alias("dst"), "pos").groupBy("src", "dst").agg(F.min("pos").alias("pos")))
+    known = answers.select(normalize(F.col("url")).alias("url"), "allowed", "status", F.coalesce("slow", F.lit(0)).alias("slow"))
+    found = start.groupBy(normalize(F.col("url")).alias("url")).agg(F.min(F.array(F.col("pos").cast("long"))).alias("place"))
+    visited, read, asked = None, 0, 0
+    for level in count():
+        state = F.when(~F.coalesce("allowed", F.lit(True)), "blocked").when(F.col("status") == 200, "ok").otherwise("failed")
+        rows = _settled(found.join(known, "url", "left").select("url", F.lit(level).alias("level"), "place", state.alias("state"), F.when(F.col("allowed"), F.col("slow")).otherwise(0).alias("slow")))
+        if rows.isEmpty():
+            break
+        stop = None  # (place, whether its page is still taken)
+        last = [r["place"] for r in rows.where("state = 'ok'").orderBy("place").select("place").limit(max(0, most - read)).collect()]  # at most `most`
+        if read + len(last) >= most:
+            stop = (last[-1] if last else [], True)
+        for r in rows.where("slow > 0").orderBy("place").limit(slowdowns + 1 - asked).collect():
+            if stop and r["place"] > stop[0]:
+                break
+            asked += r["slow"]
+            if asked > slowdowns:
+                stop = (r["place"], False)
+                break
+        rows = rows.drop("slow")
+        if stop:
+            at = F.lit(None).cast("array<long>") if not stop[0] else F.array(*[F.lit(x).cast("long") for x in stop[0]])
+            before = F.coalesce((F.col("place") <= at) if stop[1] else (F.col("place") < at), F.lit(False))
+            dropped = F.coalesce((F.col("place") == at) & F.lit(not stop[1]), F.lit(False))  # taken from the queue, not put back
+            rows = rows.where(~dropped).withColumn("state", F.when(before, F.col("state")).otherwise("left"))
+        visited = rows if visited is None else visited.unionByName(rows)
+        if level % SETTLE == SETTLE - 1:
+            visited = _settled(visited)
+        read += len(last)
+        nxt = rows.where("state = 'ok'").select(F.col("url").alias("src"), "place").join(edges, "src").select(F.col("dst").alias("url"), F.concat("place", F.array(F.col("pos").cast("long"))).alias("place"))
+        found = nxt.groupBy("url").agg(F.min("place").alias("place")).join(visited.select("url"), "url", "left_anti")
+        if stop:
+            visited = visited.unionByName(found.select("url", F.lit(level + 1).alias("level"), "place", F.lit("left").alias("state")))
+            break
+    if visited is None:
+        return found.select("url", F.lit(0).alias("level"), "place", F.lit("left").alias("state")).limit(0)
+    return visited
+
+
+def queue_totals(crawled: DataFrame) -> DataFrame:
+    """pages, blocked, failed, left of a crawl_queue."""
+    n = {"ok": "pages", "blocked": "blocked", "failed": "failed", "left": "left"}
+    return crawled.agg(*[F.count_if(F.col("state") == k).alias(v) for k, v in n.items()])
+
+
+def sitemap_pages(maps: DataFrame, host: str, prefix: str, most: int = 5) -> DataFrame:
+    """url, pos of the pages that recorded sitemaps (url, pos, xml) list on a host below a prefix; pos orders the top ones.
+
+    Of the first `most` maps, those that are an index are followed one level: to maps whose path holds the prefix's last
+    part, or to all if an index names three or fewer, `most` at most.
+    """
+    part = prefix.rstrip("/").rsplit("/", 1)[-1]
+    top = maps.where("pos is not null").orderBy("pos").limit(most).select("pos", sitemap_urls(F.col("xml")).alias("urls"), F.col("xml").rlike("(?i)<sitemapindex").alias("index"))
+    direct = top.where("not index").select("pos", F.posexplode("urls").alias("at", "url"))
+    near = F.filter("urls", lambda u: (F.size("urls") <= 3) | F.contains(F.coalesce(F.try_parse_url(u, F.lit("PATH")), F.lit("")), F.lit(part)))
+    nested = top.where("index").select("pos", F.posexplode(F.slice(near, 1, most)).alias("nest", "url"))
+    inner = maps.select("url", sitemap_urls(F.col("xml")).alias("urls"))
+    nested = nested.join(inner, "url").select("pos", "nest", F.posexplode("urls").alias("at", "url"))
+    both = direct.select(F.array(F.col("pos").cast("long"), F.lit(0).cast("long"), F.col("at").cast("long")).alias("pos"), "url").unionByName(nested.select(F.array(F.col("pos").cast("long"), F.col("nest").cast("long"), F.col("at").cast("long")).alias("pos"), "url"))
+    path = F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit(""))
+    p = prefix.rstrip("/")
+    inside = (F.try_parse_url("url", F.lit("HOST")) == host) & ((path == p) | F.startswith(path, F.lit(p + "/")))
+    return both.where(inside).groupBy(normalize(F.col("url")).alias("url")).agg(F.min("pos").alias("pos"))
+
+
 def crawl_totals(pages: DataFrame) -> DataFrame:
     """pages, blocked, failed, and whether every page is nearly empty (under 40 words)."""
     ok = F.col("state") == "ok"

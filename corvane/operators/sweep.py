@@ -56,6 +56,22 @@ def name_hits(rows: DataFrame, avoid: DataFrame) -> DataFrame:
     return hit.select(F.lit("name").alias("kind"), "path", "line", "text", F.array_join("words", " ").alias("detail"))
 
 
+def file_name_hits(paths: DataFrame, avoid: DataFrame) -> DataFrame:
+    """Files whose own name holds an avoided name; line 0."""
+    base = F.regexp_extract("path", r"([^/]*)$", 1)
+    hit = paths.select("path", base.alias("text")).withColumn("w", ident_words(F.col("text"))).join(small(avoid), contains_run(F.col("w"), F.col("words")))
+    return hit.select(F.lit("name").alias("kind"), "path", F.lit(0).alias("line"), "text", F.array_join("words", " ").alias("detail"))
+
+
+def original_texts(measured: DataFrame, crawled: DataFrame, apps: DataFrame) -> DataFrame:
+    """text_id, text of the original's words: measured texts (t), crawled pages (text), app descriptions and notes."""
+    parts = [measured.select(F.col("t").alias("text")), crawled.select("text"), apps.select(F.col("description").alias("text")), apps.select(F.col("notes").alias("text"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where("coalesce(text, '') <> ''").select(F.xxhash64("text").alias("text_id"), "text").distinct()
+
+
 def domain_hits(rows: DataFrame, avoid: DataFrame) -> DataFrame:
     hit = rows.join(small(avoid), F.contains(F.lower("text"), F.col("domain")))
     return hit.select(F.lit("domain").alias("kind"), "path", "line", "text", F.col("domain").alias("detail"))

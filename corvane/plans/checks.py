@@ -13,9 +13,10 @@ from corvane.functions import color as C
 from corvane.functions import png
 from corvane.functions.text import round_half_up
 from corvane.operators import designs, gates, lint, structure, sweep, visual
-from corvane.plans.common import _q, table
+from corvane.plans.common import table
 from corvane.plans.measures import _K, _keys, _pick, _sql_pick, key
 from corvane.plans.systems import _BRAND, BRAND, _hex, _sql_lab, _sql_lin, structure_self
+from corvane.sources import feeds
 
 
 def supplier() -> Column:
@@ -140,6 +141,45 @@ def lint_heading_case(spark: SparkSession, d: str) -> DataFrame:
     return lint.mixed_case(lint.prepared(items)).select("source_id", "detail")
 
 
+def copy_items(spark: SparkSession, d: str) -> DataFrame:
+    """What a reader sees in files of six sorts made from documents."""
+    doc = table(spark, d, "documents")
+    i, src = F.col("doc_id"), F.col("source")
+    title = F.to_json(F.struct(F.struct(src.alias("subTitle"), F.array("lang").alias("tags")).alias("page"), F.lit("x").alias("note")))
+    measured = F.to_json(F.struct(F.array(F.struct(F.lit("button").alias("kind"), src.alias("t")), F.struct(F.lit(None).cast("string").alias("kind"), F.col("lang").alias("t"))).alias("text")))
+    sweep_ = F.lit('{"scroll": {"a": "s"}, "hover": ["h"], "focus": {"f": 1}, "label": "no copy"}')
+    html = F.concat(F.lit("<h2>Head &amp; "), src, F.lit("</h2><p>Body <b>of</b> it</p>"))
+    md = F.concat(F.lit("# Head "), src, F.lit("\n\n```\n<!-- no -->\n- item [link](http://x) `code`\n"))
+    n = (i % 6).cast("int")
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".json", ".m.JSON", ".s.json", ".html", ".md", ".b.json")]), n + 1)
+    content = F.element_at(F.array(title, measured, sweep_, html, md, F.lit("{broken")), n + 1)
+    return lint.items_of_files(doc.select(F.concat(F.lit("dir/"), i.cast("string"), ext).alias("path"), content.alias("content")))
+
+
+def file_name_hits(spark: SparkSession, d: str) -> DataFrame:
+    paths = _keys(spark, d).select(F.concat(F.lit("src/TheOrigin/"), _pick(["theOriginLogo.svg", "the-origin.css", "theoriginal.md", "origin.md"], key()), F.when(key() < 8, "").otherwise(key().cast("string"))).alias("path"))
+    return sweep.file_name_hits(paths, sweep.names(spark.createDataFrame([("TheOrigin",)], "name string"))).select("path", "text", "detail")
+
+
+def original_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Measured texts, crawled pages and app notes as one set of originals, each text once."""
+    c = table(spark, d, "conversations")
+    apps = _keys(spark, d).select(F.when(key() % 2 == 0, F.concat(F.lit("app "), (key() % 100).cast("string"))).alias("description"), F.lit("").alias("notes"))
+    out = sweep.original_texts(c.select(F.col("text").alias("t")), table(spark, d, "benchmark"), apps)
+    return out.groupBy(F.length("text").cast("long").alias("chars")).agg(F.count("*").alias("n"))
+
+
+def domain_states(spark: SparkSession, d: str) -> DataFrame:
+    """States of domains made of order keys, from recorded answers of two registries and of name servers."""
+    k = _keys(spark, d)
+    names = k.select(F.concat(F.lit("Name"), key().cast("string"), F.lit(".Old")).alias("name"), _pick(["COM", "org", "zz"], key()).alias("tld"))
+    bases = spark.createDataFrame([("com", "https://one.example/"), ("org", "https://two.example")], "tld string, base string")
+    label = F.concat(F.lit("name"), key().cast("string"))
+    registry = k.where("k % 4 <> 0").select(F.concat(F.when(key() % 3 == 0, "https://one.example/domain/").otherwise("https://two.example/domain/"), label, F.when(key() % 3 == 0, ".com").otherwise(".org")).alias("url"), _pick(["404", "200", "500"], F.floor(key() / 3)).cast("int").alias("status"))
+    dns = k.select(F.concat(label, _pick([".com", ".org", ".zz"], key())).alias("domain"), _pick(["0", "3", "2", "5"], F.floor(key() / 9)).cast("int").alias("status"), (key() % 2).alias("answers"))
+    return feeds.domain_states(names, bases, registry, dns).select("domain", F.coalesce("base", F.lit("")).alias("base"), "state")
+
+
 HOSTS = ["cdn.origin.example", "origin.example", "notorigin.example", "www.Other.example", "x.y.other.example", "free.example"]
 
 
@@ -376,7 +416,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         design_roles, design_missing_roles, design_unreadable, design_contrast, design_too_close, design_traps, design_scales, design_their_fonts, design_missing_tokens,
-        design_ranked, listing_lint, listing_keywords, lint_claims, lint_dashes, lint_heading_case, host_hits, avoid_names, avoid_colors, color_hits, path_hits, image_hits,
+        design_ranked, listing_lint, listing_keywords, lint_claims, lint_dashes, lint_heading_case, copy_items, file_name_hits, original_texts, domain_states, host_hits, avoid_names, avoid_colors, color_hits, path_hits, image_hits,
         sweep_levels, sweep_report, source_strings, severe_bugs, decisions, critic_screens, gate_advance, gate_stages, gate_stage_passes, color_grammar, color_arithmetic,
         design_distances, structure_moves, image_compare,
     )
@@ -419,6 +459,16 @@ ORACLES = {
         f AS (SELECT lang, len(x) >= 2 AND len(list_filter(x, lambda v: regexp_matches(v, '^\p{Lu}'))) / greatest(len(x), 1) >= 0.7 AS title FROM w),
         g AS (SELECT lang, count(*) FILTER (WHERE title) AS a, count(*) FILTER (WHERE NOT title) AS b FROM f GROUP BY 1)
         SELECT lang AS source_id, a || ' headings in Title Case and ' || b || ' in sentence case.' AS detail FROM g WHERE a >= 2 AND b >= 2""",
+    "copy_items": """WITH f AS (SELECT doc_id, 'dir/' || doc_id AS p, doc_id::VARCHAR AS b, source AS s, lang AS l, doc_id % 6 AS n FROM documents)
+        SELECT p || '.json' AS source_id, 0::BIGINT AS pos, 'text' AS kind, 'x' AS t, b || '.json note' AS "where" FROM f WHERE n = 0
+        UNION ALL SELECT p || '.json', 1, 'heading', s, b || '.json page.subTitle' FROM f WHERE n = 0 UNION ALL SELECT p || '.json', 2, 'text', l, b || '.json page.tags[0]' FROM f WHERE n = 0
+        UNION ALL SELECT p || '.m.JSON', 0, 'button', s, b || '.m.JSON' FROM f WHERE n = 1 UNION ALL SELECT p || '.m.JSON', 1, 'text', l, b || '.m.JSON' FROM f WHERE n = 1
+        UNION ALL SELECT p || '.html', 0, 'heading', 'Head & ' || s, b || '.html:1' FROM f WHERE n = 3 UNION ALL SELECT p || '.html', 2, 'text', 'Body of it', b || '.html:3' FROM f WHERE n = 3
+        UNION ALL SELECT p || '.md', 0, 'heading', 'Head ' || s, b || '.md:1' FROM f WHERE n = 4 UNION ALL SELECT p || '.md', 2, 'text', '`', b || '.md:3' FROM f WHERE n = 4 UNION ALL SELECT p || '.md', 4, 'text', 'item link', b || '.md:5' FROM f WHERE n = 4""",
+    "file_name_hits": f"SELECT 'src/TheOrigin/' || f AS path, f AS text, 'the origin' AS detail FROM (SELECT k, {_sql_pick(['theOriginLogo.svg', 'the-origin.css', 'theoriginal.md', 'origin.md'])} || CASE WHEN k < 8 THEN '' ELSE k::VARCHAR END AS f FROM ({_K})) WHERE k % 4 < 2",
+    "original_texts": f"SELECT length(t)::BIGINT AS chars, count(*)::BIGINT AS n FROM (SELECT text AS t FROM conversations UNION SELECT text FROM benchmark UNION SELECT 'app ' || (k % 100) FROM ({_K}) WHERE k % 2 = 0) WHERE coalesce(t, '') <> '' GROUP BY 1",
+    "domain_states": f"""SELECT 'name' || k || ['.com', '.org', '.zz'][k % 3 + 1] AS domain, ['https://one.example/', 'https://two.example', ''][k % 3 + 1] AS base,
+        CASE WHEN k % 3 < 2 AND k % 4 <> 0 AND (k // 3) % 3 = 0 THEN 'free' WHEN k % 3 < 2 AND k % 4 <> 0 AND (k // 3) % 3 = 1 THEN 'taken' WHEN (k // 9) % 4 = 1 THEN 'free' WHEN (k // 9) % 4 = 0 AND k % 2 > 0 THEN 'taken' WHEN (k // 9) % 4 = 2 THEN 'taken' ELSE 'unknown' END AS state FROM ({_K})""",
     "host_hits": f"""SELECT page AS path, h AS text, CASE WHEN contains(h, 'origin') THEN 'origin.example' ELSE 'other.example' END AS detail, count(*)::BIGINT AS n FROM (SELECT page, {_sql_pick(HOSTS)} AS h FROM ({_K})) WHERE h NOT IN ('notorigin.example', 'free.example') GROUP BY ALL""",
     "avoid_names": "SELECT DISTINCT lower(p_name) AS words FROM part",
     "avoid_colors": f"SELECT DISTINCT printf('#%02x%02x%02x', r, g, b) AS color, floor(l_ * 1000000.0 + 0.5) / 1000000.0 AS l FROM ({_sql_lab('SELECT (k * 37) % 256 AS r, (k * 91) % 256 AS g, (k * 151) % 256 AS b FROM (SELECT DISTINCT p_partkey % 90 AS k FROM part)')})",

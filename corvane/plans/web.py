@@ -59,8 +59,7 @@ def url_hosts(spark: SparkSession, d: str) -> DataFrame:
 def url_section(spark: SparkSession, d: str) -> DataFrame:
     """Pages of each host in the section /en."""
     p = table(spark, d, "pages").withColumn("h", F.try_parse_url("url", F.lit("HOST")))
-    path = F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit(""))
-    inside = ((path == "/en") | F.startswith(path, F.lit("/en/"))) & ~path.rlike(U.ASSETS)
+    inside = U.in_section(F.col("url"), F.col("h"), "/en")
     return p.groupBy("h").agg(F.count_if(inside).alias("inside"), F.count("*").alias("n")).withColumnRenamed("h", "host")
 
 
@@ -86,12 +85,54 @@ def _hop(c):
     return F.concat(F.lit("http://x.example/"), c.cast("string"))
 
 
-def crawl_order(spark: SparkSession, d: str) -> DataFrame:
-    """Breadth-first levels of a link table: order keys linked to their half and to their successor's half."""
+def _hops(spark: SparkSession, d: str) -> DataFrame:
+    """A link table: the half of every order key links to the key, after even ones to odd ones."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("k"))
-    links = o.select(_hop(F.floor(F.col("k") / 2)).alias("src"), _hop(F.col("k")).alias("dst")).where("src <> dst")
+    return o.select(_hop(F.floor(F.col("k") / 2)).alias("src"), _hop(F.col("k")).alias("dst"), (F.col("k") % 2).alias("pos")).where("src <> dst")
+
+
+def crawl_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Breadth-first levels of everything that the link table reaches from key 1."""
     start = spark.createDataFrame([("http://x.example/1",)], "url string")
-    return migrate.crawl(start, links, most=5000, depth=6).select("url", F.col("level").cast("long").alias("level"))
+    return migrate.crawl(start, _hops(spark, d)).select("url", F.col("level").cast("long").alias("level"))
+
+
+CRAWL_ROBOTS = "User-agent: *\nDisallow: /*3$\n"
+
+
+def _crawled(spark: SparkSession, d: str, most: int, slow: int) -> DataFrame:
+    """A crawl from key 1: keys that end in 3 are forbidden, every eleventh is missing, some ask to slow down."""
+    k = F.col("k")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("k"))
+    paths = o.select("k", F.lit("all").alias("host"), F.concat(F.lit("/"), k.cast("string")).alias("path"))
+    rules = migrate.rules_for(migrate.robots_lines(spark.createDataFrame([("all", CRAWL_ROBOTS)], "host string, text string")), "corvane")
+    answers = migrate.allowed(paths, rules).select(_hop(k).alias("url"), "allowed", F.when(k % 11 == 5, 404).otherwise(200).alias("status"), F.when(k % slow == 4, 2).otherwise(0).alias("slow"))
+    start = spark.createDataFrame([("http://x.example/1", 0)], "url string, pos long")
+    return migrate.crawl_queue(start, _hops(spark, d), answers, most)
+
+
+def crawl_queue(spark: SparkSession, d: str) -> DataFrame:
+    """The state and level of every page that a crawl of 60 pages met (the page limit is a crawl's own)."""
+    c = _crawled(spark, d, 60, 10**9)
+    return c.select("url", F.col("level").cast("long").alias("level"), "state", F.array_join("place", ".").alias("place"))
+
+
+def crawl_queue_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of a crawl that stops where a fourth answer asks to slow down."""
+    return migrate.queue_totals(_crawled(spark, d, 100_000, 50))
+
+
+def sitemap_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages under /docs of a sitemap and of an index, one level deep; nations are the pages."""
+    n = table(spark, d, "nation")
+    loc = lambda u: F.concat(F.lit("<url><loc> "), u, F.lit(" </loc></url>"))
+    page = F.concat(F.when(F.col("n_nationkey") % 5 == 4, "http://b.example/docs/").when(F.col("n_nationkey") % 5 == 3, "http://a.example/blog/").otherwise("http://a.example/docs/"), F.col("n_nationkey").cast("string"), F.lit("/?utm_x=1&amp;q=2"))
+    one = n.agg(F.array_join(F.array_sort(F.collect_list(loc(page))), "").alias("xml"))
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc>http://a.example/{p}.xml</loc></sitemap>" for p in ("docs", "docs-2", "other", "more")) + "</sitemapindex>"
+    more = "".join(f"<url><loc>http://a.example/docs{x}</loc></url>" for x in ("", "/deep#x", "-other/1"))
+    fixed = spark.createDataFrame([("http://a.example/i.xml", 1, index), ("http://a.example/docs-2.xml", None, more), ("http://a.example/other.xml", None, more.replace("deep", "never"))], "url string, pos int, xml string")
+    maps = one.select(F.lit("http://a.example/s.xml").alias("url"), F.lit(0).alias("pos"), "xml").unionByName(fixed)
+    return migrate.sitemap_pages(maps, "a.example", "/docs").select("url")
 
 
 def redirect_trace(spark: SparkSession, d: str) -> DataFrame:
@@ -167,10 +208,18 @@ _HEAD = rf"""SELECT page_id, {sql_squash(_named(r"regexp_extract(hd, '<title\b[^
 QUERIES = {
     "page_text": page_text, "page_heads": page_heads, "page_hrefs": page_hrefs, "page_links": page_links, "page_entities": page_entities,
     "page_technologies": page_technologies, "url_normalize": url_normalize, "url_first_sighting": url_first_sighting, "url_hosts": url_hosts,
-    "url_section": url_section, "robots_allowed": robots_allowed, "crawl_order": crawl_order, "redirect_trace": redirect_trace, "migration_check": migration_check,
+    "url_section": url_section, "robots_allowed": robots_allowed, "crawl_levels": crawl_levels, "crawl_queue": crawl_queue, "crawl_queue_totals": crawl_queue_totals,
+    "sitemap_pages": sitemap_pages, "redirect_trace": redirect_trace, "migration_check": migration_check,
 }
 
+#: Pages that a crawl of the link table from key 1 meets, in the order of its queue: by level, then by key.
+_WALK = """w(k, level, place, state) AS (
+   SELECT 1::BIGINT, 0::BIGINT, '0', 'ok' UNION ALL
+   SELECT o_orderkey, level + 1, place || '.' || (o_orderkey % 2), CASE WHEN o_orderkey % 10 = 3 THEN 'blocked' WHEN o_orderkey % 11 = 5 THEN 'failed' ELSE 'ok' END
+   FROM w JOIN (SELECT DISTINCT o_orderkey FROM orders) ON o_orderkey // 2 = k AND o_orderkey <> k WHERE state = 'ok')"""
+
 ORACLES = {
+    "page_links": rf"""SELECT page_id, count(DISTINCT link)::BIGINT AS n_links, min(link) AS first_link FROM (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || unnest(list_transform(regexp_extract_all(html, '<a\b[^>]*\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1, 'i'), lambda x: trim(x, chr(34) || chr(39)))) AS link FROM pages) GROUP BY 1""",
     "page_text": f"SELECT page_id, {_to_text('c')} AS text FROM ({_content()})",
     "page_heads": _HEAD,
     "page_hrefs": r"""SELECT page_id, (pos - 1)::BIGINT AS pos, href FROM (SELECT page_id, unnest(range(1, len(h) + 1)) AS pos, unnest(h) AS href FROM (
@@ -183,9 +232,16 @@ ORACLES = {
     "url_hosts": f"SELECT {_WWW} AS host, count(*)::BIGINT AS n, count(DISTINCT {_CPATH})::BIGINT AS paths FROM pages GROUP BY 1",
     "url_section": rf"""SELECT {_HOST} AS host, count(*) FILTER (WHERE ({_PATH} = '/en' OR starts_with({_PATH}, '/en/')) AND NOT regexp_matches({_PATH}, '\.(png|jpe?g|gif|webp|avif|svg|ico|css|js|mjs|json|xml|pdf|zip|mp4|webm|mp3|woff2?|ttf)(\?|$)', 'i'))::BIGINT AS inside, count(*)::BIGINT AS n FROM pages GROUP BY 1""",
     "robots_allowed": rf"""SELECT page_id, {_PQ} AS path, CASE WHEN regexp_matches({_PQ}, '^/en/12') THEN true WHEN regexp_matches({_PQ}, '^/en/1') THEN false WHEN regexp_matches({_PQ}, '^/.*/9$') THEN false ELSE true END AS allowed FROM pages""",
-    "crawl_order": """WITH RECURSIVE l AS (SELECT DISTINCT 'http://x.example/' || (o_orderkey // 2) AS src, 'http://x.example/' || o_orderkey AS dst FROM orders WHERE o_orderkey // 2 <> o_orderkey),
-        w(url, level) AS (SELECT 'http://x.example/1', 0::BIGINT UNION SELECT dst, level + 1 FROM w JOIN l ON src = url WHERE level < 6)
-        SELECT url, min(level) AS level FROM w GROUP BY 1""",
+    "crawl_levels": """WITH RECURSIVE w(k, level) AS (SELECT 1::BIGINT, 0::BIGINT UNION ALL SELECT o_orderkey, level + 1 FROM w JOIN (SELECT DISTINCT o_orderkey FROM orders) ON o_orderkey // 2 = k AND o_orderkey <> k)
+        SELECT 'http://x.example/' || k AS url, level FROM w""",
+    "crawl_queue": f"""WITH RECURSIVE {_WALK}, n AS (SELECT *, count(*) FILTER (WHERE state = 'ok') OVER (ORDER BY level, k) AS read FROM w),
+        t AS (SELECT *, read < 60 OR (read = 60 AND state = 'ok') AS taken FROM n)
+        SELECT 'http://x.example/' || k AS url, level, CASE WHEN taken THEN state ELSE 'left' END AS state, place FROM t WHERE taken OR k // 2 IN (SELECT k FROM t WHERE taken)""",
+    "crawl_queue_totals": f"""WITH RECURSIVE {_WALK}, n AS (SELECT *, sum(CASE WHEN k % 50 = 4 AND state <> 'blocked' THEN 2 ELSE 0 END) OVER (ORDER BY level, k) AS asked FROM w),
+        t AS (SELECT *, asked <= 3 AS taken FROM n), s AS (SELECT min(k) AS k FROM t WHERE NOT taken)
+        SELECT count(*) FILTER (WHERE taken AND state = 'ok')::BIGINT AS pages, count(*) FILTER (WHERE taken AND state = 'blocked')::BIGINT AS blocked, count(*) FILTER (WHERE taken AND state = 'failed')::BIGINT AS failed,
+        count(*) FILTER (WHERE NOT taken AND t.k <> s.k AND t.k // 2 IN (SELECT k FROM t WHERE taken))::BIGINT AS "left" FROM t, s""",
+    "sitemap_pages": "SELECT 'http://a.example/docs/' || n_nationkey || '/?q=2' AS url FROM nation WHERE n_nationkey % 5 < 3 UNION SELECT unnest(['http://a.example/docs', 'http://a.example/docs/deep'])",
     "redirect_trace": """WITH RECURSIVE w(k, cur, hops) AS (SELECT o_orderkey, o_orderkey, 0 FROM orders WHERE o_orderkey > 0 UNION ALL SELECT k, cur // 3, hops + 1 FROM w WHERE cur % 3 = 0 AND cur IN (SELECT o_orderkey FROM orders) AND hops < 6),
         f AS (SELECT k, arg_max(cur, hops) AS cur, max(hops) AS hops FROM w GROUP BY k)
         SELECT CASE WHEN hops >= 6 THEN 310 WHEN cur IN (SELECT o_orderkey FROM orders WHERE o_orderkey > 0) THEN CASE WHEN cur % 3 = 0 THEN 310 ELSE 200 END ELSE 0 END::INTEGER AS status, hops::INTEGER AS hops, count(*)::BIGINT AS n FROM f GROUP BY ALL""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.html import decode_entities, html_to_text
 from corvane.functions.text import squash
+from corvane.functions.urls import domain_label, domain_status
 
 LABEL = "struct<label:string>"
 REVIEW_FEED = f"feed struct<entry:array<struct<id:{LABEL},title:{LABEL},content:{LABEL},updated:{LABEL},`im:rating`:{LABEL}>>>"
@@ -56,3 +57,16 @@ def registry_bases(bootstrap: DataFrame) -> DataFrame:
     """tld, base of a registry bootstrap (services: array of [tlds, bases])."""
     s = bootstrap.select(F.explode("services").alias("s"))
     return s.select(F.explode(F.col("s")[0]).alias("tld"), F.element_at(F.col("s")[1], 1).alias("base"))
+
+
+def domain_states(names: DataFrame, bases: DataFrame, registry: DataFrame, dns: DataFrame) -> DataFrame:
+    """domain, base, state of names and top levels (name, tld): free, taken or unknown.
+
+    The registry of the top level (bases: tld, base) is asked first (registry: url, status), then the name servers
+    (dns: domain, status, answers); both are tables of recorded answers.
+    """
+    q = names.select(domain_label(F.col("name")).alias("label"), F.lower("tld").alias("tld")).where("label <> ''").distinct()
+    q = q.join(bases, "tld", "left").select(F.concat_ws(".", "label", "tld").alias("domain"), "base")
+    q = q.withColumn("url", F.concat(F.regexp_replace("base", "/+$", ""), F.lit("/domain/"), "domain"))
+    q = q.join(registry.select("url", F.col("status").alias("asked")), "url", "left").join(dns.select("domain", F.col("status").alias("dns"), "answers"), "domain", "left")
+    return q.select("domain", "base", domain_status(F.col("asked"), F.col("dns"), F.col("answers")).alias("state"))

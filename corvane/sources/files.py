@@ -76,6 +76,16 @@ def json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
+def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Rows as JSON lines, nulls kept, so that json-lines readers see every key."""
+    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def write_text(df: DataFrame, path: str, column: str, mode: str = "overwrite") -> None:
+    """One text column as lines; parts end in one line break."""
+    df.select(F.regexp_replace(F.coalesce(column, F.lit("")), r"\n+$", "").alias("value")).write.mode(mode).text(path)
+
+
 def is_binary(content: Column) -> Column:
     """A NUL byte in the first 8192."""
     return F.contains(F.substring(content, 1, 8192), F.lit(b"\x00"))
@@ -114,12 +124,15 @@ def with_images(measured: DataFrame) -> DataFrame:
 
 @udtf(returnType="key: string, value: string")
 class JsonLeaves:
-    """Every string leaf of a JSON text with its dotted and indexed path."""
+    """Every string leaf of a JSON text with its dotted and indexed path; none of a broken text."""
 
     def eval(self, text: str) -> Iterator[tuple]:
         import json as parser
 
-        stack = [("", parser.loads(text))] if text else []
+        try:
+            stack = [("", parser.loads(text))] if text else []
+        except ValueError:
+            return
         while stack:
             key, v = stack.pop()
             if isinstance(v, str):

@@ -1,7 +1,9 @@
 """A Python data source over recorded responses: the engine's stand-in for live HTTP.
 
-Responses are files <folder>/<sha1 of the URL>.json with url, status, headers and text. One partition a URL list
-slice; a missing recording is status 0. Bodies over the limit are reported as too big, not read.
+Responses are files <folder>/<sha1 of the URL>.json with url, status, declared length and text; the folder must be
+mounted on every executor (`answers_of` reads the same files through Spark's own file system instead). One partition a
+slice of URLs, or, with option `template`, one a country: its pages in order until one is missing or empty. A missing
+recording is status 0. Bodies whose declared or own size is over the limit are reported as too big, not read.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ import os
 import time
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 MOST_BYTES, TIMEOUT_S = 5_000_000, 20
@@ -22,10 +26,25 @@ def file_of(folder: str, url: str) -> str:
     return os.path.join(folder, hashlib.sha1(url.encode()).hexdigest() + ".json")
 
 
-def record(folder: str, url: str, status: int, text: str = "", location: str | None = None) -> None:
+def record(folder: str, url: str, status: int, text: str = "", location: str | None = None, length: int | None = None) -> None:
     """Save a response, for fixtures."""
     with open(file_of(folder, url), "w", encoding="utf-8") as f:
-        json.dump({"url": url, "status": status, "text": text, "location": location}, f)
+        json.dump({"url": url, "status": status, "text": text, "location": location, "length": length}, f)
+
+
+def answers_of(spark, folder: str) -> DataFrame:
+    """Every recording of a folder, read by Spark: the columns of SCHEMA."""
+    raw = spark.read.schema("url string, status int, text string, location string, length long").json(folder)
+    big = (F.coalesce("length", F.lit(0)) > MOST_BYTES) | (F.octet_length("text") > MOST_BYTES)
+    return raw.select("url", "status", "location", F.coalesce(big, F.lit(False)).alias("too_big"), F.when(~big, F.col("text")).alias("text"))
+
+
+def json_answers(answers: DataFrame, schema: str) -> DataFrame:
+    """url, value, error: the parsed JSON, or what went wrong (a status of 400 and above, a text that is no JSON)."""
+    value, failed = F.from_json("text", schema), F.col("status") >= 400
+    is_json = F.try_parse_json("text").isNotNull()
+    error = F.when(failed | (F.col("status") == 0), F.concat(F.col("status").cast("string"), F.lit(" from "), F.col("url"))).when(~is_json, F.concat(F.lit("Not JSON from "), F.col("url"), F.lit(" (status "), F.col("status").cast("string"), F.lit(")")))
+    return answers.select("url", F.when(error.isNull(), value).alias("value"), error.alias("error"))
 
 
 class Slice(InputPartition):
@@ -33,16 +52,32 @@ class Slice(InputPartition):
         self.urls = urls
 
 
+class Country(InputPartition):
+    def __init__(self, country: str):
+        self.country = country
+
+
 class RecordedReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder, self.urls = options["folder"], json.loads(options["urls"])
+        self.folder, self.urls = options["folder"], json.loads(options.get("urls", "[]"))
+        self.template, self.most = options.get("template"), int(options.get("most", 10))
+        self.countries = json.loads(options.get("countries", "[]"))
         self.slices = max(1, int(options.get("slices", 4)))
         self.delay_ms = int(options.get("delay_ms", 0))
 
-    def partitions(self) -> list[Slice]:
+    def partitions(self) -> list[InputPartition]:
+        if self.template:
+            return [Country(c) for c in self.countries]
         return [Slice(self.urls[i :: self.slices]) for i in range(self.slices) if self.urls[i :: self.slices]]
 
-    def read(self, partition: Slice) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if isinstance(partition, Country):
+            for page in range(1, self.most + 1):
+                row = answer(self.folder, self.template.format(country=partition.country, page=page))
+                if row[1] != 200 or not row[4]:
+                    return
+                yield row
+            return
         for i, url in enumerate(partition.urls):
             if i and self.delay_ms:
                 time.sleep(self.delay_ms / 1000)
@@ -55,7 +90,7 @@ def answer(folder: str, url: str) -> tuple:
         return url, 0, None, False, None
     with open(path, encoding="utf-8") as f:
         r = json.load(f)
-    big = len((r.get("text") or "").encode()) > MOST_BYTES
+    big = (r.get("length") or 0) > MOST_BYTES or len((r.get("text") or "").encode()) > MOST_BYTES
     return url, int(r["status"]), r.get("location"), big, None if big else r.get("text")
 
 

@@ -210,3 +210,30 @@ def test_title_case_reads_the_whole_heading(spark):
     heads = [(1, "Start " + "Word " * 10_000 + "low " * 10_000), (2, "Start " + "Word " * 9 + "low")]
     got = spark.createDataFrame(heads, "k int, t string").select("k", lint.is_title_case(F.col("t")).alias("title")).collect()
     assert {r["k"]: r["title"] for r in got} == {1: False, 2: True}
+
+
+def test_state_is_saved_and_read(spark, tmp_path):
+    from corvane.operators import gates
+
+    s = gates.new_state(spark, "app")
+    gates.save_state(s, str(tmp_path / "s"))
+    assert [tuple(r) for r in gates.load_state(spark, str(tmp_path / "s")).collect()] == [("research", "app", {})]
+    spark.createDataFrame([("nowhere", "site", None)], gates.STATE).coalesce(1).write.json(str(tmp_path / "t"))
+    assert [tuple(r) for r in gates.load_state(spark, str(tmp_path / "t")).collect()] == [("research", "site", {})]
+    facts = gates.facts_row(spark, measured_system=True, lint_errors=4, design_md=True, host_design=True)
+    status = lambda mode: {r["name"]: r["status"] for r in gates.design(facts, mode).collect()}
+    assert status("feature")["lint"] == "pass" and status("app")["lint"] == "fail" and status("migrate")["lint"] == "skip"
+
+
+def test_queue_ends_at_its_limits(spark):
+    from corvane.operators import migrate
+
+    links = spark.createDataFrame([("a", "b", 1), ("a", "c", 0), ("a", "b", 5), ("c", "d", 0), ("b", "e", 0), ("c", "a", 1)], "src string, dst string, pos long")
+    start = spark.createDataFrame([("a", 0)], "url string, pos long")
+    answers = spark.createDataFrame([(u, u != "e", 200 if u != "d" else 500, 4 if u == "b" else 0) for u in "abcde"], "url string, allowed boolean, status int, slow int")
+    got = lambda **kw: {r["url"]: r["state"] for r in migrate.crawl_queue(start, links, answers, **kw).collect()}
+    assert got(slowdowns=9) == {"a": "ok", "c": "ok", "b": "ok", "d": "failed", "e": "blocked"}
+    assert got(most=2, slowdowns=9) == {"a": "ok", "c": "ok", "b": "left", "d": "left"}
+    assert got() == {"a": "ok", "c": "ok", "d": "left"}  # b asks a fourth time to slow down and is not put back
+    assert got(most=0) == {"a": "left"}
+    assert migrate.queue_totals(migrate.crawl_queue(start, links.limit(0), answers.limit(0))).first().asDict() == {"pages": 0, "blocked": 0, "failed": 1, "left": 0}

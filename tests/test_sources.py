@@ -95,3 +95,60 @@ def test_paged_stream(spark, tmp_path):
         assert sorted(r["text"] for r in spark.table("paged").collect()) == ["page 1", "page 2"]
     finally:
         q.stop()
+
+
+def test_recorded_countries_sizes_and_json(spark, tmp_path):
+    from corvane.sources import recorded
+
+    recorded.register(spark)
+    folder, template = str(tmp_path), "http://f/{country}/{page}"
+    for country, pages in (("de", 3), ("fr", 1)):
+        for p in range(1, pages + 1):
+            recorded.record(folder, template.format(country=country, page=p), 200, "x" if (country, p) != ("de", 2) else "")
+    import json as parser
+
+    read = lambda countries: spark.read.format("recorded").option("folder", folder).option("template", template).option("countries", parser.dumps(countries)).load()
+    got = read(["de", "fr", "it"])
+    assert got.rdd.getNumPartitions() == 3
+    # an empty page ends its own country, not the others
+    assert sorted(r["url"] for r in got.collect()) == ["http://f/de/1", "http://f/fr/1"]
+    recorded.record(folder, "http://big", 200, "small", length=recorded.MOST_BYTES + 1)
+    recorded.record(folder, "http://json", 200, '{"a": 1}')
+    recorded.record(folder, "http://err", 429, '{"a": 1}')
+    recorded.record(folder, "http://html", 200, "<p>")
+    rows = {r["url"]: r for r in recorded.answers_of(spark, folder).collect()}
+    assert rows["http://big"]["too_big"] and rows["http://big"]["text"] is None and rows["http://json"]["text"] == '{"a": 1}'
+    j = {r["url"]: r for r in recorded.json_answers(recorded.answers_of(spark, folder), "a int").collect()}
+    assert j["http://json"]["value"]["a"] == 1 and j["http://json"]["error"] is None
+    assert j["http://err"]["error"] == "429 from http://err" and j["http://html"]["error"] == "Not JSON from http://html (status 200)"
+
+
+def test_json_and_text_sinks(spark, tmp_path):
+    from corvane.sources import files
+
+    df = spark.createDataFrame([(1, None), (2, "two\n\n")], "k int, t string")
+    files.write_json(df, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).orderBy("k").collect()[0]["t"] is None and '"t":null' in "".join(p.read_text() for p in (tmp_path / "j").glob("part-*"))
+    files.write_text(df, str(tmp_path / "t"), "t")
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "t")).collect()) == ["", "two"]
+
+
+def test_low_bit_png():
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from corvane.functions import png
+
+    def make(depth, color, rows, palette=b"", width=5):
+        chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        return png.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(rows), depth, color, 0, 0, 0)) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + r for r in rows))) + chunk(b"IEND", b"")
+
+    one = png.decode(make(1, 0, [bytes([0b10110000])]))
+    assert one[0, :, 0].tolist() == [255, 0, 255, 255, 0] and (one[..., 3] == 255).all()
+    two = png.decode(make(2, 3, [bytes([0b00011011, 0b01000000])], bytes(range(12))))
+    assert two[0, :, :3].tolist() == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9, 10, 11], [3, 4, 5]]
+    four = png.decode(make(4, 0, [bytes([0x0F, 0x80, 0x10])]))
+    assert four[0, :, 1].tolist() == [0, 255, 136, 0, 17]
+    assert np.array_equal(png.decode(png.encode(two)), two)
