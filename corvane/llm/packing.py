@@ -157,6 +157,12 @@ def _pack(vocabulary: str, end_id: int):
     return run
 
 
+def in_ranges(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs as ranges of their key, one a core, if their files would leave cores idle; a larger table stays as it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartitionByRange(cores, key).sortWithinPartitions(key) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k", end_id: int = END_ID) -> DataFrame:
     """Pieces of all documents; see SCHEMA. sequence_id holds the partition in its upper half."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pack(vocabulary, end_id), SCHEMA)

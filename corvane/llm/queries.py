@@ -38,7 +38,7 @@ def op7_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(packing.in_ranges(table(spark, sf_dir, "documents")))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Secret scan: fixed patterns plus character Markov models compared by log-likelihood ratio.
 
 Two first-order character models, one of random strings and one of ordinary identifiers, are trained from
-labelled samples. A long run of identifier characters that mixes letters and digits is a secret where the random
-model explains it better by more than a threshold per character. The models' spans come on top of the fixed
-patterns'; those stay as they are.
-
-Defined results: null and empty texts have no spans; every row gives one row; whole texts are scanned.
-Offsets count code points, ends are exclusive.
+labelled samples: of the documents themselves, the values that fixed patterns find are random strings and all other
+words of identifier characters are ordinary (`corpus_samples`, at most SAMPLE distinct values of each label, the
+first in hash order over all documents), together with made strings of both sorts (`labelled_samples`), so that a
+corpus without secrets has a model too. A long run of identifier characters is a secret where the random model
+explains it better by more than a threshold per character. The models' spans come on top of the fixed patterns';
+those stay as they are.
+
+Defined results: null and empty texts have no spans; every row gives one row, whatever repeats; whole texts are
+scanned. Offsets count code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -20,9 +23,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import cut
+
 KINDS = ("assign", "access", "hex", "markov")
 # The base patterns.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -33,6 +39,7 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 MIN_RUN, THRESHOLD = 20, 0.35
+SAMPLE, MOST_VALUE, A_TEXT = 4000, 200, 4  # values of a label, characters of a value, ordinary words taken of one text
 
 # Words of all initial letters from which ordinary identifiers are made.
 WORDS = (
@@ -95,6 +102,41 @@ def labelled_samples(seed: int = 7, n: int = 4000, words: Sequence[str] = WORDS)
     return out
 
 
+WORDLIKE = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
+
+
+def labelled_of(text: str) -> list[tuple[int, str, int]]:
+    """(label, value, rank) of one text: values that fixed patterns find, and ordinary words outside them, the A_TEXT of least rank."""
+    base = base_spans(text)
+    out = [(1, (ASSIGN.match(text, a).group(2) if k == 0 else text[a:b])[:MOST_VALUE], 0) for a, k, b in base]
+    words = {w[:MOST_VALUE] for m in WORDLIKE.finditer(text) if len(w := m.group()) and not any(a < m.end() and m.start() < b for a, _, b in base)}
+    out += [(0, w, 0) for w in sorted(words, key=_rank)[:A_TEXT]]
+    return [(label, v, _rank(v)) for label, v, _ in out]
+
+
+def _rank(value: str) -> int:
+    return xxhash.xxh64_intdigest(value) >> 1
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = sorted({x for t in b.column(0).to_pylist() if t for x in labelled_of(t)})
+        cols = list(zip(*rows, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["label", "value", "rank"])
+
+
+def corpus_samples(docs: DataFrame, most: int = SAMPLE) -> list[tuple[str, int]]:
+    """(value, label) of the distinct values of least hash among all documents, at most `most` of each label."""
+    rows = cut(docs.select(F.col("text").cast("string")).mapInArrow(_labelled, "label int, value string, rank long").distinct())
+    parts = [rows.where(F.col("label") == k).orderBy("rank", "value").limit(most) for k in (0, 1)]
+    return sorted((r["value"], r["label"]) for r in parts[0].unionByName(parts[1]).collect())  # at most 2 * most short values
+
+
+def learn(docs: DataFrame, most: int = SAMPLE) -> np.ndarray:
+    """The ratio of the two models, trained on the documents' own labelled values and on made ones."""
+    return train([*corpus_samples(docs, most), *labelled_samples()])
+
+
 def train(samples: Iterable[tuple[str, int]]) -> np.ndarray:
     """Log-likelihood ratio of each character pair, random over ordinary; the last row is the start of a string."""
     size, at = len(ALPHABET), {c: i for i, c in enumerate(ALPHABET)}
@@ -144,12 +186,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def markov_spans(text: str, base: list[tuple[int, int, int]], model: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
     """Runs that the random model explains better and that no fixed pattern's span already holds."""
-    out = []
+    out, at, reach = [], 0, 0
     for m in RUN.finditer(text):
-        s = m.group()
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and ratio(s, model) > threshold:
-            if not any(a <= m.start() and m.end() <= b for a, _, b in base):
-                out.append((m.start(), 3, m.end()))
+        while at < len(base) and reach < m.end():  # spans are sorted, so what holds the run ends at the furthest end before it
+            if base[at][0] > m.start():
+                break
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach < m.end() and ratio(m.group(), model) > threshold:
+            out.append((m.start(), 3, m.end()))
     return out
 
 
@@ -201,9 +246,9 @@ def _scan(model: np.ndarray):
     return run
 
 
-def find_secrets(docs: DataFrame, samples: list[tuple[str, int]] | None = None) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row."""
-    model = default_model() if samples is None else train(samples)
+def find_secrets(docs: DataFrame, model: np.ndarray | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row; without a model one is learned from docs."""
+    model = learn(docs) if model is None else model
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan(model), schema)
 
@@ -217,9 +262,9 @@ def _redact(model: np.ndarray, at: int):
     return run
 
 
-def redact_secrets(docs: DataFrame, samples: list[tuple[str, int]] | None = None) -> DataFrame:
+def redact_secrets(docs: DataFrame, model: np.ndarray | None = None) -> DataFrame:
     """docs with every secret span replaced by a mark, and n_chars (where it is a column) brought up to date."""
-    model = default_model() if samples is None else train(samples)
+    model = learn(docs) if model is None else model
     out = docs.mapInArrow(_redact(model, docs.columns.index("text")), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -49,7 +49,7 @@ PATTERNS = {
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?<!\d)[3-6](?:\d{3}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{12,18})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+(?=(?:[ .()-]{0,2}\d){7,15}(?!\d))\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?<=\d)(?!\d)",
     "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{'|'.join(TITLES)})\.?(?: \p{{Lu}}\.)* \p{{Lu}}\p{{L}}+{_MORE}*|(?:{_FIRST}){_MORE}+)(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -150,11 +150,20 @@ def _card(m: str, key: str) -> str:
     return _digits_into(m, f"element_at(transform(array({body}), n -> concat(n, cast({last} AS string))), 1)")
 
 
+# Country codes of one and of two digits; all others have three.
+CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def _national(m: str) -> str:
+    """SQL: the digits of phone number m without its country code, which a plus sign marks."""
+    short = "|".join(CODES)
+    return f"IF(startswith({m}, '+'), regexp_replace({_plain_digits(m)}, '^(?:{short}|[0-9]{{3}})', ''), {_plain_digits(m)})"
+
+
 def _phone(m: str, key: str) -> str:
-    """The last ten digits move, the first of them among 2 to 9 or among 0 and 1; a country code stays."""
-    d = _plain_digits(m)
-    own = f"right({d}, least(10, length({d})))"
-    return _digits_into(m, f"concat(left({d}, greatest(0, length({d}) - 10)), {_cipher(own, key, 'phone', ('23456789', '01'))})")
+    """The national digits move, the first of them among 2 to 9 or among 0 and 1; a country code stays."""
+    d, own = _plain_digits(m), _national(m)
+    return _digits_into(m, f"concat(left({d}, length({d}) - length({own})), {_cipher(own, key, 'phone', ('23456789', '01'))})")
 
 
 def _ssn(m: str, key: str) -> str:
@@ -221,7 +230,7 @@ def _mentions(g: str, key: str) -> str:
 
 
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with surrogates in text, and n_email, n_ip, n_card, n_ssn, n_phone, n_name, n_entities.
+    """docs with surrogates in text, n_chars (where it is a column) brought up to date, and n_email, n_ip, n_card, n_ssn, n_phone, n_name, n_entities.
 
     Columns of docs with these names or starting with pii_ are replaced.
     """
@@ -235,12 +244,15 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     gaps = F.expr(f"transform(pii_gaps, g -> {_mentions('g', key)})")
     text = F.when(F.size("pii_values") > 0, F.array_join(F.zip_with(gaps, F.expr(new), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")).otherwise(F.col("text"))
     n = [F.expr(f"size(filter(pii_kinds, x -> x = '{k}'))").cast("long").alias(f"n_{k}") for k in PATTERNS]
-    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in own], *n, F.size("pii_values").cast("long").alias("n_entities"))
+    out = rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in own], *n, F.size("pii_values").cast("long").alias("n_entities"))
+    if "n_chars" in own:  # replaced address octets may be longer or shorter
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
 
 
 def collisions(docs: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, replacement, n): replacements that n > 1 different entities of a corpus share; empty if all is well."""
-    canon = F.expr("CASE WHEN kind IN ('card', 'ssn') THEN regexp_replace(value, '[^0-9]', '') WHEN kind = 'phone' THEN right(regexp_replace(value, '[^0-9]', ''), 10) WHEN kind = 'ip' THEN array_join(transform(split(value, '[.]'), x -> cast(cast(x AS int) AS string)), '.') ELSE lower(value) END")
+    canon = F.expr("CASE WHEN kind IN ('card', 'ssn') THEN regexp_replace(value, '[^0-9]', '') WHEN kind = 'phone' THEN " + _national('value') + " WHEN kind = 'ip' THEN array_join(transform(split(value, '[.]'), x -> cast(cast(x AS int) AS string)), '.') ELSE lower(value) END")
     ents = _found(docs.select("text")).select(F.explode(F.arrays_zip("pii_kinds", "pii_values")).alias("e"))
     ents = ents.select(F.col("e.pii_kinds").alias("kind"), F.col("e.pii_values").alias("value"))
     ents = ents.withColumn("entity", canon).groupBy("kind", "entity").agg(F.min("value").alias("value"))

@@ -1,7 +1,7 @@
 """Byte-level BPE tokenisers from public vocabulary files, and token counts with the whole-token shortcut.
 
-Counting: offline, every vocabulary string that is one pre-token by itself and whose merges end in that one
-token is proved to be a whole token. A text is cut into pre-tokens; those in the proved set count one each, the
+Counting: offline, once on the driver, every vocabulary string that is one pre-token by itself and whose merges end
+in that one token is proved to be a whole token; the tasks get the proved set, which the vocabulary bounds. A text is cut into pre-tokens; those in the proved set count one each, the
 distinct rest is merged once per batch by the vocabulary's own merge rules and remembered in a bounded table.
 
 Defined results: null and empty texts have no tokens; a special token's string inside a text counts as that one
@@ -44,7 +44,7 @@ def byte_letters() -> list[str]:
 class WholeTokens:
     """Token counts of a byte-level BPE vocabulary file (.json of the tokenizers library)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
         from tokenizers import Tokenizer
 
         import public_tokenizers
@@ -54,11 +54,11 @@ class WholeTokens:
             spec = json.load(f)
         self.model = tok.model
         self.pieces = regex.compile(public_tokenizers.PATTERN)
-        special = [t["content"] for t in spec["added_tokens"] if t["special"]]
+        self.specials = special = [t["content"] for t in spec["added_tokens"] if t["special"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         letters = byte_letters()
         self.letters = dict(enumerate(letters))
-        self.whole = self.prove(spec["model"]["vocab"], {c: b for b, c in enumerate(letters)})
+        self.whole = whole if whole is not None else self.prove(spec["model"]["vocab"], {c: b for b, c in enumerate(letters)})
         self.rest: dict[str, int] = {}
 
     def prove(self, vocab: dict[str, int], byte_of: dict[str, int]) -> frozenset[str]:
@@ -79,7 +79,7 @@ class WholeTokens:
         return len(self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters)))
 
     def count(self, text: str) -> int:
-        if self.special and "<|" in text:
+        if any(s in text for s in self.specials):
             parts = self.special.split(text)
             return len(parts) - 1 + sum(self._count(p) for p in parts)
         return self._count(text)
@@ -101,13 +101,13 @@ class WholeTokens:
 
 
 @lru_cache(2)
-def whole_tokens(path: str) -> WholeTokens:
-    return WholeTokens(path)
+def whole_tokens(path: str, whole: frozenset[str] | None = None) -> WholeTokens:
+    return WholeTokens(path, whole)
 
 
-def _counts(name: str, limit: int):
+def _counts(name: str, limit: int, whole: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = whole_tokens(vocabulary_path(name))
+        counter = whole_tokens(vocabulary_path(name), whole)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = [counter.count(t) for t in texts]
@@ -120,7 +120,7 @@ def _counts(name: str, limit: int):
 def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row."""
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_counts(vocabulary, limit), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_counts(vocabulary, limit, whole_tokens(vocabulary_path(vocabulary)).whole), schema)
 
 
 class Encoder:
@@ -136,14 +136,17 @@ class Encoder:
         with open(vocabulary_path(f"{name}.json"), encoding="utf-8") as f:
             special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"] if t["special"]}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.specials = list(special)
         self.letters = [b""] * (max([*ranks.values(), *special.values()]) + 1)
         for s, i in ranks.items():
             self.letters[i] = s
 
     def ids(self, text: str) -> list[int]:
         try:
-            return self.fast.encode(text, allowed_special="all") if "<|" in text else self.fast.encode_ordinary(text)
-        except Exception:  # a run of white space too long for the rank library's regular expression
+            return self.fast.encode(text, allowed_special="all") if any(s in text for s in self.specials) else self.fast.encode_ordinary(text)
+        except BaseException as e:
+            if type(e).__name__ != "PanicException":  # its regular expressions overflow on very long runs, and it panics, which is no Exception
+                raise
             return _library(self.name).encode(text, add_special_tokens=False).ids
 
 

@@ -1,18 +1,21 @@
 """Toxicity by a linear-chain conditional random field over word tokens.
 
 Two tags, plain and toxic. Token labels come from the document labels: features (words and word beginnings) that
-cover toxic documents and no plain ones are picked greedily, and their tokens are the labelled toxic tokens. The
-field's emission and transition weights are then fitted to those sequences by gradient ascent. Words whose
+cover toxic documents and no plain ones are picked greedily, and their tokens are the labelled toxic tokens. All of
+the field's weights (emissions, transitions, start) are then fitted together to those sequences: the conditional
+likelihood's exact gradient, observed less expected counts, is climbed by L-BFGS until it is flat. Words whose
 features have no weight all share one emission, so forward-backward runs over a document's weighted words only and
-crosses the runs between them by a power of the transition matrix, in closed form: exact marginals of every token
-at a cost that follows the number of weighted words. Marginals aggregate to a document score (a logistic of the
-expected number of toxic tokens and the greatest marginal) and to the offending offsets.
+crosses the runs between them by a power of the transition matrix, in closed form; so do the expected counts of the
+transitions inside a run. Costs follow the number of weighted words. Marginals aggregate to a document score (a
+logistic of the expected number of toxic tokens and the greatest marginal) and to the offending offsets.
 
-The model is fitted on a bounded sample of labelled rows: at most SAMPLE rows of each label, in hash order of
-doc_id, each at most SAMPLE_CHARS long (longer ones are left out of the fit, never of the scoring).
+The model is fitted on a bounded sample of labelled rows: at most SAMPLE documents of each label, the first in hash
+order of doc_id among those that have a text of at most SAMPLE_CHARS (longer texts are left out of the fit, never of
+the scoring). Of a doc_id's several texts the least counts, so the driver never gets more than 2 * SAMPLE texts.
 
 Defined results: null and empty texts have no tokens and get the score of a document without evidence; every row
-gets one row; without labelled rows of both kinds every score is 0.
+gets one row, whatever repeats; without labelled rows of both kinds every score is 0. Spans are code points, end
+exclusive, in order.
 """
 
 from __future__ import annotations
@@ -20,13 +23,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import cut
+
 SAMPLE, SAMPLE_CHARS = 1500, 6_000
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
@@ -88,7 +93,7 @@ class Field:
     def __init__(self, weights: dict[str, float], transition: np.ndarray, start: np.ndarray, plain: float):
         self.weights, self.transition, self.start, self.plain = weights, transition, start, plain
         self.known: dict[str, float | None] = {}
-        self.logistic = np.zeros(4)
+        self.logistic, self.least_score = np.zeros(4), 0.0
         m = np.exp(transition) * np.exp([0.0, plain])[None, :]
         val, vec = np.linalg.eig(m)
         self.eigen = val.real, vec.real, np.linalg.inv(vec).real
@@ -172,46 +177,146 @@ class Field:
         return [(found[i].start(), found[i].end(), float(q)) for (i, _), q in zip(hit, p, strict=True) if q >= least]
 
 
-def fit_field(seqs: list[list[str]], tags: list[np.ndarray], names: list[str], rounds: int = 60, rate: float = 0.5, l2: float = 0.02) -> Field:
-    """Maximum likelihood of labelled tag sequences by gradient ascent with exact expectations.
+class Sequences:
+    """Labelled tag sequences as segments: so many unweighted steps, then a weighted word, then the last steps.
 
-    Sequences enter as runs: plain stretches share one emission, so sufficient statistics of a stretch are those
-    of its weighted words and of its length.
+    hits: per sequence its weighted words' places, features and tags; all counts the gradient needs come from here.
     """
-    weights = dict.fromkeys(names, 0.0)
-    seen, pairs, first, toxic, n = Counter(), np.full((2, 2), 0.5), np.full(2, 0.5), 0.5, 1.0
-    on: Counter = Counter()
-    for words, t in zip(seqs, tags, strict=True):
-        if not len(t):
-            continue
-        first[int(t[0])] += 1
-        np.add.at(pairs, (t[:-1], t[1:]), 1)
-        toxic, n = toxic + float(t.sum()), n + len(t)
-        for w, tag in zip(words, t.tolist(), strict=True):
-            for f in features(w):
-                if f in weights:
-                    seen[f] += 1
-                    on[f] += tag
-    # start at the locally normalised solution, then climb the conditional likelihood
-    transition = np.log(pairs / pairs.sum(1, keepdims=True))
-    start = np.log(first / first.sum())
-    held = sum(seen.values()) + 1.0
-    plain = math.log((toxic - min(toxic - 0.25, sum(on.values())) + 0.25) / (n + 1 - min(held, n - 1)))
-    for f in names:
-        weights[f] = math.log((on[f] + 0.5) / (seen[f] - on[f] + 0.5)) - plain
-    sample = [(w, t) for w, t in zip(seqs, tags, strict=True) if len(t)]
-    for r in range(rounds // 10):
-        field = Field(weights, transition, start, plain)
-        expect: Counter = Counter()
-        for words, _ in sample:
-            hit = [(i, s) for i, w in enumerate(words) if (s := field.emission(w)) is not None]
-            p, _ = field.marginals([i for i, _ in hit], [s for _, s in hit], len(words))
-            for (i, _), q in zip(hit, p.tolist(), strict=True):
-                for f in features(words[i]):
-                    if f in weights:
-                        expect[f] += q
-        weights = {f: w + rate * ((on[f] - expect[f]) / (seen[f] + 1.0) - l2 * w / (r + 1)) for f, w in weights.items()}
-    return Field(weights, transition, start, plain)
+
+    def __init__(self, seqs: list[list[str]], tags: list[np.ndarray], names: list[str]):
+        at = {f: i for i, f in enumerate(names)}
+        rows = [(w, t) for w, t in zip(seqs, tags, strict=True) if len(t)]
+        self.n, self.f = len(rows), len(names)
+        self.pairs, self.first, self.on = np.zeros((2, 2)), np.zeros(2), np.zeros(len(names))
+        self.toxic, known, hits = 0.0, {}, []
+        for words, t in rows:
+            self.first[int(t[0])] += 1
+            np.add.at(self.pairs, (t[:-1], t[1:]), 1)
+            self.toxic += float(t.sum())
+            mine = []
+            for i, w in enumerate(words):
+                if w not in known:
+                    known[w] = [at[f] for f in features(w) if f in at]
+                if known[w]:
+                    mine.append((i, known[w]))
+                    self.on[known[w]] += t[i]
+            hits.append(mine)
+        order = sorted(range(self.n), key=lambda r: -len(hits[r]))  # most hits first: a segment's sequences are the first ones
+        rows, hits = [rows[r] for r in order], [hits[r] for r in order]
+        most = max(map(len, hits), default=0)
+        self.active = [sum(len(h) >= j for h in hits) for j in range(most + 1)]
+        self.steps, self.width = np.zeros((self.n, most + 1), np.int64), most
+        place, feature = [], []
+        for r, ((words, _), mine) in enumerate(zip(rows, hits, strict=True)):
+            before = 0
+            for j, (i, fs) in enumerate(mine):
+                self.steps[r, j] = i - before
+                before = i
+                place += [r * most + j] * len(fs)
+                feature += fs
+            self.steps[r, len(mine)] = len(words) - 1 - before
+        self.place, self.feature = np.array(place, np.int64), np.array(feature, np.int64)
+
+    def likelihood(self, x: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+        """Penalised log-likelihood and its gradient at x: word weights, the four transitions, the two starts, the shared emission."""
+        f = self.f
+        trans, start, plain = x[f : f + 4].reshape(2, 2), x[f + 4 : f + 6], x[f + 6]
+        emit = np.bincount(self.place, x[self.feature], self.n * self.width).reshape(self.n, self.width)
+        up = np.exp(np.array([0.0, plain]))
+        step = np.exp(trans) * up[None, :]
+        val, vec = np.linalg.eig(step)
+        val, vec = val.real, vec.real
+        inv, top = np.linalg.inv(vec), val.max()
+        low = val / top
+
+        def across(v: np.ndarray, n: np.ndarray) -> np.ndarray:
+            return (v @ vec * low[None, :] ** n[:, None]) @ inv
+
+        alpha = np.tile(np.exp(start) * up, (self.n, 1))
+        log_z = np.log(alpha.sum(1)) + self.steps.sum(1) * math.log(top)
+        alpha /= alpha.sum(1, keepdims=True)
+        before, after = [], []  # at each segment's beginning, and at its word
+        boost = np.stack([np.ones(emit.shape), np.exp(emit)], 2)  # 1 where a sequence has no such word
+        for j, c in enumerate(self.active):
+            before.append(alpha[:c].copy())
+            now = across(alpha[:c], self.steps[:c, j])
+            if j < self.width:
+                now = now * boost[:c, j]
+            total = now.sum(1, keepdims=True)
+            log_z[:c] += np.log(total[:, 0])
+            alpha[:c] = now / total
+            after.append(alpha[:c].copy())
+        beta, pairs, on, toxic = np.ones((self.n, 2)), np.zeros((2, 2)), np.zeros((self.n, self.width)), 0.0
+        scaled = step / top
+        for j in range(self.width, -1, -1):
+            c = self.active[j]
+            n, back = self.steps[:c, j], beta[:c]
+            if j < self.width:
+                g = after[j] * back
+                on[:c, j] = g[:, 1] / g.sum(1)
+                back = back * boost[:c, j]
+            u, v = before[j] @ vec, back @ inv.T
+            # sums over i of low_k^i low_m^(n-1-i), the steps before and after each step of the run
+            ran = np.maximum(n - 1, 0)
+            same = [n * low[k] ** ran for k in (0, 1)]
+            gap = low[0] - low[1]
+            cross = (low[0] ** n - low[1] ** n) / gap if abs(gap) > 1e-12 else same[0]
+            near = (v * low[None, :] ** n[:, None]) @ vec.T
+            z = (before[j] * near).sum(1)
+            mixed = np.array([[(u[:, k] * (same[k] if k == m else cross) * v[:, m] / z).sum() for m in (0, 1)] for k in (0, 1)])
+            got = scaled * (inv.T @ mixed @ vec.T)
+            pairs += got
+            toxic += float(got[:, 1].sum())
+            beta[:c] = near / near.sum(1, keepdims=True)
+        g0 = before[0] * beta
+        head = (g0 / g0.sum(1, keepdims=True)).sum(0)
+        expect = np.bincount(self.feature, on.reshape(-1)[self.place], f)
+        value = float(self.on @ x[:f] + (self.pairs * trans).sum() + self.first @ start + self.toxic * plain - log_z.sum())
+        grad = np.concatenate([self.on - expect, (self.pairs - pairs).reshape(-1), self.first - head, [self.toxic - toxic - head[1]]])
+        return value - l2 / 2 * float(x @ x), grad - l2 * x
+
+
+def climb(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 200, memory: int = 10, flat: float = 1e-7) -> np.ndarray:
+    """A maximum of a concave function by L-BFGS with halved steps."""
+    value, g = f(x)
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        if np.abs(g).max() < flat * max(1.0, abs(value)):
+            break
+        d, back = g.copy(), []
+        for s, y in reversed(kept):
+            back.append(a := (s @ d) / (s @ y))
+            d = d - a * y
+        if kept:
+            s, y = kept[-1]
+            d = d * (s @ y) / (y @ y)
+        for (s, y), a in zip(kept, reversed(back), strict=True):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        rate = 1.0 if kept else min(1.0, 1.0 / np.abs(g).sum())
+        while rate > 1e-12:
+            new, h = f(x + rate * d)
+            if new >= value + 1e-4 * rate * float(g @ d):
+                break
+            rate /= 2
+        else:
+            break
+        s, y = rate * d, g - h
+        if s @ y > 1e-12:
+            kept = [*kept[-memory + 1 :], (s, y)]
+        gain, x, value, g = new - value, x + s, new, h
+        if gain < flat * abs(value):
+            break
+    return x
+
+
+def fit_field(seqs: list[list[str]], tags: list[np.ndarray], names: list[str], l2: float = 0.5) -> Field:
+    """The field of greatest penalised likelihood of labelled tag sequences, from a start at the counts' own ratios."""
+    data = Sequences(seqs, tags, names)
+    pairs, first = data.pairs + 0.5, data.first + 0.5
+    x = np.concatenate([np.zeros(len(names)), np.log(pairs / pairs.sum(1, keepdims=True)).reshape(-1), np.log(first / first.sum()), [0.0]])
+    x = climb(lambda v: data.likelihood(v, l2), x)
+    n = len(names)
+    return Field(dict(zip(names, x[:n].tolist(), strict=True)), x[n : n + 4].reshape(2, 2), x[n + 4 : n + 6], float(x[n + 6]))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
@@ -239,6 +344,7 @@ def fit(rows: list[tuple[str, int]]) -> Field | None:
     tags = [np.array([bool(marked.intersection(features(w))) for w in words], np.int64) if label else np.zeros(len(words), np.int64) for words, label in zip(docs, y, strict=True)]
     field = fit_field(docs, tags, names)
     field.logistic = fit_logistic(np.array([field.evidence(t or "") for t, _ in rows]), np.array(y, float))
+    field.least_score = field.score("")  # texts that score no more have no weighted word
     return field
 
 
@@ -246,30 +352,31 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
     """A field from the labelled rows outside fold 0; reads at most `sample` texts of each label."""
     own = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     own = own.where(fold(F.col("id")) != 0).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    ids = None
-    for label in (0, 1):
-        part = own.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(sample)
-        ids = part if ids is None else ids.unionByName(part)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = texts.where(F.length("text") <= chars).join(F.broadcast(ids), "id")  # at most 2 * sample ids
-    return fit([(r["text"], r["toxic"]) for r in sorted(texts.collect(), key=lambda r: (r["id"], r["text"]))])
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= chars)
+    own = cut(own.join(texts.select("id"), "id", "left_semi"))  # ids alone
+    parts = [own.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(sample) for label in (0, 1)]
+    ids = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * sample ids
+    rows = texts.join(ids, "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).collect()
+    return fit([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: r["id"])])
 
 
 def _score(field: Field | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [field.score(t) if field else 0.0 for t in b.column(2).to_pylist()]
-            cols = [b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted"])
+            texts = b.column(2).to_pylist()
+            s = [field.score(t) if field else 0.0 for t in texts]
+            spans = [",".join(f"{a}:{z}" for a, z, _ in field.spans(t)) if field and v > field.least_score else "" for t, v in zip(texts, s, strict=True)]
+            cols = [b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32()), pa.array(spans, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted", "spans"])
 
     return run
 
 
 def score(docs: DataFrame, field: Field | None) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row."""
+    """doc_id, held_out, score, predicted, spans (start:end of the offending words, comma-joined) of every row."""
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("long"), held, F.col("text").cast("string"))
-    return rows.mapInArrow(_score(field), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(_score(field), "doc_id long, held_out boolean, score double, predicted int, spans string")
 
 
 def _keep(field: Field | None, at: int):

@@ -269,3 +269,86 @@ def test_mixing_stage_keeps_clashing_columns(spark):
     out = P.mixing_stage(spark, docs, "")
     assert out.columns == docs.columns
     assert {(r["mix_source"], r["mix_key"], r["doc"], r["mix_copies"]) for r in out.collect()} <= {(1, "k", 2, 9)}
+
+
+def test_the_fields_gradient_is_exact():
+    r = np.random.default_rng(0)
+    names = ["=bad", "=oddly", "=cc"]
+    seqs = [list(r.choice(["bad", "oddly", "cc", "x", "y", "z"], int(n))) for n in r.integers(1, 12, 6)]
+    data = toxicity.Sequences(seqs, [r.integers(0, 2, len(s)) for s in seqs], names)
+    x = 0.7 * r.normal(size=len(names) + 7)
+    _, g = data.likelihood(x, 0.1)
+    step = lambda i: 1e-5 * np.eye(len(x))[i]
+    numeric = [(data.likelihood(x + step(i), 0.1)[0] - data.likelihood(x - step(i), 0.1)[0]) / 2e-5 for i in range(len(x))]
+    assert np.allclose(g, numeric, atol=1e-6)
+
+
+def test_the_field_learns_its_chain():
+    """Toxic words stand in runs; whether a doubtful word is toxic depends on the word before it."""
+    r, seqs, tags = np.random.default_rng(2), [], []
+    for _ in range(300):
+        y = [int(v) for v in r.random(3) < 0.4]
+        seqs.append([w for v in y for w in ["vile" if v else "plain", *["maybe"] * 5]])
+        tags.append(np.repeat(y, 6))
+    f = toxicity.fit_field(seqs, tags, ["=vile", "=maybe", "=plain"])
+    toxic = lambda text: f.marginals(*f.read(text))[0][-1]
+    assert toxic("vile maybe") > 0.8 > 0.2 > toxic("plain maybe")
+
+
+def test_toxicity_edge_cases(spark):
+    rows = corpus(200)
+    docs = [(i, t, "s") for i, t, _ in rows] + [(0, "another text of the same id", "s")] * 3 + [(None, None, None), (9999, "vilestem " + "plain words " * 60_000, "s")]
+    df = spark.createDataFrame(docs, DOCS).selectExpr("*", "1 AS score", "2 AS id", "'x' AS spans", "3 AS toxic")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(0, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    field = toxicity.learn(df, labels, sample=30)
+    got = toxicity.score(df, field).collect()
+    assert len(got) == len(docs)
+    by = {r["doc_id"]: r for r in got}
+    assert by[9999]["spans"] == "0:8" and by[None]["spans"] == "" and not by[None]["held_out"]
+    for i, t, _ in rows[:30]:
+        assert by[i]["spans"] == ",".join(f"{a}:{b}" for a, b, _ in field.spans(t)) or i == 0
+    kept = toxicity.drop_toxic(df, labels)
+    assert kept.columns == df.columns
+    assert toxicity.score(spark.createDataFrame([], DOCS), field).count() == 0 and toxicity.learn(spark.createDataFrame([], DOCS), labels) is None
+
+
+def test_secret_models_learn_from_the_documents(spark):
+    r = np.random.default_rng(7)
+    rand = lambda n, a="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz": "".join(r.choice(list(a), n))
+    texts = [f"ordinary words here token = \"{rand(30, '0123456789abcdef')}\" and more_ordinary_identifier_{i % 7} follow" for i in range(60)]
+    key = rand(28)
+    docs = frame(spark, [*texts, f"see {key} now", None, "", "same", "same"]).selectExpr("*", "1 AS value", "2 AS rank", "3 AS label")
+    samples = secrets.corpus_samples(docs, 40)
+    assert sum(y for _, y in samples) == 40 and 0 < sum(1 - y for _, y in samples) <= 40 and not any("token" in v for v, y in samples if y)
+    got = {x["doc_id"]: x for x in secrets.find_secrets(docs).collect()}
+    assert len(got) == 65 and got[60]["spans"] == f"markov:4:{4 + len(key)}"  # letters alone
+    model = secrets.learn(docs)
+    for i, t in enumerate(texts):  # brute force: every long run against the models
+        base = brute_base(t)
+        more = [(m.start(), 3, m.end()) for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", t) if secrets.ratio(m[0], model) > secrets.THRESHOLD and not any(a <= m.start() and m.end() <= b for a, _, b in base)]
+        assert got[i]["spans"] == secrets.joined(sorted(base + more))
+    many = "token=" + " token=".join(rand(24) for _ in range(3000))
+    assert secrets.scan(many, model)[1] == secrets.scan(many, model)[0] != []
+    assert secrets.find_secrets(frame(spark, [])).count() == 0
+
+
+def test_tokens_and_packing_take_endless_blanks_and_repeats(spark):
+    texts = [" " * 1_000_000 + "a", "b", "b", None]
+    lib = tokens._library("byte_bpe_50k")
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert tokens.encoder("byte_bpe_50k").ids(texts[0]) == want[0]
+    docs = spark.createDataFrame([(7, t, "s") for t in texts], DOCS).selectExpr("*", "1 AS start", "2 AS length", "3 AS n_bytes", "4 AS offset")
+    assert sorted(r["n_tokens"] for r in tokens.count_tokens(docs).collect()) == sorted(map(len, want))
+    pieces = packing.pack(packing.in_ranges(docs)).collect()
+    assert sum(r["length"] for r in pieces) == sum(len(w) + 1 for w in want) and {r["doc_id"] for r in pieces} == {7}
+
+
+def test_surrogates_keep_country_codes_and_lengths(spark):
+    texts = ["Call +49 30 123456 or +33 1 23 45 67 89 now.", "+44 (20) 7946 0958, +1 830 555 5433 and 830-555-5433", "2 +5 12 34 = 51", "at 1.2.3.4 and 250.250.250.250"]
+    out = surrogates.replace_pii(frame(spark, texts).withColumn("n_chars", F.length("text"))).orderBy("doc_id").collect()
+    german, french = re.search(r"Call (\+49 \d\d \d{6}) or (\+33 \d \d\d \d\d \d\d \d\d) now", out[0]["text"]).groups()
+    assert german != "+49 30 123456" and french != "+33 1 23 45 67 89" and out[0]["n_phone"] == 2
+    british, national = re.match(r"(\+44 \(\d\d\) \d{4} \d{4}), \+1 (\d{3} \d{3} \d{4}) and", out[1]["text"]).groups()
+    assert british != "+44 (20) 7946 0958" and national.replace(" ", "-") == out[1]["text"][-12:]
+    assert out[2]["text"] == texts[2] and out[2]["n_entities"] == 0
+    assert all(r["n_chars"] == len(r["text"]) for r in out)
