@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import round_half_up, sentences, shingles, words
+from corvane.functions.text import round_half_up, sentences, words
+from corvane.session import small
 
 GRAM, LEAST_WORDS, GENERIC_SHARE = 5, 6, 0.7
 LEAST_CONTAINMENT, LEAST_RUN = 0.5, 10
-BROADCAST_CHARS = 4_000_000
+BROADCAST_CHARS, FLAGGED_ROWS = 4_000_000, 200_000
 
 # Phrases that every product writes the same way.
 GENERIC_PHRASES = [
@@ -75,35 +76,50 @@ def comparable(texts: DataFrame, keys: list[str], text: str = "text", phrases: l
     return s.where(~is_generic(F.col("w"), phrases)) if phrases else s
 
 
-def grams(s: DataFrame, keys: list[str], n: int = GRAM) -> DataFrame:
-    return s.select(*keys, F.posexplode(shingles(F.col("w"), n)).alias("pos", "gram"))
+def gram_keys(w: Column, n: int = GRAM) -> Column:
+    """64-bit hashes of the word n-grams, in order."""
+    return F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(*[F.element_at(w, i + k) for k in range(n)]))
+
+
+def longest_run(places: Column) -> Column:
+    """Length of the longest run of consecutive numbers in a sorted array of distinct ones."""
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(a: Column, p: Column) -> Column:
+        run = F.when(p == a["last"] + 1, a["run"] + 1).otherwise(F.lit(1))
+        return F.struct(p.alias("last"), run.alias("run"), F.greatest(a["most"], run).alias("most"))
+
+    return F.aggregate(places, start, step, lambda a: a["most"])
 
 
 def copy_hits(texts: DataFrame, originals: DataFrame, key: str = "doc_id", original_key: str = "item_id", phrases: list[str] = GENERIC_PHRASES) -> DataFrame:
     """key, sent_pos, sentence, original, containment (percent), shared (words in a row).
 
-    A sentence counts if half of its 5-grams, or ten words in a row, stand in the originals. Only 5-grams that
-    occur there are kept after the first join, so what is shuffled follows the hits; originals are broadcast
-    while their text is short, else both sides are shuffled by gram.
+    A sentence counts if half of its 5-grams, or ten words in a row, stand in the originals; its original is the one
+    with most of them. Both sides are numbers until the end: texts become (key, sentence, place, gram hash) rows, and
+    only those whose gram the originals have are shuffled, once, by key; runs come from each sentence's array of
+    places. The flagged sentences then fetch their text, and phrases that everyone writes are left out. The originals'
+    grams are broadcast while their text is short, else both sides are shuffled by gram. Equal hashes count as equal
+    grams (64 bits).
     """
-    source = comparable(originals, [original_key], phrases=phrases).withColumn("original_id", F.struct(original_key, "sent_pos"))
-    index = grams(source, ["original_id", "sentence"]).select("gram", "original_id", F.col("sentence").alias("original")).distinct()
+    source = comparable(originals, [original_key], phrases=phrases)
+    index = source.select(F.explode(gram_keys(F.col("w"))).alias("gram"), F.col(original_key).alias("o_key"), F.col("sent_pos").alias("o_pos")).distinct()
     size = originals.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size <= BROADCAST_CHARS:
-        index = F.broadcast(index)
-    mine = comparable(texts, [key], phrases=phrases).withColumn("n", (F.size("w") - GRAM + 1).cast("long"))
-    found = grams(mine, [key, "sent_pos", "sentence", "n"]).join(index, "gram")
-    sent = [key, "sent_pos", "sentence", "n"]
-    per_gram = found.groupBy(*sent, "pos").agg(F.count("*").alias("copies"))
-    island = F.col("pos") - F.row_number().over(Window.partitionBy(*sent).orderBy("pos"))
-    runs = per_gram.withColumn("island", island).groupBy(*sent, "island").agg(F.count("*").alias("run"))
-    scored = runs.groupBy(*sent).agg(F.sum("run").alias("hits"), (F.max("run") + GRAM - 1).alias("shared"))
-    flagged = scored.where((F.col("hits") / F.col("n") >= LEAST_CONTAINMENT) | (F.col("shared") >= LEAST_RUN))
-    votes = found.groupBy(*sent, "original_id", "original").agg(F.count("*").alias("votes"), F.min("pos").alias("first"))
-    rank = F.struct("votes", -F.col("first"), -F.col(f"original_id.{original_key}"), -F.col("original_id.sent_pos"))
-    best = votes.groupBy(*sent).agg(F.max_by("original", rank).alias("original"))
+    mine = comparable(texts, [key], phrases=[])
+    rows = mine.select(key, "sent_pos", (F.size("w") - GRAM + 1).alias("n"), F.posexplode(gram_keys(F.col("w"))).alias("pos", "gram"))
+    found = rows.join(F.broadcast(index) if size <= BROADCAST_CHARS else index, "gram").repartition(key)
+    votes = found.groupBy(key, "sent_pos", "n", "o_key", "o_pos").agg(F.collect_set("pos").alias("places"))
+    rank = F.struct(F.size("places").alias("votes"), (-F.array_min("places")).alias("first"), (-F.col("o_key")).alias("o"), (-F.col("o_pos")).alias("p"))
+    per = votes.groupBy(key, "sent_pos", "n").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.max_by(F.struct("o_key", "o_pos"), rank).alias("best"))
+    per = per.withColumn("hits", F.size("places")).withColumn("shared", (longest_run(F.col("places")) + GRAM - 1).cast("long"))
+    flagged = per.where((F.col("hits") / F.col("n") >= LEAST_CONTAINMENT) | (F.col("shared") >= LEAST_RUN))
     percent = round_half_up(F.col("hits") / F.col("n") * 100).cast("long")
-    return flagged.join(best, sent).select(key, "sent_pos", "sentence", "original", percent.alias("containment"), "shared")
+    flagged = flagged.select(F.col(key).alias("_key"), F.col("sent_pos").alias("_pos"), percent.alias("containment"), "shared", "best.o_key", "best.o_pos").persist()
+    flagged = small(flagged, FLAGGED_ROWS)  # so that few flagged sentences fetch their text without a shuffle of all texts
+    text = texts.select(key, "text").join(flagged, F.col(key) == F.col("_key")).withColumn("sentence", F.element_at(sentences(F.col("text")), F.col("_pos") + 1))
+    text = text.where(~is_generic(words(F.col("sentence")), phrases)) if phrases else text
+    named = source.select(F.col(original_key).alias("o_key"), F.col("sent_pos").alias("o_pos"), F.col("sentence").alias("original"))
+    return text.join(named, ["o_key", "o_pos"]).select(key, F.col("_pos").alias("sent_pos"), "sentence", "original", "containment", "shared")
 
 
 def cap_per_group(hits: DataFrame, group: list[str], order: list, most: int = 5) -> DataFrame:

@@ -22,7 +22,7 @@ WEIGHTS = {
 }
 LANDMARKS = ("header", "nav", "main", "footer", "h1", "h2", "form", "table")
 MOST_DX, MOST_DW, MOST_DY, NAME_BONUS = 0.3, 0.4, 0.2, 0.15
-DEFAULT_WIDTH = 1440
+DEFAULT_WIDTH, MOST_NODES = 1440, 1500
 
 
 def similarities(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
@@ -58,8 +58,11 @@ def best_matching(s: np.ndarray) -> list[tuple[int, int]]:
 
 
 def match_nodes(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    """pair_id, role, a_pos, b_pos of matched nodes."""
-    full = nodes.where(F.col("role").isin(*WEIGHTS)).join(pages, ["pair_id", "side"])
+    """pair_id, role, a_pos, b_pos of matched nodes.
+
+    A page's nodes are the MOST_NODES of most weight, as its measurement keeps them, so a group's matrix is bounded.
+    """
+    full = keep_nodes(nodes.where(F.col("role").isin(*WEIGHTS)), ["pair_id", "side"]).join(pages, ["pair_id", "side"])
 
     def run(both: pd.DataFrame) -> pd.DataFrame:
         left, right = (both[both["side"] == s].sort_values(["y", "x", "pos"], kind="stable") for s in "ab")
@@ -113,7 +116,8 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def order_score(nodes: DataFrame) -> DataFrame:
-    """How much of the original's landmark order the clone keeps, in percent."""
+    """How much of the original's landmark order the clone keeps, in percent; of the nodes that match_nodes takes."""
+    nodes = keep_nodes(nodes, ["pair_id", "side"])
     seq = lambda s: F.transform(F.array_sort(F.collect_list(F.when((F.col("side") == s) & F.col("role").isin(*LANDMARKS), F.struct("y", "pos", "role")))), lambda x: x["role"])
     g = nodes.groupBy("pair_id").agg(seq("a").alias("a"), seq("b").alias("b"))
     share = round_half_up(lcs_length("a", "b") / F.size("a") * 100)
@@ -136,7 +140,7 @@ def moved_across_fold(nodes: DataFrame, matched: DataFrame, pages: DataFrame) ->
     return j.where("a_up <> b_up").select("pair_id", "role", F.coalesce("a_name", F.lit("")).alias("name"), F.col("a_where").alias("from"), F.col("b_where").alias("to"))
 
 
-def keep_nodes(nodes: DataFrame, key: list[str], most: int = 1500) -> DataFrame:
+def keep_nodes(nodes: DataFrame, key: list[str], most: int = MOST_NODES) -> DataFrame:
     """The nodes of most weight, in document order."""
     w = Window.partitionBy(*key).orderBy(F.desc(weight(F.col("role"))), "pos")
     return nodes.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")

@@ -15,12 +15,17 @@ from corvane.functions.text import round_half_up
 
 COUNTERS = ("text", "bg", "border", "icon", "action", "label")
 COLOR_WEIGHT = {"text": 1, "bg": 1, "border": 10, "icon": 5, "action": 40, "label": 10}
-CLUSTER_DISTANCE, CLUSTER_ALPHA = 2.5, 0.15
+CLUSTER_DISTANCE, CLUSTER_ALPHA, MOST_COLORS = 2.5, 0.15, 2000
 
 
 def value_counts(values: DataFrame, key: list[str], value: str = "value", count: str = "count", top: int | None = None) -> DataFrame:
-    """Summed counts of each value within key, largest first; ties by value. top keeps so many of each key."""
+    """Summed counts of each value within key, largest first; ties by value. top keeps so many of each key.
+
+    Without a key the rank is over all values: with top it is taken of the first ones alone, which are sorted apart.
+    """
     out = values.groupBy(*key, value).agg(F.sum(count).alias(count))
+    if not key and top:
+        out = out.orderBy(F.desc(count), value).limit(top)
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(count), value)) if key else F.row_number().over(Window.orderBy(F.desc(count), value))
     out = out.withColumn("rank", rank)
     return out.where(F.col("rank") <= top) if top else out
@@ -51,7 +56,13 @@ def color_weight() -> Column:
 
 
 def cluster_colors(usage: DataFrame, key: list[str]) -> DataFrame:
-    """Greedy clusters in order of weight: a colour joins the first cluster that is near and as opaque."""
+    """Greedy clusters in order of weight: a colour joins the first cluster that is near and as opaque.
+
+    One key's clusters are found in one task; only the MOST_COLORS heaviest colours of a key take part, far more than
+    a page's measurement holds, so that a task's work is bounded.
+    """
+    heavy = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(color_weight()), "hex"))
+    usage = usage.withColumn("_heavy", heavy).where(F.col("_heavy") <= MOST_COLORS).drop("_heavy")
     with_lab = usage.withColumn("c", C.parse_hex(F.col("hex"))).where("c is not null").withColumn("lab", C.oklab(F.col("c")))
     flat = with_lab.select(*key, "hex", *COUNTERS, color_weight().cast("double").alias("w"), F.col("c.a").alias("alpha"), F.col("lab.l").alias("l_"), F.col("lab.a").alias("a_"), F.col("lab.b").alias("b_"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema if f.name in (*key, "hex", *COUNTERS)) + ", rank int"

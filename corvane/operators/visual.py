@@ -56,15 +56,17 @@ def align(fa: np.ndarray, fb: np.ndarray) -> np.ndarray:
             down = np.append(total[i - 1, 1:], np.inf) + SHIFT_COST
             less = down < best
             best[less], way[less] = down[less], 2
-        row = total[i]
-        for k in np.flatnonzero(ok):  # steps along b depend on the row itself
-            if i == 0 and j[k] == 0:
-                row[k] = here[k]
-                continue
-            b = best[k]
-            if k and j[k] > 0 and row[k - 1] + SHIFT_COST < b:
-                b, way[k] = row[k - 1] + SHIFT_COST, 3
-            row[k] = here[k] + b
+        # steps along b: row[k] = here[k] + min(best[k], row[k - 1] + SHIFT_COST) is a running minimum once the sums
+        # of here and of the steps are taken off
+        run = np.flatnonzero(ok)
+        at, cost = best[run], here[run]
+        if i == 0 and j[run[0]] == 0:
+            at[0] = 0.0
+        paid = np.cumsum(cost) - cost + SHIFT_COST * np.arange(len(run))
+        least = np.minimum.accumulate(at - paid)
+        total[i, run] = least + paid + cost
+        along = np.append(np.inf, total[i, run[:-1]]) + SHIFT_COST
+        way[run[along < at - 1e-12]] = 3
         move[i] = way
     end = nb - 1 - (na - 1 - band)
     if not 0 <= end < span or not np.isfinite(total[-1, end]):

@@ -15,7 +15,11 @@ def dedup(stream: DataFrame, key: list[str], time: str | None = None, delay: str
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str, key: str, once: bool = True) -> StreamingQuery:
-    """Appends to a Parquet ledger only rows whose key it lacks, batch by batch; a repeated batch adds nothing."""
+    """Appends to a Parquet ledger only rows whose key it lacks, batch by batch; a repeated batch adds nothing.
+
+    Rows that repeat a key inside one batch all stay, as in ledger.append. Of the ledger only the key column is read,
+    between the batch's least and greatest key, a filter that reaches the files' statistics.
+    """
     schema = stream.schema
 
     def write(batch: DataFrame, _: int) -> None:
@@ -26,8 +30,14 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, key: str, once: boo
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             old = spark.createDataFrame([], schema).select(key)
-        fresh = batch.dropDuplicates([key]).join(old, key, "left_anti")
-        fresh.select(*schema.names).write.mode("append").parquet(path)
+        batch = batch.persist()
+        try:
+            least, most = batch.agg(F.min(key), F.max(key)).first()
+            old = old.where(F.col(key).between(F.lit(least), F.lit(most)))
+            fresh = batch.join(old, key, "left_anti")
+            fresh.select(*schema.names).write.mode("append").parquet(path)
+        finally:
+            batch.unpersist()
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
