@@ -352,3 +352,99 @@ def test_surrogates_keep_country_codes_and_lengths(spark):
     assert british != "+44 (20) 7946 0958" and national.replace(" ", "-") == out[1]["text"][-12:]
     assert out[2]["text"] == texts[2] and out[2]["n_entities"] == 0
     assert all(r["n_chars"] == len(r["text"]) for r in out)
+
+
+# A plain twin of the surrogate cipher, written from its description: one character after the other, in Python.
+def plain_cipher(s, key, label, first=None):
+    def step(lab, before):
+        return int(hashlib.md5(f"{key}|{lab}|{before}".encode()).hexdigest()[:8], 16)
+
+    def move(c, n, classes):
+        for k in classes:
+            if c in k:
+                return k[(k.index(c) + n) % len(k)]
+        return c
+
+    def run(t, lab, head=None):
+        return "".join(move(c, step(lab, t[:i]), head if head and i == 0 else surrogates.CLASSES) for i, c in enumerate(t))
+
+    forward = run(s, label + ">", first)
+    if first:
+        return forward[:1] + run(forward[1:][::-1], label + "<")[::-1]
+    return run(forward[::-1], label + "<")[::-1]
+
+
+def plain_case(model, s):
+    return "".join(o.upper() if m != m.lower() and len(o.upper()) == 1 else o for m, o in zip(model, s, strict=True))
+
+
+def plain_digits(model, digits):
+    it = iter(digits)
+    return "".join(next(it) if c.isdigit() else c for c in model)
+
+
+def plain_check_digit(body):
+    d = [int(c) for c in body[::-1]]
+    return -sum(sum(divmod(2 * x, 10)) for x in d[::2]) % 10 - sum(d[1::2]) % 10
+
+
+def plain_word(w, key):
+    moved, low = surrogates.moved_first_names(key), w.lower()
+    if low.rstrip(".") in {t.lower() for t in surrogates.TITLES}:
+        return w
+    if low in moved:
+        return moved[low].upper() if w == w.upper() else moved[low]
+    z = plain_cipher(low, key, "name")
+    while z in moved:
+        z = plain_cipher(z, key, "name")
+    return plain_case(w, z)
+
+
+def plain_surrogate(kind, m, key):
+    d = re.sub(r"\D", "", m)
+    if kind == "email":
+        body, top = re.fullmatch(r"(.*)(\.[A-Za-z]+)", m).groups()
+        return plain_case(body, plain_cipher(body.lower(), key, "email")) + top
+    if kind == "ip":
+        def run(octets, label):
+            out = []
+            for i, n in enumerate(octets):
+                before = "".join(f".{x}" for x in octets[:i])
+                out.append((n + int(hashlib.md5(f"{key}|{label}|{before}".encode()).hexdigest()[:8], 16)) % 256)
+            return out
+
+        return ".".join(map(str, run(run([int(x) for x in m.split(".")], "ip>")[::-1], "ip<")[::-1]))
+    if kind == "ssn":
+        return plain_digits(m, plain_cipher(d, key, "ssn"))
+    if kind == "card":
+        body = d[0] + plain_cipher(d[1:-1], key, "card")
+        last = (plain_check_digit(body) + int(d[-1]) - plain_check_digit(d[:-1])) % 10
+        return plain_digits(m, body + str(last))
+    if kind == "phone":
+        code = ""
+        if m.startswith("+"):
+            code = next((d[:n] for n in (1, 2) if d[:n] in surrogates.CODES), d[:3])
+        return plain_digits(m, code + plain_cipher(d[len(code) :], key, "phone", ("23456789", "01")))
+    return "".join(x if x in " -" else plain_word(x, key) for x in re.split(r"([ -])", m))
+
+
+def test_surrogates_against_a_plain_twin(spark):
+    import regex
+
+    key = "k9"
+    kinds = {k: regex.compile(p.replace(r"++@", "+@")) for k, p in surrogates.PATTERNS.items()}
+    texts = [
+        "Write to Ann.Lee+x@mail.example.org, ip 10.0.200.7; card 5500 0000 0000 0004; ssn 078-05-1120.", "Call +44 20 7946 0958 or (830) 555-5433 or +351 21 123 4567!",
+        "Dr. Élodie Marchand-Lévy met MARIE Curie, Анна Петрова and Juan Vega.", "José García Ruiz, josé@x.io", "no one here", "Mr Smith 4012888888881881 and 4012888888881881",
+    ]
+    any_ = regex.compile("|".join(f"(?:{p})" for p in surrogates.PATTERNS.values()).replace(r"++@", "+@"))
+    out = [r["text"] for r in surrogates.replace_pii(frame(spark, texts), key).orderBy("doc_id").collect()]
+    for t, got in zip(texts, out, strict=True):
+        want, at = [], 0
+        found = list(any_.finditer(t))
+        for m in found:
+            kind = next(k for k, p in kinds.items() if p.fullmatch(t, m.start(), m.end()) or p.fullmatch(m[0]))
+            want += [t[at : m.start()], plain_surrogate(kind, m[0], key)]
+            at = m.end()
+        assert got == "".join(want) + t[at:], t
+    assert sum(a != b for a, b in zip(texts, out, strict=True)) == 5

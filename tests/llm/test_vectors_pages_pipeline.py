@@ -211,3 +211,76 @@ def test_forest_repeated_ids_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, VEC).selectExpr("*", "1 AS id", "'x' AS v", "2 AS shard", "3 AS block")
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in forest.nearest(df).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 1, 0.5), (0, 3, 2, 0.0)]
+
+
+def plain_poisson(mean, *parts):
+    """Copies by inverting the Poisson distribution at a hashed number, one term after the other."""
+    import hashlib
+    import math
+
+    u = int(hashlib.md5("|".join(parts).encode()).hexdigest()[:12], 16) / 2**48
+    k, p = 0, math.exp(-mean)
+    c = p
+    while c <= u:
+        k += 1
+        p *= mean / k
+        c += p
+    return k
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """run() on a small table with nulls, empty and repeated texts, clashing columns: every stage done again without Spark."""
+    import collections
+    import itertools
+
+    import corpus_pipeline as P
+    from corvane.llm import mixing, packing, secrets, tokens, toxicity
+
+    r = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        w = list(r.choice(words, int(r.integers(30, 80))))
+        if i % 4 == 0:
+            w[3], w[9] = "nastyish", "vilestem"
+        rows.append((i, " ".join(w), "en", f"src{i % 7}", i))
+    rows += [(200, rows[1][1], "en", "src1", 0), (1, rows[2][1], "fr", "src2", 0), (201, None, None, None, None), (202, "", "en", "src3", 0), (203, rows[5][1] + ' token = "' + "ab12" * 10 + '"', "en", "src9", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, mix_key string, fp int"
+    spark.createDataFrame([(*x, "clash", 3) for x in rows], schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, labels = (spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("documents", "labels"))
+
+    field = toxicity.learn(docs, labels)
+    kept = [x for x in rows if field.score(x[1]) < 0.5]
+    assert 85 <= len(kept) <= 100
+    fps = [simhash.fingerprint((x[1] or "").encode()) % 2**64 for x in kept]
+    root = list(range(len(kept)))
+    for _ in kept:
+        for a, b in itertools.combinations(range(len(kept)), 2):
+            if (fps[a] ^ fps[b]).bit_count() <= 2:
+                root[a] = root[b] = min(root[a], root[b])
+    groups = collections.defaultdict(list)
+    for x, g in zip(kept, root, strict=True):
+        groups[g].append(x)
+    first = [min(g, key=lambda x: x[0]) for g in groups.values()]
+    assert len(first) < len(kept) - 2 and len({x[0] for x in first if x[0] == 1}) == 1
+    model = secrets.learn(spark.createDataFrame(first, "doc_id long, text string, lang string, source string, n_chars long"))
+    clean = [(x[0], secrets.redact(x[1], model), x[3]) for x in first]
+    chars = collections.Counter()
+    for _, t, s in clean:
+        chars[s or ""] += len(t or "")
+    weight = {s: mixing.TARGET.get(s, 1.0) for s, n in chars.items() if n}
+    total = sum(chars.values())
+    rate = {s: total * weight[s] / sum(weight.values()) / n if n else 1.0 for s, n in chars.items()}
+    copies = collections.Counter()
+    for i, t, s in clean:
+        copies[i, t or ""] += plain_poisson(rate[s or ""], mixing.SEED, str(i))
+    enc, want = tokens.encoder("byte_bpe_50k"), collections.Counter()
+    for (i, t), n in copies.items():
+        want[i, len(enc.ids(t)) + 1] += n
+    pieces = P.run(spark, str(tmp_path)).collect()
+    got = collections.Counter()
+    for p in pieces:
+        got[p["doc_id"], p["doc_tokens"]] += p["length"]
+    assert got == collections.Counter({k: k[1] * n for k, n in want.items() if n})
+    assert max(collections.Counter((p["sequence_id"], p["offset"]) for p in pieces).values()) == 1 and all(p["offset"] + p["length"] <= packing.WINDOW for p in pieces)
