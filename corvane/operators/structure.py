@@ -83,8 +83,8 @@ def position_label(x: Column, y: Column, w: Column, view_w: Column, view_h: Colu
     return F.concat_ws(", ", F.when(y < 120, "top bar").when(y < view_h, "first screen").otherwise(down), side)
 
 
-def weight(role: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in WEIGHTS.items() for v in kv]), role), F.lit(0.0))
+def weight(role: Column, weights: dict[str, float] = WEIGHTS) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in weights.items() for v in kv]), role), F.lit(0.0))
 
 
 def by_role(nodes: DataFrame, matched: DataFrame) -> DataFrame:
@@ -94,9 +94,9 @@ def by_role(nodes: DataFrame, matched: DataFrame) -> DataFrame:
     return n.join(m, ["pair_id", "role"], "left").na.fill({"matched": 0})
 
 
-def structure_score(roles: DataFrame) -> DataFrame:
-    """Weighted share of the original's nodes that the clone has, in percent."""
-    w = weight(F.col("role"))
+def structure_score(roles: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """Weighted share of the original's nodes that the clone has, in percent; a caller may bring its own weights."""
+    w = weight(F.col("role"), weights)
     total = F.sum(w * F.col("original"))
     return roles.groupBy("pair_id").agg(F.when(total > 0, round_half_up(F.sum(w * F.col("matched")) / total * 100)).otherwise(F.lit(100.0)).cast("long").alias("score"))
 

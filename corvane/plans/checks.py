@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corvane.functions import color as C
 from corvane.functions import png
 from corvane.functions.text import round_half_up
-from corvane.operators import designs, gates, lint, structure, sweep, visual
+from corvane.operators import designs, gates, lint, structure, sweep, tokens, visual
 from corvane.plans.common import table
 from corvane.plans.measures import _K, _keys, _pick, _sql_pick, key
 from corvane.plans.systems import _BRAND, BRAND, _hex, _sql_lab, _sql_lin, structure_self
@@ -326,6 +326,19 @@ def color_arithmetic(spark: SparkSession, d: str) -> DataFrame:
     return _keys(spark, d).select("k", C.hue_gap((key() * 7 % 360).cast("double"), (key() * 11 % 360).cast("double")).alias("gap"), C.to_hex(C.over(fg, bg)).alias("over"), C.to_hex(C.rgba(v(3), v(5), v(7), (key() % 2 / 2).cast("double"))).alias("hex"), F.element_at(C.colors_in_text(text), 1).alias("first"))
 
 
+PALETTE = ["#111827", "#6b7280", "#006bff", "#f3f4f6", "#ff5a1f", "#d1d5db", "#0a8f4d", "#fefefe", "#7c3aed"]
+
+
+def color_roles_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Roles of nine colours a page, with counters that leave some roles empty and make others tie."""
+    n = F.floor(key() / 40)
+    p = F.substring("page", 2, 9).cast("long")
+    uses = {"text": (p * 7 + n * 13) % 50 * (n % 3 < 2).cast("int"), "bg": (p + n * 5) % 9, "border": (p * 3 + n) % 4, "icon": F.lit(0), "action": (p + n) % 5 * (p % 4 > 0).cast("int"), "label": (p * n) % 3}
+    c = _keys(spark, d).where("k < 360").select("page", _pick(PALETTE, n).alias("hex"), F.lit("#ffffff").alias("canvas"), (n + 1).cast("int").alias("rank"), *[v.cast("long").alias(c) for c, v in uses.items()])
+    r = tokens.color_roles(c, ["page"])
+    return r.select("page", *[F.coalesce(x, F.lit("")).alias(x) for x in ("ink", "ink_soft", "surface", "accent", "on_accent", "border")], F.array_join("brand", ",").alias("brand"))
+
+
 def design_distances(spark: SparkSession, d: str) -> DataFrame:
     """OKLab distance of each part's colour from the next part's."""
     p = table(spark, d, "part").select("p_partkey", C.oklab(C.parse_hex(_hex(F.col("p_partkey")))).alias("x"), C.oklab(C.parse_hex(_hex(F.col("p_partkey") + 1))).alias("y"))
@@ -417,7 +430,7 @@ QUERIES = {
     for f in (
         design_roles, design_missing_roles, design_unreadable, design_contrast, design_too_close, design_traps, design_scales, design_their_fonts, design_missing_tokens,
         design_ranked, listing_lint, listing_keywords, lint_claims, lint_dashes, lint_heading_case, copy_items, file_name_hits, original_texts, domain_states, host_hits, avoid_names, avoid_colors, color_hits, path_hits, image_hits,
-        sweep_levels, sweep_report, source_strings, severe_bugs, decisions, critic_screens, gate_advance, gate_stages, gate_stage_passes, color_grammar, color_arithmetic,
+        sweep_levels, sweep_report, source_strings, severe_bugs, decisions, critic_screens, gate_advance, gate_stages, gate_stage_passes, color_grammar, color_arithmetic, color_roles_ranked,
         design_distances, structure_moves, image_compare,
     )
 } | {"structure_self": structure_self}
@@ -491,6 +504,23 @@ ORACLES = {
     "color_arithmetic": f"""SELECT k, abs((k * 7 % 360 - k * 11 % 360 + 900) % 360 - 180)::DOUBLE AS gap,
         printf('#%02x%02x%02x', floor(k * 3 % 256 * 0.25::DOUBLE + k * 11 % 256 * 0.75::DOUBLE + 0.5)::INTEGER, floor(k * 5 % 256 * 0.25::DOUBLE + k * 13 % 256 * 0.75::DOUBLE + 0.5)::INTEGER, floor(k * 7 % 256 * 0.25::DOUBLE + k * 17 % 256 * 0.75::DOUBLE + 0.5)::INTEGER) AS over,
         printf('#%02x%02x%02x', k * 3 % 256, k * 5 % 256, k * 7 % 256) || CASE WHEN k % 2 = 0 THEN '00' ELSE '80' END AS hex, CASE WHEN k % 4 > 0 THEN '#abc' ELSE 'rgb(1, 2, 3)' END AS first FROM ({_K})""",
+    "color_roles_ranked": f"""WITH raw AS (SELECT page, substr(page, 2)::BIGINT AS p, k // 40 AS n FROM ({_K}) WHERE k < 360),
+        v AS (SELECT page, n + 1 AS rank, {_sql_pick(PALETTE, 'n')} AS hex, (p * 7 + n * 13) % 50 * CASE WHEN n % 3 < 2 THEN 1 ELSE 0 END AS text, (p + n * 5) % 9 AS bg, (p * 3 + n) % 4 AS border, (p + n) % 5 * CASE WHEN p % 4 > 0 THEN 1 ELSE 0 END AS action, (p * n) % 3 AS label FROM raw),
+        m AS ({_sql_lab("SELECT *, ('0x' || substr(hex, 2, 2))::INTEGER AS r, ('0x' || substr(hex, 4, 2))::INTEGER AS g, ('0x' || substr(hex, 6, 2))::INTEGER AS b FROM v")}),
+        w AS ({_sql_lab("SELECT 255 AS r, 255 AS g, 255 AS b")}),
+        c AS (SELECT m.*, sqrt(m.a_ ** 2 + m.b_ ** 2) AS ch, sqrt((m.l_ - w.l_) ** 2 + (m.a_ - w.a_) ** 2 + (m.b_ - w.b_) ** 2) * 100 AS o, 0.2126 * m.lr + 0.7152 * m.lg + 0.0722 * m.lb AS y, 1.05 / (0.2126 * m.lr + 0.7152 * m.lg + 0.0722 * m.lb + 0.05) AS k,
+          text >= greatest(1, sum(text) OVER (PARTITION BY page)) * 0.08 AS textual FROM m, w),
+        f AS (SELECT *, action > 0 AND o >= 10 AS filled, coalesce(max(action) FILTER (WHERE action > 0 AND o >= 10) OVER (PARTITION BY page), 0) AS most FROM c),
+        one AS (SELECT page, coalesce(arg_max(rank, (text, -rank)) FILTER (WHERE textual AND k >= 7), arg_max(rank, (k, -rank)) FILTER (WHERE textual), arg_max(rank, (text, -rank)) FILTER (WHERE text > 0)) AS ink,
+          coalesce(arg_max(rank, (action, -rank)) FILTER (WHERE filled AND ch >= 0.06 AND action >= greatest(2, most * 0.15)), arg_max(rank, (action, -rank)) FILTER (WHERE filled), arg_max(rank, (label, -rank)) FILTER (WHERE label > 0 AND ch >= 0.06)) AS accent,
+          arg_max(hex, (bg, -rank)) FILTER (WHERE bg > 0 AND o >= 2) AS surface, arg_max(hex, (border, -rank)) FILTER (WHERE border > 0) AS border FROM f GROUP BY 1),
+        t AS (SELECT one.page, one.surface, one.border, i.hex AS ih, i.y AS iy, i.k AS ik, i.l_ AS il, i.a_ AS ia, i.b_ AS ib, a.hex AS ah, a.y AS ay, a.ch AS ac FROM one LEFT JOIN f i ON i.page = one.page AND i.rank = one.ink LEFT JOIN f a ON a.page = one.page AND a.rank = one.accent),
+        s AS (SELECT f.page, arg_max(hex, (text, -rank)) FILTER (WHERE textual AND hex <> ih AND sqrt((f.l_ - il) ** 2 + (f.a_ - ia) ** 2 + (f.b_ - ib) ** 2) * 100 >= 5 AND k >= 3 AND k < ik) AS soft,
+          coalesce(list(hex ORDER BY action * 40 + label * 10 + bg + text DESC, rank) FILTER (WHERE ch >= 0.06 AND coalesce(hex <> ah, true) AND action + label + text + bg > 0), []) AS others FROM f JOIN t USING (page) GROUP BY 1)
+        SELECT page, coalesce(ih, '') AS ink, coalesce(soft, '') AS ink_soft, coalesce(surface, '') AS surface, coalesce(ah, '') AS accent, coalesce(border, '') AS border,
+          CASE WHEN ah IS NULL THEN '' WHEN 1.05 / (ay + 0.05) >= (greatest(d, ay) + 0.05) / (least(d, ay) + 0.05) THEN '#ffffff' ELSE coalesce(ih, '#111111') END AS on_accent,
+          array_to_string(list_slice(list_concat(CASE WHEN ac >= 0.03 THEN [ah] ELSE [] END, others), 1, 6), ',') AS brand
+        FROM (SELECT t.*, soft, others, CASE WHEN 1.05 / (iy + 0.05) > 1.5 THEN iy ELSE ({_sql_lin('17')}) END AS d FROM t JOIN s USING (page))""",
     "design_distances": f"""WITH x AS ({_sql_lab("SELECT p_partkey AS k, (p_partkey * 37) % 256 AS r, (p_partkey * 91) % 256 AS g, (p_partkey * 151) % 256 AS b FROM part")}), y AS ({_sql_lab("SELECT p_partkey AS k, ((p_partkey + 1) * 37) % 256 AS r, ((p_partkey + 1) * 91) % 256 AS g, ((p_partkey + 1) * 151) % 256 AS b FROM part")})
         SELECT x.k AS p_partkey, floor(sqrt((x.l_ - y.l_) ** 2 + (x.a_ - y.a_) ** 2 + (x.b_ - y.b_) ** 2) * 1000000.0 + 0.5) / 10000.0 AS distance FROM x JOIN y USING (k)""",
     "structure_moves": f"""SELECT page AS pair_id, 'n' || k AS name, floor(((k // 40) * 40 + 300) / 4000 * 100 + 0.5)::BIGINT || '% down the page, left' AS "to" FROM ({_K}) WHERE k < 2000 AND (k // 40) * 40 BETWEEN 600 AND 899""",
