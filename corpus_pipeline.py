@@ -1,4 +1,11 @@
-"""The corpus pipeline: toxicity, near-dedup, secret scan, mixing, packing, each stage on what the last one kept."""
+"""The corpus pipeline: toxicity, near-dedup, secret scan, mixing, packing, each stage on what the last one kept.
+
+Defined results: extra columns of documents, whatever their names, pass through all stages but the last. Null and empty
+texts are not toxic, hold no secrets and weigh nothing in mixing; they are near copies of each other, so one row of them
+stays, and it packs into its end token. A row is a document of its own unless doc_id and text are both another row's;
+rows without doc_id are never near copies. Ties go to the smaller doc_id, then to the smaller hash of the text. An empty
+table gives an empty result.
+"""
 
 from __future__ import annotations
 
