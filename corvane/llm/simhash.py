@@ -116,7 +116,8 @@ def keep_first(docs: DataFrame, n: int = SHINGLE, seed: int = SEED, broadcast_ro
     row = (docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string")))
 
     def only(names: DataFrame, how: str) -> DataFrame:
-        return docs.join(F.broadcast(names) if few else names, (row[0] == F.col("sim_id")) & (row[1] == F.col("sim_key")), how)
+        right = F.broadcast(names) if few else names
+        return docs.join(right, (row[0] == right["sim_id"]) & (row[1] == right["sim_key"]), how)
 
     kept, repeated = only(named, "left_anti"), named.where("not sim_goes")
     if repeated.isEmpty():

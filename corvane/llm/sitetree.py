@@ -90,9 +90,10 @@ class Element:
 
 def host_of(url: str | None) -> str:
     try:
-        return (urlsplit(url or "").hostname or "").removeprefix("www.")
+        host = (urlsplit(url or "").hostname or "").removeprefix("www.")
     except ValueError:
         return ""
+    return "" if host == ALL_HOSTS else host
 
 
 def furniture_name(name: str, inside: int) -> bool:
