@@ -53,8 +53,11 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{'|'.join(TITLES)})\.?(?: \p{{Lu}}\.)* \p{{Lu}}\p{{L}}+{_MORE}*|(?:{_FIRST}){_MORE}+)(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A cheap test that every text with an entity passes.
-HINT = rf"[0-9@]|(?:{'|'.join(TITLES)})\.? |(?:{_FIRST})[ -]"
+#: A cheap test that every text with an entity passes; names are tried at capital letters alone.
+HINT = rf"[0-9@]|(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{'|'.join(TITLES)})\.? |(?:{_FIRST})[ -])"
+#: One group a kind, and what stands in for a match: marks round it and between its groups, noncharacters that texts do not hold.
+GROUPED = "|".join(f"({p})" for p in PATTERNS.values())
+MARK, GROUP = "\ufdd0", "\ufdd1"
 
 
 def _lit(s: str) -> str:
@@ -208,10 +211,25 @@ def surrogate(kind: str, value: str, key: str = KEY) -> str:
 
 
 def _found(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with pii_values and pii_kinds, the entities of the text in order."""
-    hinted = F.col(text).rlike(HINT)
-    values = F.when(hinted, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    return docs.withColumn("pii_values", values).withColumn("pii_kinds", F.expr(f"transform(pii_values, m -> {_kind('m')})"))
+    """docs with pii_values and pii_kinds, the entities of the text in order, and pii_gaps, what stands between them.
+
+    One pass of the patterns marks every match and its kind; the marked text is then split. A text that holds one of
+    the marks itself is matched, split and told apart by kinds in passes of their own.
+    """
+    t = F.col(text)
+    marked = F.regexp_replace(t, F.lit(GROUPED), F.lit(MARK + GROUP.join(f"${i + 1}" for i in range(len(PATTERNS))) + MARK))
+    odd = F.contains(t, F.lit(MARK)) | F.contains(t, F.lit(GROUP))
+    none = F.array().cast("array<string>")
+    rows = docs.withColumn("pii_parts", F.when(t.rlike(HINT) & ~odd, F.split(marked, MARK, -1)).otherwise(F.when(t.isNotNull() & ~odd, F.array(t))))
+    hits = F.transform(F.filter("pii_parts", lambda x, i: i % 2 == 1), lambda e: F.split(e, GROUP, -1))
+    rows = rows.withColumn("pii_hits", hits)
+    kinds = F.array(*[F.lit(k) for k in PATTERNS])
+    kind = F.transform("pii_hits", lambda e: F.element_at(kinds, F.array_position(F.transform(e, lambda g: g != ""), True).cast("int")))
+    values = F.regexp_extract_all(t, F.lit(ANY), F.lit(0))
+    rows = rows.withColumn("pii_values", F.when(F.coalesce(odd, F.lit(False)), values).otherwise(F.coalesce(F.transform("pii_hits", lambda e: F.array_join(e, "")), none)))
+    rows = rows.withColumn("pii_kinds", F.when(F.coalesce(odd, F.lit(False)), F.expr(f"transform(pii_values, m -> {_kind('m')})")).otherwise(F.coalesce(kind, none)))
+    gaps = F.when(odd, F.split(t, ANY, -1)).otherwise(F.filter("pii_parts", lambda x, i: i % 2 == 0))
+    return rows.withColumn("pii_gaps", gaps).drop("pii_parts", "pii_hits")
 
 
 def _surnames() -> str:
@@ -240,7 +258,6 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     new = f"zip_with(pii_kinds, pii_values, (k, m) -> {surrogate('k', 'm', key)})"
     rows = rows.withColumn("pii_surnames", F.expr(f"IF(array_contains(pii_kinds, 'name'), {_surnames()}, array())"))
     rows = rows.withColumn("pii_bare", F.expr("IF(size(pii_surnames) > 0, concat('(?<!\\\\p{L})(?:', array_join(pii_surnames, '|'), ')(?!\\\\p{L})'), NULL)"))
-    rows = rows.withColumn("pii_gaps", F.split(F.col("text"), ANY, -1))
     gaps = F.expr(f"transform(pii_gaps, g -> {_mentions('g', key)})")
     text = F.when(F.size("pii_values") > 0, F.array_join(F.zip_with(gaps, F.expr(new), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")).otherwise(F.col("text"))
     n = [F.expr(f"size(filter(pii_kinds, x -> x = '{k}'))").cast("long").alias(f"n_{k}") for k in PATTERNS]

@@ -448,3 +448,11 @@ def test_surrogates_against_a_plain_twin(spark):
             at = m.end()
         assert got == "".join(want) + t[at:], t
     assert sum(a != b for a, b in zip(texts, out, strict=True)) == 5
+
+
+def test_surrogates_of_texts_that_hold_the_marks(spark):
+    t = "Mail a.b@c.org, card 4111111111111111 and Mr. John Smith; Smith left. 2.3.4.5"
+    marked = [t, f"{surrogates.MARK} {t}", f"{t}{surrogates.GROUP}", surrogates.MARK, f"x{surrogates.GROUP}{surrogates.MARK}"]
+    out = surrogates.replace_pii(frame(spark, marked)).orderBy("doc_id").collect()
+    assert out[1]["text"] == f"{surrogates.MARK} {out[0]['text']}" and out[2]["text"] == f"{out[0]['text']}{surrogates.GROUP}"
+    assert [r["text"] for r in out[3:]] == marked[3:] and [r["n_entities"] for r in out] == [4, 4, 4, 0, 0]
