@@ -128,6 +128,12 @@ def lint_claims(spark: SparkSession, d: str) -> DataFrame:
     return lint.ordered(found).select("source_id", "pos", "level", "rule")
 
 
+def lint_said_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Errors, warnings and notes of the said things by page, and whether the page passes."""
+    items = _keys(spark, d).select(F.col("page").alias("source_id"), key().alias("pos"), F.when(key() % 3 == 0, "button").otherwise("text").alias("kind"), _pick([*SAID, "Oops, wrong", "OK!"], F.floor(key() / 40)).alias("t"))
+    return lint.totals(lint.predicates(lint.prepared(items), avoid=["TheOrigin"]))
+
+
 def lint_dashes(spark: SparkSession, d: str) -> DataFrame:
     items = _keys(spark, d).select(F.col("page").alias("source_id"), key().alias("pos"), F.lit("text").alias("kind"), _pick(["a — b", "c", "d - e"], F.floor(key() / 400)).alias("t"))
     return lint.em_dashes(lint.prepared(items)).select("source_id", "pos", "text", "detail")
@@ -429,7 +435,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         design_roles, design_missing_roles, design_unreadable, design_contrast, design_too_close, design_traps, design_scales, design_their_fonts, design_missing_tokens,
-        design_ranked, listing_lint, listing_keywords, lint_claims, lint_dashes, lint_heading_case, copy_items, file_name_hits, original_texts, domain_states, host_hits, avoid_names, avoid_colors, color_hits, path_hits, image_hits,
+        design_ranked, listing_lint, listing_keywords, lint_claims, lint_said_totals, lint_dashes, lint_heading_case, copy_items, file_name_hits, original_texts, domain_states, host_hits, avoid_names, avoid_colors, color_hits, path_hits, image_hits,
         sweep_levels, sweep_report, source_strings, severe_bugs, decisions, critic_screens, gate_advance, gate_stages, gate_stage_passes, color_grammar, color_arithmetic, color_roles_ranked,
         design_distances, structure_moves, image_compare,
     )
@@ -466,6 +472,8 @@ ORACLES = {
     "listing_keywords": f"""SELECT k::VARCHAR AS listing_id, unnest(CASE k % 5 WHEN 0 THEN ['Spaces after commas waste characters.', 'Already in the name or subtitle: notes.'] WHEN 1 THEN ['Already in the name or subtitle: plan.', 'Repeated: notes.'] ELSE [] END) AS message FROM ({_K})""",
     "lint_claims": f"""SELECT page AS source_id, k AS pos, x[1] AS level, x[2] AS rule FROM (SELECT page, k, unnest(CASE k % 8 WHEN 0 THEN [['error', 'proof:user-count'], ['error', 'proof:trusted-by']] WHEN 3 THEN [['error', 'proof:trusted-by'], ['error', 'their-name']]
         WHEN 5 THEN [['error', 'proof:as-seen-in']] WHEN 6 THEN [['error', 'their-name']] ELSE [] END) AS x FROM ({_K}))""",
+    "lint_said_totals": f"""SELECT page AS source_id, sum(e)::BIGINT AS errors, sum(w)::BIGINT AS warnings, 0::BIGINT AS notes, sum(e) = 0 AND sum(w) <= 3 AS passes FROM (
+        SELECT page, [2, 1, 1, 2, 0, 1, 1, 0, 0, 0][n + 1] AS e, CASE WHEN n = 8 THEN 1 WHEN n = 9 AND k % 3 = 0 THEN 2 ELSE 0 END AS w FROM (SELECT page, k, (k // 40) % 10 AS n FROM ({_K}))) WHERE e + w > 0 GROUP BY 1""",
     "lint_dashes": f"""SELECT page AS source_id, min(k) AS pos, 'a — b' AS text, count(*) || ' em dash' || CASE WHEN count(*) > 1 THEN 'es' ELSE '' END AS detail FROM ({_K}) WHERE (k // 400) % 3 = 0 GROUP BY 1""",
     "lint_heading_case": r"""WITH h AS (SELECT lang, trim(regexp_replace(coalesce(string_split(text, chr(10))[1], ''), '\s+', ' ', 'g')) AS t FROM documents),
         w AS (SELECT lang, list_filter(string_split(t, ' ')[2:], lambda x: NOT list_contains(['a','an','and','as','at','but','by','for','in','of','on','or','the','to','with','vs'], lower(x)) AND regexp_matches(x, '^\p{L}')) AS x FROM h WHERE t <> '' AND len(string_split(t, ' ')) >= 3),

@@ -71,7 +71,7 @@ def nearest_brand(spark: SparkSession, d: str) -> DataFrame:
 
 
 def color_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy clusters of each brand's colours; order-dependent, so checked by invariants in the tests."""
+    """Greedy clusters of each brand's colours, in order of weight."""
     p = table(spark, d, "part").select(F.col("p_brand").alias("page"), _hex(F.col("p_partkey")).alias("hex"), F.lit("#ffffff").alias("canvas"), *[(F.pmod(F.col("p_partkey"), F.lit(i + 2))).cast("long").alias(c) for i, c in enumerate(tokens.COUNTERS)])
     return tokens.cluster_colors(tokens.color_usage(p, ["page"]), ["page"])
 
@@ -206,6 +206,22 @@ def _sql_lab(src: str) -> str:
     return f"SELECT *, {lab} FROM (SELECT *, {cone} FROM (SELECT *, {lin} FROM ({src})))"
 
 
+def _clusters() -> str:
+    """Greedy clusters, one colour after the other: a list of clusters a page is carried from rank to rank."""
+    c = tokens.COUNTERS
+    struct = lambda src: "{" + ", ".join(f"'{n}': {src}{n}" for n in ("hex", "l_", "a_", "b_", *c)) + "}"
+    added = "{" + ", ".join([*(f"'{n}': o.{n}" for n in ("hex", "l_", "a_", "b_")), *(f"'{n}': o.{n} + r.{n}" for n in c)]) + "}"
+    rgb = f"SELECT p_brand AS page, {', '.join(f'p_partkey % {i + 2} AS {n}' for i, n in enumerate(c))}, (p_partkey * 37) % 256 AS r, (p_partkey * 91) % 256 AS g, (p_partkey * 151) % 256 AS b FROM part"
+    weight = " + ".join(f"{n} * {w}" for n, w in tokens.COLOR_WEIGHT.items())
+    return f"""WITH RECURSIVE u AS (SELECT page, printf('#%02x%02x%02x', r, g, b) AS hex, any_value(l_) AS l_, any_value(a_) AS a_, any_value(b_) AS b_, {', '.join(f'sum({n})::BIGINT AS {n}' for n in c)} FROM ({_sql_lab(rgb)}) GROUP BY page, hex),
+        r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY {weight} DESC, hex) AS i FROM u),
+        s(page, i, cl) AS (SELECT page, i, [{struct('')}] FROM r WHERE i = 1 UNION ALL
+          SELECT page, i, CASE WHEN p IS NULL OR p = 0 THEN list_append(cl, {struct('r.')}) ELSE list_transform(cl, lambda o, k: CASE WHEN k = p THEN {added} ELSE o END) END
+          FROM (SELECT r.page, r.i, s.cl, r, list_position(list_transform(s.cl, lambda o: sqrt((o.l_ - r.l_) ** 2 + (o.a_ - r.a_) ** 2 + (o.b_ - r.b_) ** 2) * 100 < {tokens.CLUSTER_DISTANCE}), true) AS p FROM s JOIN r ON r.page = s.page AND r.i = s.i + 1)),
+        f AS (SELECT page, arg_max(cl, i) AS cl FROM s GROUP BY 1)
+        SELECT page, x.hex AS hex, {', '.join(f'x.{n} AS {n}' for n in c)}, k::INTEGER AS rank FROM (SELECT page, unnest(cl) AS x, unnest(range(1, len(cl) + 1)) AS k FROM f)"""
+
+
 _BRAND = "SELECT * FROM (VALUES " + ", ".join(f"('{x}', {int(x[1:3], 16)}, {int(x[3:5], 16)}, {int(x[5:7], 16)})" for x in BRAND) + ") t(color, r, g, b)"
 _SIZES = "SELECT p_brand AS page, p_size * 2 AS value FROM part"
 _TYPE = "SELECT l_returnflag AS page, l_quantity::INTEGER AS px, l_linestatus AS lh, l_linenumber::VARCHAR AS weight, substr(l_suppkey::VARCHAR, 1, 1) AS family FROM lineitem"
@@ -242,6 +258,7 @@ ORACLES = {
         {sql_round('(degrees(atan2(b_, a_)) + 360) - 360 * floor((degrees(atan2(b_, a_)) + 360) / 360)', 6)} AS hue, {sql_round('1.05 / (0.2126 * lr + 0.7152 * lg + 0.0722 * lb + 0.05)', 6)} AS contrast FROM ({_sql_lab(_RGB)})""",
     "nearest_brand": f"""SELECT p_partkey AS color_id, arg_min(color, (d, color)) AS nearest, {sql_round('min(d)', 4)} AS distance FROM (
         SELECT p_partkey, color, sqrt((p.l_ - q.l_) * (p.l_ - q.l_) + (p.a_ - q.a_) * (p.a_ - q.a_) + (p.b_ - q.b_) * (p.b_ - q.b_)) * 100 AS d FROM ({_sql_lab(_RGB)}) p, ({_sql_lab(_BRAND)}) q) GROUP BY 1""",
+    "color_clusters": _clusters(),
     "path_hashes": """SELECT o_orderkey, substr(sha1('M ' || regexp_replace(printf('%.1f', floor(o_totalprice::DECIMAL(18,2)::DOUBLE * 10 + 0.5) / 10), '\\.0$', '') || ' L ' || (o_orderkey % 100) || ' 0 z'), 1, 16) AS hash FROM orders""",
     "name_hits": f"""SELECT detail, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS files FROM (SELECT doc_id, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS w FROM ({_LINES}) WHERE length(line) <= 4000), (VALUES ('the and'), ('of the'), ('licensed under')) v(detail) WHERE contains(w, ' ' || detail || ' ') GROUP BY 1""",
     "domain_hits": f"SELECT doc_id, n::BIGINT AS line, detail FROM ({_LINES}), (VALUES ('mail1.example.com'), ('mail2.example.com')) v(detail) WHERE length(line) <= 4000 AND contains(lower(line), detail)",
