@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions.html import sitemap_urls
 from corvane.functions.text import squash
 from corvane.functions.urls import canonical_path, normalize, path_and_query, robots_pattern
+from corvane.session import shared_folder
 
 MOST_HOPS, LOOP, SETTLE, MOST_SLOWDOWNS = 6, 310, 8, 3
 
@@ -94,10 +94,8 @@ def allowed(paths: DataFrame, rules: DataFrame, key: str = "host", path: str = "
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder of spark.checkpoint.dir; a temporary one only where unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-ckpt-"))
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

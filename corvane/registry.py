@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES: list[str] = ["texts", "web", "evidence", "systems", "measures", "checks"]
+MODULES: list[str] = ["texts", "web", "evidence", "systems", "measures", "checks", "exports"]
 
 
 def queries() -> dict[str, Callable]:
