@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.session import spread
+from corvane.session import shared_folder, spread
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -38,20 +38,6 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(shutil.make_archive(base, "zip", _ROOT, "corvane"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate results, spark.checkpoint.dir.
-
-    Where it is unset, a local session gets a temporary folder; on a cluster, whose machines share no such folder, that is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        if folder is None and sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corvane-ckpt-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
