@@ -27,9 +27,13 @@ def review_rows(feeds: DataFrame) -> DataFrame:
     )
 
 
-def comment_rows(results: DataFrame) -> DataFrame:
-    """Rows of comment searches (hits): the comment, or title and story; HTML stripped, 20 characters or more."""
+def comment_rows(results: DataFrame, since: str | None = None) -> DataFrame:
+    """Rows of comment searches (hits): the comment, or title and story; HTML stripped, 20 characters or more.
+
+    since: a day (YYYY-MM-DD) from which hits count; older ones go before their text is worked on.
+    """
     h = results.select(F.explode("hits").alias("h"))
+    h = h.where(F.substring("h.created_at", 1, 10) >= since) if since else h
     raw = F.coalesce("h.comment_text", F.concat_ws(" ", F.coalesce("h.title", F.lit("")), F.coalesce("h.story_text", F.lit(""))))
     text = squash(html_to_text(decode_entities(raw)))
     out = h.select(

@@ -2,8 +2,9 @@
 
 Responses are files <folder>/<sha1 of the URL>.json with url, status, declared length and text; the folder must be
 mounted on every executor (`answers_of` reads the same files through Spark's own file system instead). One partition a
-slice of URLs, or, with option `template`, one a country: its pages in order until one is missing or empty. A missing
-recording is status 0. Bodies whose declared or own size is over the limit are reported as too big, not read.
+slice of URLs, or, with option `template`, one a country: its pages in order until one is missing or empty; a template
+may name {since}, so that the feed itself leaves out what is older than option `since`. A missing recording is status 0.
+Bodies whose declared or own size is over the limit are reported as too big, not read.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ class RecordedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder, self.urls = options["folder"], json.loads(options.get("urls", "[]"))
         self.template, self.most = options.get("template"), int(options.get("most", 10))
-        self.countries = json.loads(options.get("countries", "[]"))
+        self.countries, self.since = json.loads(options.get("countries", "[]")), options.get("since", "")
         self.slices = max(1, int(options.get("slices", 4)))
         self.delay_ms = int(options.get("delay_ms", 0))
 
@@ -73,7 +74,7 @@ class RecordedReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if isinstance(partition, Country):
             for page in range(1, self.most + 1):
-                row = answer(self.folder, self.template.format(country=partition.country, page=page))
+                row = answer(self.folder, self.template.format(country=partition.country, page=page, since=self.since))
                 if row[1] != 200 or not row[4]:
                     return
                 yield row

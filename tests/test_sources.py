@@ -152,3 +152,18 @@ def test_low_bit_png():
     four = png.decode(make(4, 0, [bytes([0x0F, 0x80, 0x10])]))
     assert four[0, :, 1].tolist() == [0, 255, 136, 0, 17]
     assert np.array_equal(png.decode(png.encode(two)), two)
+
+
+def test_feeds_since_a_day(spark, tmp_path):
+    import json as parser
+
+    from corvane.sources import feeds, recorded
+
+    recorded.register(spark)
+    folder, template = str(tmp_path), "http://f/{country}/{page}?since={since}"
+    recorded.record(folder, template.format(country="de", page=1, since="5"), 200, "new")
+    recorded.record(folder, template.format(country="de", page=1, since=""), 200, "all")
+    read = lambda **o: [r["text"] for r in spark.read.format("recorded").options(folder=folder, template=template, countries=parser.dumps(["de"]), **o).load().collect()]
+    assert read(since="5") == ["new"] and read() == ["all"]
+    hits = spark.createDataFrame([([(str(i), f"2024-01-0{i}T00:00:00Z", None, None, "a comment of some length here") for i in (1, 2, 3)],)], feeds.COMMENT)
+    assert sorted(r["id"] for r in feeds.comment_rows(hits, "2024-01-02").collect()) == ["hn-2", "hn-3"] and feeds.comment_rows(hits).count() == 3
