@@ -120,7 +120,9 @@ def advance(state: DataFrame, result: DataFrame, now: Column) -> DataFrame:
     j = state.join(result.select("stage", "passed"), "stage", "left")
     gate = F.map_from_arrays(F.array("stage"), F.array(F.struct(F.coalesce("passed", F.lit(False)).alias("passed"), now.alias("at"))))
     nxt = F.coalesce(F.try_element_at(order, F.array_position(order, F.col("stage")).cast("int") + 1), F.col("stage"))
-    return j.select(F.when(F.col("passed"), nxt).otherwise(F.col("stage")).alias("stage"), F.map_concat(F.map_filter("gates", lambda k, _: k != F.col("stage")), gate).alias("gates"))
+    # the gates first: beside a new column stage, Spark would take that one for the stage inside the lambda
+    j = j.withColumn("gates", F.map_concat(F.map_filter("gates", lambda k, _: k != F.col("stage")), gate))
+    return j.select(F.when(F.col("passed"), nxt).otherwise(F.col("stage")).alias("stage"), "gates")
 
 
 def open_severe(bugs: DataFrame) -> DataFrame:

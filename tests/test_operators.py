@@ -237,3 +237,18 @@ def test_queue_ends_at_its_limits(spark):
     assert got() == {"a": "ok", "c": "ok", "d": "left"}  # b asks a fourth time to slow down and is not put back
     assert got(most=0) == {"a": "left"}
     assert migrate.queue_totals(migrate.crawl_queue(start, links.limit(0), answers.limit(0))).first().asDict() == {"pages": 0, "blocked": 0, "failed": 1, "left": 0}
+
+
+def test_advance_keeps_the_next_stages_gate(spark):
+    policy = "spark.sql.mapKeyDedupPolicy"
+    gate = {"research": (False, "then"), "design": (True, "then")}
+    state = spark.createDataFrame([("research", gate), ("design", gate)], "stage string, gates map<string,struct<passed:boolean,at:string>>")
+    result = spark.createDataFrame([("research", True), ("design", False)], "stage string, passed boolean")
+    was = spark.conf.get(policy)
+    spark.conf.set(policy, "EXCEPTION")
+    try:
+        rows = gates.advance(state, result, F.lit("now")).collect()
+    finally:
+        spark.conf.set(policy, was)
+    got = sorted((r["stage"], {k: tuple(v) for k, v in r["gates"].items()}["research"], tuple(r["gates"]["design"])) for r in rows)
+    assert got == [("design", (False, "then"), (False, "now")), ("design", (True, "now"), (True, "then"))]
