@@ -39,3 +39,28 @@ def test_stage_on_odd_rows(spark, folder, name, stage):
     if name == "secret_scan":
         assert out.count() == docs.count()
     assert stage(spark, spark.read.parquet(f"{folder}/empty.parquet"), folder).count() == 0
+
+
+LONG = """
+import sys
+import pyarrow as pa, pyarrow.parquet as pq
+from corvane.session import build
+import corpus_pipeline as P
+text = [chr(97 + i % 26) * 400_000 + str(i) for i in range(1_000)]
+pq.write_table(pa.table({"doc_id": range(1_000), "text": text}), sys.argv[1], use_dictionary=False)
+del text
+spark = build(2, memory="512m", **{"spark.checkpoint.dir": sys.argv[2]})
+print("kept", P.near_dedup_stage(spark, spark.read.parquet(sys.argv[1]), "").count())
+"""
+
+
+def test_long_texts_are_not_read_by_thousands(tmp_path):
+    """A thousand texts of 400,000 letters in one row group, with a heap of 512 MB."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(P.__file__))
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))} | {"PYTHONPATH": root}
+    run = subprocess.run([sys.executable, "-c", LONG, str(tmp_path / "d.parquet"), str(tmp_path / "ckpt")], env=env, capture_output=True, text=True, timeout=300, check=False)
+    assert "kept 1000" in run.stdout, run.stderr[-1000:]
