@@ -29,6 +29,16 @@ def test_trees(spark, tmp_path):
     assert files.with_images(files.files_in(spark, str(tmp_path), ["json", "png"])).count() == 1
 
 
+def test_tables_in_parts_are_listed_once(spark, tmp_path):
+    spark.range(6).repartition(3).write.parquet(str(tmp_path / "t" / "many.parquet"))
+    for p in ("one.PARQUET", "note.txt", "_left.parquet", "sub/deep.parquet", "sub/k=1/deep.parquet"):
+        (tmp_path / "t" / p).parent.mkdir(exist_ok=True)
+        (tmp_path / "t" / p).write_bytes(b"")
+    got = [r["path"] for r in files.files_in(spark, str(tmp_path / "t"), [".Parquet"]).collect()]
+    assert got == [f"file:{tmp_path}/t/many.parquet", f"file:{tmp_path}/t/one.PARQUET"]
+    assert files.files_in(spark, str(tmp_path / "t"), [".csv"]).count() == 0
+
+
 def test_recorded(spark, tmp_path):
     recorded.register(spark)
     recorded.record(str(tmp_path), "http://a/1", 200, "one")
