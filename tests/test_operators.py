@@ -125,6 +125,38 @@ def test_structure(spark):
     assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
 
 
+def test_groups_are_matched_in_batches(spark):
+    r = np.random.default_rng(3)
+    rows = []
+    for g in range(60):
+        for side in "ab":
+            for k in range(int(r.integers(0, 25))):
+                rows.append((str(g // 3), side, f"h{g % 3 + 1}", int(r.integers(6)) * 90, int(r.integers(25)) * 40, int(r.integers(1, 4)) * 200, 40, [None, "", "N", "n", "o"][int(r.integers(5))], g * 100 + k))
+    nodes = spark.createDataFrame(rows, NODE)
+    size = {(str(p), s): (0 if p % 5 == 0 else 1000, 900, 1000 + p) for p in range(20) for s in "ab" if (p, s) != (7, "b")}
+    pages = spark.createDataFrame([(*k, *v) for k, v in size.items()], "pair_id string, side string, view_w int, view_h int, page_h int")
+    full = nodes.join(pages, ["pair_id", "side"]).toPandas()
+    want = set()
+    for (pair, role), both in full.groupby(["pair_id", "role"]):
+        a, b = (both[both["side"] == s].sort_values(["y", "x", "pos"]) for s in "ab")
+        if len(a) and len(b):
+            want |= {(pair, role, int(a["pos"].iloc[i]), int(b["pos"].iloc[j])) for i, j in structure.best_matching(structure.similarities(a, b))}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        m = structure.match_nodes(nodes, pages)
+        assert {tuple(x) for x in m.collect()} == want and len(want) > 200
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # no call of Python for each group
+    assert "FlatMapGroups" not in m._jdf.queryExecution().toString()
+    assert structure.match_nodes(nodes.limit(0), pages).count() == 0
+
+
+def test_lcs_length(spark):
+    df = spark.createDataFrame([(list("abcab"), list("bcb")), ([], ["a"]), (["a"], ["b"]), (list("xyz"), list("xyz"))], "a array<string>, b array<string>")
+    assert [x[0] for x in df.select(structure.lcs_length("a", "b")).collect()] == [3, 0, 0, 3]
+
+
 def _page(height=600, shift=0, seed=1):
     r = np.random.default_rng(seed)
     img = np.full((height + shift, 720, 4), 255, np.uint8)
