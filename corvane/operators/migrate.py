@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions.html import sitemap_urls
 from corvane.functions.text import squash
 from corvane.functions.urls import canonical_path, normalize, path_and_query, robots_pattern
-from corvane.session import shared_folder
+from corvane.session import SMALL_ROWS, shared_folder
 
 MOST_HOPS, LOOP, SETTLE, MOST_SLOWDOWNS = 6, 310, 8, 3
 
@@ -93,10 +94,25 @@ def allowed(paths: DataFrame, rules: DataFrame, key: str = "host", path: str = "
     return j.withColumn("allowed", (F.col(path) == "/robots.txt") | F.coalesce(best["allow"], F.lit(True))).drop("rules")
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _settled(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Reliable checkpoint in the shared folder, in the order of key within partitions where one is given.
+
+    It is planned without adaptive execution: only then does Spark remember how the rows are dealt out and sorted, so that a later
+    join on the same key neither shuffles nor sorts them again.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return (df if key is None else df.sortWithinPartitions(key)).checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """df dealt out by key to as many partitions as joins and aggregates have."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def crawl(start: DataFrame, links: DataFrame, ok: Column | None = None, most: int | None = None, depth: int | None = None) -> DataFrame:
@@ -104,30 +120,39 @@ def crawl(start: DataFrame, links: DataFrame, ok: Column | None = None, most: in
 
     It ends where no link leads to a new page, or at `most` pages or `depth` levels where these are given; pages beyond
     `most` go by URL. The driver keeps only the number of pages per level; frontier and visited set stay distributed.
-    Each level is checkpointed, and the visited set every SETTLE levels, so that plans do not grow with the depth.
+    Links are dealt out by source once and pages by URL, so each level shuffles only the URLs that it finds. Each level is
+    checkpointed, and the visited set every SETTLE levels, so that plans do not grow with the depth.
     """
-    edges = links.select(normalize(F.col("src")).alias("src"), normalize(F.col("dst")).alias("dst")).distinct()
+    edges = _dealt(links.select(normalize(F.col("src")).alias("src"), normalize(F.col("dst")).alias("dst")), "src").distinct()
     if ok is not None:
         edges = edges.where(ok)
-    edges = _settled(edges)
-    frontier = _settled(start.select(normalize(F.col("url")).alias("url")).distinct().withColumn("level", F.lit(0)))
+    edges = _settled(edges, "src")
+    frontier = _settled(_dealt(start.select(normalize(F.col("url")).alias("url")), "url").distinct().withColumn("level", F.lit(0)), "url")
     if most is not None:
-        frontier = frontier.orderBy("url").limit(most)
-    visited, n = frontier, frontier.count()
+        frontier = _settled(_dealt(frontier.orderBy("url").limit(most), "url"), "url")
+    visited, n = [frontier], frontier.count()  # parts of the visited set
+    got = n
     for level in count(1):
         if most is not None and n >= most or depth is not None and level > depth:
             break
-        step = frontier.join(edges, frontier["url"] == edges["src"]).select(F.col("dst").alias("url")).distinct()
-        step = _settled(step.join(visited, "url", "left_anti").withColumn("level", F.lit(level)))
+        near = F.broadcast(frontier) if got <= SMALL_ROWS else frontier
+        step = near.join(edges, near["url"] == edges["src"]).select(F.col("dst").alias("url")).distinct()
+        for part in visited:
+            step = step.join(part.select("url"), "url", "left_anti")
+        step = _settled(step.withColumn("level", F.lit(level)), "url")
         got = step.count()
         if not got:
             break
         if most is not None and got > most - n:
-            step, got = _settled(step.orderBy("url").limit(most - n)), most - n
-        visited, frontier, n = visited.unionByName(step), step, n + got
+            step, got = _settled(_dealt(step.orderBy("url").limit(most - n), "url"), "url"), most - n
+        visited, frontier, n = [*visited, step], step, n + got
         if level % SETTLE == 0:
-            visited = _settled(visited)
-    return visited
+            visited = [_settled(_dealt(_union(visited), "url"), "url")]
+    return _union(visited)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def crawl_queue(start: DataFrame, links: DataFrame, answers: DataFrame, most: int = 150, slowdowns: int = MOST_SLOWDOWNS) -> DataFrame:
@@ -139,8 +164,9 @@ def crawl_queue(start: DataFrame, links: DataFrame, answers: DataFrame, most: in
     not taken from the queue is left. place is the way of link positions to a page: a level in the order of places is
     the order of the queue, so no global numbering is needed. The driver keeps counts and the place of the stop only.
     """
-    edges = _settled(links.select(normalize(F.col("src")).alias("src"), normalize(F.col("dst")).alias("dst"), "pos").groupBy("src", "dst").agg(F.min("pos").alias("pos")))
-    known = answers.select(normalize(F.col("url")).alias("url"), "allowed", "status", F.coalesce("slow", F.lit(0)).alias("slow"))
+    edges = _dealt(links.select(normalize(F.col("src")).alias("src"), normalize(F.col("dst")).alias("dst"), "pos"), "src")
+    edges = _settled(edges.groupBy("src", "dst").agg(F.min("pos").alias("pos")), "src")
+    known = _settled(_dealt(answers.select(normalize(F.col("url")).alias("url"), "allowed", "status", F.coalesce("slow", F.lit(0)).alias("slow")), "url"), "url")
     found = start.groupBy(normalize(F.col("url")).alias("url")).agg(F.min(F.array(F.col("pos").cast("long"))).alias("place"))
     visited, read, asked = None, 0, 0
     for level in count():

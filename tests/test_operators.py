@@ -231,6 +231,34 @@ def test_interactions(spark):
     assert (r["f"], r["g"], r["c"]) == (True, False, {"color": ["a", "b"]})
 
 
+def test_crawl_shuffles_links_once(spark):
+    """Of links that are settled, nothing is dealt out or sorted again, also where no side can be broadcast."""
+    small = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    plans, real = [], migrate._settled
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    rows = migrate.SMALL_ROWS if hasattr(migrate, "SMALL_ROWS") else None
+    try:
+        migrate.SMALL_ROWS = 0
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+
+        def spy(df, *key):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return real(df, *key)
+
+        migrate._settled = spy
+        links = spark.range(1, 400).selectExpr("concat('http://x.example/', cast(id div 2 as string)) src", "concat('http://x.example/', cast(id as string)) dst").where("src <> dst")
+        links = links.union(links).union(links.selectExpr("dst src", "src dst"))
+        start = spark.createDataFrame([("http://x.example/1",), ("http://x.example/1",)], "url string")
+        got = {r["url"]: r["level"] for r in migrate.crawl(start, links).collect()}
+    finally:
+        migrate._settled, migrate.SMALL_ROWS = real, rows
+        for k, v in small.items():
+            spark.conf.set(k, v)
+    assert got == {f"http://x.example/{i}": i.bit_length() - 1 if i else 1 for i in range(400)}
+    steps = [p for p in plans if "LeftAnti" in p]
+    assert len(steps) > 7 and all(p.count("Exchange") == 1 for p in steps)
+
+
 def test_crawl_has_no_depth_limit(spark):
     links = spark.createDataFrame([(f"http://x.example/{i}", f"http://x.example/{i + 1}") for i in range(55)], "src string, dst string")
     start = spark.createDataFrame([("http://x.example/0",)], "url string")
