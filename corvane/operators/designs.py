@@ -161,10 +161,16 @@ def lint(designs: DataFrame, theirs: DataFrame | None = None, fonts: DataFrame |
 
 
 def nearest_brand(colors: DataFrame, brand: DataFrame, key: str = "color_id") -> DataFrame:
-    """Each colour (key, lab) with the nearest of a small table of brand colours (color, lab) and the distance."""
-    j = colors.join(small(brand.select(F.col("color").alias("their"), F.col("lab").alias("t_lab"))), F.lit(True))
-    d = C.distance(F.col("lab"), F.col("t_lab"))
-    return j.groupBy(key).agg(F.min_by("their", F.struct(d.alias("d"), "their")).alias("nearest"), F.min(d).alias("distance"))
+    """Each colour (key, lab) with the nearest of a small table of brand colours (color, lab) and the distance.
+
+    The brand's colours are one array beside each row, so no rows are made for the pairs; repeated keys meet after they are dealt
+    out, where each task sorts its share only.
+    """
+    theirs = brand.agg(F.collect_list(F.struct("color", F.col("lab").alias("t_lab"))).alias("_theirs")).where(F.size("_theirs") > 0)
+    of = lambda t: C.let(C.distance(F.col("lab"), t["t_lab"]), lambda d: F.struct(d.isNull().alias("none"), d.alias("d"), t["color"].alias("their")))
+    near = colors.crossJoin(F.broadcast(theirs)).select(key, F.array_min(F.transform("_theirs", of)).alias("_near"))
+    best = near.repartition(key).groupBy(key).agg(F.min("_near").alias("_near"))
+    return best.select(key, F.col("_near.their").alias("nearest"), F.col("_near.d").alias("distance"))
 
 
 def ranked(findings: DataFrame) -> DataFrame:

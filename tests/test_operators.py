@@ -125,6 +125,18 @@ def test_structure(spark):
     assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
 
 
+def test_nearest_brand_makes_no_pairs(spark):
+    lab = "named_struct('l', {0}, 'a', 0d, 'b', 0d)"
+    colors = spark.range(6).selectExpr("id div 2 AS color_id", f"CASE WHEN id <> 1 AND id < 4 THEN {lab.format('id / 10')} END AS lab")
+    brand = spark.sql(f"SELECT color, {lab.format('l')} AS lab FROM VALUES ('b', 0.1d), ('a', 0.1d), ('c', 0.3d) t(color, l)")
+    got = designs.nearest_brand(colors, brand)
+    assert {r["color_id"]: (r["nearest"], r["distance"] if r["distance"] is None else round(r["distance"], 6)) for r in got.collect()} == {0: ("a", 10.0), 1: ("c", 0.0), 2: ("a", None)}
+    assert designs.nearest_brand(colors, brand.limit(0)).count() == 0
+    # aggregates sort what was dealt out, never a whole file's rows; the keys are dealt out once
+    plan = designs.nearest_brand(spark.range(9).selectExpr("id color_id", f"{lab.format('id / 10')} lab").repartition("color_id"), brand)._jdf.queryExecution().sparkPlan().toString()
+    assert "min_by" not in plan and "Generate" not in plan
+
+
 def test_groups_are_matched_in_batches(spark):
     r = np.random.default_rng(3)
     rows = []
